@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, linededup, lmscore, quality, simhash, toxicity, warc
+from . import bpe, decontaminate, html_extract, linededup, lmscore, quality, simhash, suffix, toxicity, warc
 from .common import remainder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_lm_score": op6_lm_score,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_html": op10_html,
