@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, texts
+from .common import commonest, fresh, map_batches, staged, texts
 
 #: Words whose encodings are broadcast, and the bytes a word has at most to be among them.
 HEAD = 262_144
@@ -58,18 +58,23 @@ class Ranks:
             slots[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS][key] = rank
         self.literal = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
-    def of(self, piece: Column) -> Column:
+    @staticmethod
+    def of(ranks: Column, piece: Column) -> Column:
         """The rank of a piece, or null."""
-        return F.try_element_at(F.get(self.literal, F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")), piece)
+        return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")), piece)
 
     def fold(self, word: Column) -> Column:
         """ids of a word by ranked merges: the leftmost pair of least rank is joined until no pair has a rank."""
+        # a lambda over the one literal names it, so that the plan holds it once
+        return F.get(F.transform(F.array(self.literal), lambda ranks: self._fold(ranks, word)), F.lit(0))
+
+    def _fold(self, ranks: Column, word: Column) -> Column:
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         start = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
 
         def ranked(pieces: Column) -> Column:
             n = F.size(pieces) - 1
-            return F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda a, b: self.of(F.concat(a, b)))
+            return F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda a, b: self.of(ranks, F.concat(a, b)))
 
         def join(pieces: Column, rank: Column) -> Column:
             at = F.array_position(rank, F.array_min(rank)).cast("int")
@@ -78,14 +83,14 @@ class Ranks:
 
         def step(state: Column, _: Column) -> Column:
             pieces = state["pieces"]
-            # aggregate over the one array of ranks names it, so that it is worked out once a step
+            # so does an aggregate over the one array of a step's ranks, which is then worked out once
             merged = F.aggregate(F.array(ranked(pieces)), pieces, join)
             after = F.aggregate(F.array(merged), F.struct(pieces.alias("pieces"), F.lit(False).alias("more")), lambda s, m: F.struct(m.alias("pieces"), (F.size(m) < F.size(s["pieces"])).alias("more")))
             return F.when(state["more"], after).otherwise(state)
 
         folded = F.aggregate(F.array_repeat(F.lit(0), F.length(raw) - 1), F.struct(start.alias("pieces"), F.lit(True).alias("more")), step)["pieces"]
-        whole = self.of(raw)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, self.of))
+        whole = self.of(ranks, raw)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda piece: self.of(ranks, piece)))
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD) -> DataFrame:
@@ -94,9 +99,8 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     Words are counted over all texts; the rest of the vocabulary needs no entry.
     """
     found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("word")).where(F.octet_length("word") <= LONG)
-    top = found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(head)
-    # the limit leaves one partition; deal its words out again before they are folded
-    return top.select("word").repartition(24, "word").select("word", Ranks(ranks).fold(F.col("word")).alias("ids"))
+    top = commonest(staged(found.groupBy("word").agg(F.count("*").alias("n"))), head)
+    return top.select("word", Ranks(ranks).fold(F.col("word")).alias("ids"))
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,19 +161,28 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def known_words(stream: bytes) -> dict[str, bytes]:
+    """The dictionary's words with their ids as little-endian 32-bit integers."""
+    out: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(stream):
+        ends = batch.column("ids").offsets.to_numpy() * 4
+        flat = batch.column("ids").flatten().to_numpy().astype("<u4").tobytes()
+        out.update((w, flat[a:b]) for w, a, b in zip(batch.column("word").to_pylist(), ends[:-1] - ends[0], ends[1:] - ends[0], strict=True))
+    return out
+
+
 def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, ids: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_tokens, ids (on demand), ids_sha256 and decoded_sha256 of each row's text."""
     ranks = load_ranks(path)
-    got = dictionary(docs, ranks, pattern, head).toArrow()
-    known: dict[str, bytes] = {}
-    for batch in got.to_batches():
-        flat, ends = batch.column("ids").flatten().to_numpy().astype("<u4").tobytes(), batch.column("ids").offsets.to_numpy() * 4
-        known |= {w: flat[a:b] for w, a, b in zip(batch.column("word").to_pylist(), ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, known))
+    words = dictionary(docs, ranks, pattern, head).toArrow()
+    stream = pa.BufferOutputStream()
+    with pa.ipc.new_stream(stream, words.schema) as out:
+        out.write_table(words)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, stream.getvalue().to_pybytes()))
     state: dict = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = state.get("codec") or state.setdefault("codec", Codec(shared.value[0], pattern, shared.value[1]))
+        codec = state.get("codec") or state.setdefault("codec", Codec(shared.value[0], pattern, known_words(shared.value[1])))
         coded = [codec.encode(t) for t in texts(batch)]
         columns = [batch.column(c) for c in keep] + [pa.array([len(x) // 4 for x in coded], pa.int64())]
         if ids:

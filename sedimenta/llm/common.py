@@ -71,3 +71,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def commonest(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of counts with the greatest n, at most `most`, cut where n steps to another sixteenth of an octave.
+
+    The cut comes from a histogram, so no task sorts or gathers all rows.
+    """
+    step = F.floor(F.log2(F.col(n)) * 16)
+    held, cut = 0, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        held += row.k
+        if held > most:
+            break
+        cut = row.step
+    return counts.where(step >= cut) if cut is not None else counts.limit(0)

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged, texts
+from .common import commonest, map_batches, staged, texts
 
 HEAD = 262_144
 BLOCK_BYTES = 128 << 20
@@ -218,7 +218,7 @@ class Model:
 
     def head(self, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and counts of the commonest words, at most `most`, by hash."""
-        got = self.words.orderBy(F.desc("n"), "key").limit(most).toArrow()
+        got = commonest(self.words, most).toArrow()
         key, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
         order = np.argsort(key)
         return key[order], n[order]

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +37,16 @@ def words(sentence: str) -> set[str]:
     return {w for x in sentence.lower().split() if (w := x.strip(EDGE))}
 
 
-def features(word: str) -> list[str]:
-    """The word itself and its leading characters, which carry over to inflected forms."""
-    return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
+def features(word: str) -> list[int]:
+    """Hashes of the word itself and of its leading characters, which carry over to inflected forms."""
+    digest = xxhash.xxh64_intdigest
+    return [digest(f"={word}"), *(digest(word[:n]) for n in PREFIXES if len(word) >= n)]
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]  #: by a feature's hash
 
     def word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -80,35 +82,47 @@ def fit(rows: list[tuple[str, int]], epochs: int = 120, least: int = 3, evidence
     if not len(y) or y.min() == y.max():
         mean = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log(max(mean / 2, 1e-6) / (1 - mean / 2))), {})
-    bags = [[words(s) for s in sentences(t)] or [set()] for t, _ in rows]
-    held: dict[str, list[int]] = {}
-    for d, bag in enumerate(bags):
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            held.setdefault(f, []).append(d)
+    number: dict[str, int] = {}
+    bags = [[np.fromiter((number.setdefault(w, len(number)) for w in words(s)), np.int32) for s in sentences(t)] or [np.empty(0, np.int32)] for t, _ in rows]
+    of_word = np.zeros((len(number), 1 + len(PREFIXES)), np.uint64)
+    for w, i in number.items():
+        got = features(w)
+        of_word[i, : len(got)] = got
+        of_word[i, len(got) :] = got[0]
+    del number
+    names, column = np.unique(of_word, return_inverse=True)
+    of_word = column.reshape(of_word.shape).astype(np.int32)
+    del column
     n, pos = len(y), y.sum()
-    names, start = [], []
-    for f, docs in held.items():
-        k = len(docs)
-        if k < least or k == n:
-            continue
-        a = y[docs].sum()
-        grid = np.array([[a, k - a], [pos - a, n - k - pos + a]])
-        means = grid.sum(1, keepdims=True) * grid.sum(0, keepdims=True) / n
-        if 2 * (grid * np.log(np.where(grid > 0, grid, 1) / np.where(grid > 0, means, 1))).sum() >= evidence:
-            names.append(f)
-            start.append(np.clip(np.log((a + 0.5) / (pos + 1)) - np.log((k - a + 0.5) / (n - pos + 1)), -1, 3))
-    column = {f: i for i, f in enumerate(names)}
-    at, of, doc = [], [], []
+    held, bad = np.zeros(len(names)), np.zeros(len(names))
+    for d, bag in enumerate(bags):
+        own = np.unique(of_word[np.unique(np.concatenate(bag))])
+        held[own] += 1
+        bad[own] += y[d]
+    picked = np.flatnonzero((held >= least) & (held < n))
+    held, bad = held[picked], bad[picked]
+    # log-likelihood ratio of each feature's presence against the label
+    grid = np.stack([bad, held - bad, pos - bad, n - held - pos + bad])
+    means = np.stack([held * pos, held * (n - pos), (n - held) * pos, (n - held) * (n - pos)]) / n
+    told = 2 * (grid * np.log(np.where(grid > 0, grid, 1) / np.where(grid > 0, means, 1))).sum(0) >= evidence
+    picked, held, bad = picked[told], held[told], bad[told]
+    start = np.clip(np.log((bad + 0.5) / (pos + 1)) - np.log((held - bad + 0.5) / (n - pos + 1)), -1, 3)
+    new = np.full(len(names), -1, np.int32)
+    new[picked] = np.arange(len(picked))
+    of_word = new[of_word]
+    of_word[:, 1:][of_word[:, 1:] == of_word[:, :1]] = -1  # short words have no prefix in these places
+    names = names[picked].tolist()
+    at_parts, of_parts, doc = [], [], []
     s = 0
     for d, bag in enumerate(bags):
         for sentence in bag:
-            for w in sentence:
-                hit = [column[f] for f in features(w) if f in column]
-                at += hit
-                of += [s] * len(hit)
+            hit = of_word[sentence].ravel()
+            hit = hit[hit >= 0]
+            at_parts.append(hit)
+            of_parts.append(np.full(len(hit), s, np.int32))
             doc.append(d)
             s += 1
-    at, of, doc = np.array(at, int), np.array(of, int), np.array(doc, int)
+    at, of, doc = np.concatenate(at_parts), np.concatenate(of_parts), np.array(doc, np.int32)
     w, b = 0.3 * np.array(start, float), -4.0
     gw, gb = np.full(len(w), 1e-6), 1e-6
     for _ in range(epochs):
@@ -124,7 +138,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 120, least: int = 3, evidence
     return Model(float(b), {f: float(x) for f, x in zip(names, w, strict=True)})
 
 
-def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = 6000, chars: int = 65_536) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = 4000, chars: int = 65_536) -> list[tuple[str, int]]:
     """At most `rows` labelled documents of at most `chars` characters each, in the order of a hash of the id.
 
     The labels are cut to the bound before they meet the documents, so the
