@@ -36,7 +36,7 @@ DIGIT = 16
 HOT = 200_000
 #: Bytes of a text that are sorted at a time; pieces overlap by a window less one byte.
 PIECE = 60_000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _bytes(column) -> list[bytes]:
@@ -139,7 +139,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3).compress
         return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([press(x) for x in _bytes(batch.column("data"))], pa.binary())], ["doc", "packed"])
 
-    return map_batches(docs.select("doc", "data"), work, "doc long, packed binary")
+    return map_batches(docs.select("doc", "data"), work, "doc long, packed binary", 300)
 
 
 def _unpacked(column) -> list[bytes]:
@@ -213,12 +213,13 @@ def settle(rows: DataFrame, length: int) -> DataFrame:
             seen, of = np.union1d(old, h[last & ~late]), digit[-1]
             return _runs(doc[row[late]], start[late], length)
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > CHUNK:
-                yield solve(pa.Table.from_batches(held))
-                held, size = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                held.append(batch := whole.slice(start, 2000))
+                size += batch.nbytes
+                if size > CHUNK:
+                    yield solve(pa.Table.from_batches(held))
+                    held, size = [], 0
         if sum(b.num_rows for b in held):
             yield solve(pa.Table.from_batches(held))
 
