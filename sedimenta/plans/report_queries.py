@@ -91,12 +91,12 @@ QUERIES: dict[str, tuple] = {
         f"WITH {HOT} SELECT * FROM hot ORDER BY score DESC, revs DESC, path LIMIT 15",
     ),
     "watch_list": (
-        lambda h: rounded(watch(h), "owner_share", "score"),
-        f"WITH {WATCH} SELECT path, revs, fixes, recent_fixes, authors, owner, round(owner_share, 6) AS owner_share, partners, code, complexity, solo, round(score, 6) AS score, {REASONS} AS reasons FROM wl",
+        lambda h: rounded(watch(h), "owner_share", "score").withColumn("reasons", F.array_join("reasons", ", ")),
+        f"WITH {WATCH} SELECT path, revs, fixes, recent_fixes, authors, owner, round(owner_share, 6) AS owner_share, partners, code, complexity, solo, round(score, 6) AS score, array_to_string({REASONS}, ', ') AS reasons FROM wl",
     ),
     "watch_by_component": (
-        lambda h: rounded(R.by_component(watch(h), min_share=4.0), "share"),
-        f"WITH {WATCH}, c AS (SELECT {AREA1} AS component, path, score, row_number() OVER (PARTITION BY {AREA1} ORDER BY score DESC, path) AS place FROM wl) SELECT component, round(sum(score), 6) AS share, list(path ORDER BY place) FILTER (place <= 3) AS files FROM c GROUP BY component HAVING sum(score) >= 4",
+        lambda h: rounded(R.by_component(watch(h), min_share=4.0), "share").withColumn("files", F.array_join("files", ", ")),
+        f"WITH {WATCH}, c AS (SELECT {AREA1} AS component, path, score, row_number() OVER (PARTITION BY {AREA1} ORDER BY score DESC, path) AS place FROM wl) SELECT component, round(sum(score), 6) AS share, array_to_string(list(path ORDER BY place) FILTER (place <= 3), ', ') AS files FROM c GROUP BY component HAVING sum(score) >= 4",
     ),
     "factor_product_max": (
         lambda h: rounded(R.factor_product(watch(h), "max"), "product"),
@@ -130,7 +130,10 @@ QUERIES: dict[str, tuple] = {
     ),
     "present_rows": (lambda h: h.changes.join(h.tree, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n")), "SELECT path, count(*) AS n FROM changes WHERE path IN (SELECT path FROM tree) GROUP BY path"),
     # ownership
-    "areas": (lambda h: K.areas(owned(h)), f"WITH {AREAS} SELECT area, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS authors, list({{'person': person, 'lines': lines}} ORDER BY lines DESC, person) AS owners FROM each GROUP BY area"),
+    "areas": (
+        lambda h: K.areas(owned(h)).withColumn("owners", F.array_join(F.transform("owners", lambda x: F.concat_ws(":", x["person"], x["lines"].cast("string"))), " ")),
+        f"WITH {AREAS} SELECT area, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS authors, string_agg(person || ':' || lines, ' ' ORDER BY lines DESC, person) AS owners FROM each GROUP BY area",
+    ),
     "islands": (
         lambda h: K.islands(K.areas(owned(h)), 200, 0.05),
         f"WITH {AREAS}, a AS (SELECT area, sum(lines) AS lines, arg_max(person, (lines, -ord)) AS owner, max(lines) AS top FROM (SELECT *, row_number() OVER (ORDER BY person) AS ord FROM each) GROUP BY area) SELECT area, owner, CAST(lines AS BIGINT) AS lines, CAST(round_even(100e0*top/lines, 0) AS BIGINT) AS share FROM a WHERE lines >= 200 AND top*1e0/lines >= 0.05",
@@ -218,7 +221,7 @@ QUERIES: dict[str, tuple] = {
     ),
     "decile_outcomes": (lambda h: M.standardised(docs_ranked(h)), f"WITH {RANKED} SELECT CAST(floor((place-1)*10/n) AS BIGINT) AS decile, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS observed FROM (SELECT *, count(*) OVER () AS n FROM rk) GROUP BY 1"),
     "fix_prone": (
-        lambda h: M.fix_prone(H.revisions(h.changes).join(H.fixes(h.changes, h.now).select("path", "fixes"), "path", "left").na.fill(0).join(O.strata(h.size_files, "path", "code").select("path", "stratum"), "path").select("path", "stratum", "fixes", F.col("revs").alias("changes"))),
+        lambda h: M.fix_prone(H.revisions(h.changes).join(H.fixes(h.changes, h.now).select("path", "fixes"), "path", "left").na.fill(0).join(O.strata(h.size_files, "path", "code").select("path", "stratum"), "path").select("path", "stratum", "fixes", F.col("revs").alias("changes")), q=0.9),
         None,
     ),
     "binomial_tail": (lambda h: h.table("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("k")).select("c_nationkey", M.binomial_tail("k", "n", F.lit(0.1)).alias("p")), None),
