@@ -24,8 +24,10 @@ texts every score is zero.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -71,64 +73,58 @@ def item(kind: int, key: np.ndarray) -> np.ndarray:
         return mix(key + np.uint64(kind) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bits(items: np.ndarray, level: np.ndarray | int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, PROBES bit places in it) of items at a level; all levels of an item lie in one segment."""
+def segment_of(items: np.ndarray, segments: int) -> np.ndarray:
+    """The segment that holds all levels of an item."""
     with np.errstate(over="ignore"):
-        h = mix(items + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        places = [((a + np.uint64(i) * b) % np.uint64(SEGMENT_BITS)).astype(np.int64) for i in range(PROBES)]
-    return (mix(items) % np.uint64(segments)).astype(np.int64), np.stack(places)
+        return ((items >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+def _probes(items: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of an item's bit places at a level."""
+    with np.errstate(over="ignore"):
+        h = mix(items + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
 
 def add(bits: np.ndarray, items: np.ndarray, count: np.ndarray, segments: int, first: int = 0) -> None:
     """Put items with their counts into an array of bits that begins at segment `first`."""
     top = np.searchsorted(LEVELS, count, "right")
     for level in range(1, int(top.max(initial=0)) + 1):
-        segment, places = _bits(items[top >= level], level, segments)
-        at = ((segment - first) * SEGMENT_BITS + places).ravel()
-        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        own = items[top >= level]
+        start = (segment_of(own, segments) - first) * SEGMENT_BITS
+        a, b = _probes(own, level)
+        for _ in range(PROBES):
+            at = start + (a & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            a = a + b
 
 
 def count(bits: np.ndarray, items: np.ndarray, segments: int) -> np.ndarray:
-    """Counts of items, read back level by level until one is missing."""
+    """Counts of items, read back level by level until one is missing; a probe is made only for those that passed the last."""
     out = np.zeros(len(items), np.int64)
-    live = np.arange(len(items))
-    level = 1
+    start = segment_of(items, segments) * SEGMENT_BITS
+    live, level = np.arange(len(items)), 1
     while len(live) and level < len(VALUES):
-        segment, places = _bits(items[live], level, segments)
-        at = segment * SEGMENT_BITS + places
-        hit = np.ones(len(live), bool)
-        for row in at:
-            hit &= (bits[row >> 3] >> (row & 7).astype(np.uint8)) & 1 == 1
-        live = live[hit]
+        a, b = _probes(items[live], level)
+        for _ in range(PROBES):
+            at = start[live] + (a & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            live, b = live[hit], b[hit]
+            a = a[hit] + b
         out[live] = level
         level += 1
     return VALUES[out]
 
 
-class Hasher:
-    """Texts to the hashes of their tokens, an end token behind each text."""
-
-    def __init__(self, most: int = 200_000):
-        self.cache, self.most = {}, most
-
-    def __call__(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, first token of each text)."""
-        parts, sizes = [], []
-        cache, digest = self.cache, xxhash.xxh64_intdigest
-        if len(cache) > self.most:
-            cache.clear()
-        for t in batch:
-            words = t.encode("utf-8", "surrogatepass").lower().split()
-            got = list(map(cache.get, words))
-            if None in got:
-                for i, w in enumerate(words):
-                    if got[i] is None:
-                        got[i] = cache[w] = digest(w, 42)
-            parts.append(np.array(got, np.uint64))
-            parts.append(END[None])
-            sizes.append(len(got) + 1)
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.empty(0, np.int64)
+def hashed(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the texts' tokens, an end token behind each text; the first token of each text)."""
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in batch]
+    size = np.array([len(w) for w in words], np.int64)
+    n = int(size.sum())
+    plain = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(42, n)), np.uint64, n)
+    ends = np.cumsum(size)
+    tokens = np.insert(plain, ends, END)
+    return tokens, (ends - size + np.arange(len(batch))).astype(np.int64)
 
 
 def histories(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -142,28 +138,31 @@ def pair(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (mix(history) >> np.uint64(32) << np.uint64(32)) | (mix(token) >> np.uint64(32))
 
 
-def _summed(key: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(key, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+def _summed(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+    key, n = np.unique(np.concatenate(parts), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
 
-def counts(docs: DataFrame, pairs: bool) -> DataFrame:
-    """(key, n) of the tokens, or of the token pairs, of all texts."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) of the tokens and of the token pairs of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        words, pairs, size = [], [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                tokens, first = hasher(texts(batch.slice(start, 500)))
-                held.append(pair(histories(tokens, first), tokens) if pairs else tokens)
+                tokens, first = hashed(texts(batch.slice(start, 500)))
+                words.append(tokens)
+                pairs.append(pair(histories(tokens, first), tokens))
                 size += len(tokens)
                 if size > 2_000_000:
-                    yield _summed(np.concatenate(held))
-                    held, size = [], 0
-        if held:
-            yield _summed(np.concatenate(held))
+                    yield _summed(WORD, words)
+                    yield _summed(PAIR, pairs)
+                    words, pairs, size = [], [], 0
+        if words:
+            yield _summed(WORD, words)
+            yield _summed(PAIR, pairs)
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
@@ -171,7 +170,7 @@ def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         items = batch.column("item").to_numpy().view(np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(mix(items) % np.uint64(segments), pa.uint64()).cast(pa.int64()), batch.column("item"), batch.column("n")], ["segment", "item", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(segment_of(items, segments)), batch.column("item"), batch.column("n")], ["segment", "item", "n"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bits = None, None
@@ -202,16 +201,17 @@ class Model:
     """Counts of a training corpus: exact ones of words, and the filter's rows for all else."""
 
     def __init__(self, docs: DataFrame, least: int = 2):
-        self.words = staged(counts(docs, pairs=False))
+        told = staged(counts(docs).where((F.col("kind") == WORD) | (F.col("n") >= least)))
+        self.words = told.where(F.col("kind") == WORD).select("key", "n")
         total = self.words.agg(F.sum("n"), F.count("*")).first()
         self.tokens, self.distinct = total[0] or 0, total[1]
         self.texts = docs.count()
         self.scale = self.tokens + 0.5 * (self.distinct + 1)
-        pairs = staged(counts(docs, pairs=True).where(F.col("n") >= least))
+        pairs = told.where(F.col("kind") == PAIR).select("key", "n")
         # what a history's stored pairs leave to words: its count less theirs, and a discount for each
         kept = pairs.groupBy(F.shiftright("key", 32).alias("history")).agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"))
         self.parts = {WORD: self.words, PAIR: pairs, REST: staged(kept.select(F.shiftleft("history", 32).alias("key"), F.col("kept").alias("n"), "kinds"))}
-        levels_of = lambda n: F.floor(F.log(STEP, F.greatest(n, F.lit(1)))) + 4  # noqa: E731  an upper estimate
+        levels_of = lambda n: F.when(n <= 8, n).otherwise(9 + F.floor(F.log(STEP, n / 8)))
         entries = sum(x.agg(F.sum(levels_of(F.col("n")))).first()[0] or 0 for x in self.parts.values())
         self.segments = max(1, -(-entries * BITS // SEGMENT_BITS))
         self.blocks = max(1, -(-self.segments * SEGMENT_BITS // 8 // BLOCK_BYTES))
@@ -255,24 +255,27 @@ def _looked_up(head: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> tuple
     return hit, np.where(hit, n[at], 0)
 
 
-def _log10(bits: np.ndarray, segments: int, head: tuple, tokens: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
-    """log10 of each token's probability after its history; 0 where the history isn't the block's."""
-    unique, back = np.unique(tokens, return_inverse=True)
-    hit, n = _looked_up(head, unique)
+def _log10(bits: np.ndarray, segments: int, back: np.ndarray, unique: np.ndarray, hit: np.ndarray, n: np.ndarray, tokens: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
+    """log10 of each token's probability after its history; 0 where the history isn't the block's.
+
+    tokens are unique[back]; hit and n tell which of `unique` are in the head and their counts.
+    """
     n = n.astype(float)
     n[~hit] = count(bits, item(WORD, unique[~hit]), segments)
     word = (n + 0.5) / model["scale"]
-    history = histories(tokens, first)
-    keys = pair(history, tokens)
-    past, which = np.unique(keys >> np.uint64(32), return_inverse=True)
-    kept = count(bits, item(REST, past << np.uint64(32)), segments) / 4
-    once, of = np.unique(keys, return_inverse=True)
-    seen = count(bits, item(PAIR, once), segments)[of]
-    total = n[back]  # of the token itself; the history's is that of the token before
-    total = np.concatenate([[0.0], total[:-1]]) if len(total) else total
-    total[first] = model["texts"]
-    mass = np.minimum(kept[which], total)
-    seen = np.where(mass > 0, np.minimum(np.maximum(seen - DISCOUNT, 0), mass), 0.0)
+    # a history is the token before, or the start of a text, which comes last here
+    starts = np.append(unique, np.uint64(0))
+    kept = count(bits, item(REST, mix(starts) >> np.uint64(32) << np.uint64(32)), segments) / 4
+    total = np.append(n, float(model["texts"]))
+    before = np.append(len(unique), back[:-1]) if len(back) else back
+    before[first] = len(unique)
+    total, mass = total[before], np.minimum(kept, total)[before]
+    short = np.append(mix(unique), mix(np.zeros(1, np.uint64))) >> np.uint64(32)
+    keys = short[before] << np.uint64(32) | short[back]  # as `pair` makes them
+    stored = np.flatnonzero(mass > 0)  # the others' histories have no pair in the filter
+    seen = np.zeros(len(tokens))
+    which, once = pd.factorize(keys[stored])  # common pairs have many levels; each is probed once
+    seen[stored] = np.minimum(np.maximum(count(bits, item(PAIR, once), segments)[which] - DISCOUNT, 0), mass[stored])
     p = (seen + (PRIOR + total - mass) * word[back]) / (total + PRIOR)
     out = np.log10(np.minimum(p, 1.0))
     if model["blocks"] > 1:
@@ -315,15 +318,14 @@ def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", least: int =
 
 
 def _scored(named: DataFrame, kind: str, bits: Broadcast, top: Broadcast, numbers: dict, whole: bool) -> DataFrame:
-    state: dict = {}
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hasher = state.get("hasher") or state.setdefault("hasher", Hasher())
-        tokens, first = hasher(texts(batch))
+        tokens, first = hashed(texts(batch))
         rows = batch.num_rows
-        sums = np.add.reduceat(_log10(*bits.value, top.value, tokens, first, numbers), first)
+        back, unique = pd.factorize(tokens)
+        hit, n = _looked_up(top.value, unique)
+        sums = np.add.reduceat(_log10(*bits.value, back, unique, hit, n, tokens, first, numbers), first)
         size = np.diff(np.append(first, len(tokens)))
-        hit, n = _looked_up(top.value, tokens)
+        hit, n = hit[back], n[back]
         base = np.add.reduceat(np.where(hit, np.log10((n + 0.5) / numbers["scale"]), 0.0), first)
         known = np.add.reduceat(hit.astype(np.int64), first)
         of = np.repeat(np.arange(rows), size)[~hit] if whole else np.empty(0, np.int64)
@@ -337,4 +339,4 @@ def _scored(named: DataFrame, kind: str, bits: Broadcast, top: Broadcast, number
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[starts].view(np.int64), times.astype(np.int64))]
         return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(sums), *lists], ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
-    return map_batches(named.select("row", "key", "text"), work, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>", 300)
+    return map_batches(named.select("row", "key", "text"), work, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>", 1000)
