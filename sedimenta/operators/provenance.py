@@ -61,18 +61,18 @@ def convention(commits: DataFrame, floor: float = 0.9) -> DataFrame:
 
 
 def labelled(commits: DataFrame, changes: DataFrame, labels: DataFrame, start: str, end: str) -> DataFrame:
-    """Paths of labelled commits (hash, whole or cut short; path optional) in [start, end).
+    """Paths of labelled commits (hash, whole or else cut short; path optional) in [start, end).
 
     A short hash is joined on its own length, one equi-join a length in use.
     """
+    exact = labels.join(commits.select("hash"), "hash", "left_semi")
+    labels = labels.join(commits.select("hash"), "hash", "left_anti")
     dated = commits.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date"))).select(F.col("hash").alias("whole"))
     lengths = [r.n for r in labels.select(F.length("hash").alias("n")).distinct().orderBy("n").limit(64).collect()]
-    out = None
+    out = exact.join(dated.withColumnRenamed("whole", "hash"), "hash").select("hash", F.col("path").alias("named"))
     for n in lengths:
         one = dated.withColumn("short", F.substring("whole", 1, n)).join(labels.where(F.length("hash") == n).withColumnRenamed("hash", "short"), "short").select(F.col("whole").alias("hash"), F.col("path").alias("named"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return changes.select("path").limit(0)
+        out = out.unionByName(one)
     return out.join(changes.select("hash", "path"), "hash").where(F.col("named").isNull() | (F.col("named") == F.col("path"))).select("path").distinct()
 
 
