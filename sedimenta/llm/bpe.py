@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, ids: bool
 
     names = [*keep, *fresh(docs.select(*keep), "n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256")]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep] + ["long", *(["array<int>"] if ids else []), "string", "string"]
-    return map_batches(docs.select(*keep, "text"), work, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), 500)
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), work, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), 500)
 
 
 def decode(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
