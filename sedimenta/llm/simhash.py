@@ -7,9 +7,10 @@ variant collide. By the triangle inequality each collision is a link, so within
 a variant all may hang on its least fingerprint: no pair of a dense group is
 lost to the components, and none but these stars is written out.
 
-A fingerprint's 2,081 variants are shuffled as 79 rows: those which agree in
-their leading 12 bits travel as one row (leading bits, fingerprint) and unfold
+A fingerprint's 2,081 variants are shuffled as 46 rows: those which agree in
+their leading 9 bits travel as one row (leading bits, fingerprint) and unfold
 in the task that gets these bits. Every link is verified there by its distance.
+More leading bits (LEAD) deal the work to more tasks, for more rows: 79 at 12.
 
 Edge cases: a null or empty text has the fingerprint zero, linked like any
 other; rows without an id take the component of their fingerprint and lend it
@@ -32,8 +33,10 @@ from .common import map_batches, staged, texts
 from .graph import components
 
 HALF = 2
+#: Links to other fingerprints that `near_groups` may try for each, in each place where they meet.
+ROUNDS = 2
 #: Leading bits that deal out the variants.
-LEAD = 12
+LEAD = 9
 #: Variants that a task unfolds at a time.
 UNFOLD = 3_000_000
 
@@ -73,7 +76,7 @@ def _masks(first: int, last: int, weight: int) -> np.ndarray:
     return np.array(sorted(sum(1 << i for i in c) for k in range(weight + 1) for c in combinations(range(first, last), k)), np.uint64)
 
 
-def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among fps whose variants have the leading bits `lead` above place `low` and up to `left` more flips."""
     keep = np.uint64((1 << low) - 1)
     sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
@@ -93,7 +96,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int) -> Iter
         sizes = np.array([len(_masks(0, step, w)) for w in range(HALF + 1)])[rest]
         for a, b in _runs(sub, sizes):
             if b - a > 1:
-                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step)
+                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds)
         return
     variants, owners = [], []
     for w in range(HALF + 1):
@@ -129,11 +132,42 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int) -> Iter
     top = np.uint64(64 - LEAD)
     told = (least != fp) & ((least >> top != fp >> top) | (least >> top == value >> top))
     links = np.unique(np.stack([least, fp], 1)[told], axis=0)
+    links = _forests(links, rounds)
     if len(links):
         assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 2 * HALF).all()
         yield links[:, 0], links[:, 1]
 
 
+def _forests(links: np.ndarray, rounds: int) -> np.ndarray:
+    """Those of some links that connect what is not yet connected, then those that would without these, and so on.
+
+    A round keeps at most one link a fingerprint and loses no connection; more
+    rounds leave other ways where a link fails a later test.
+    """
+    kept: list[int] = []
+    left = list(range(len(links)))
+    pairs = links.tolist()
+    for _ in range(rounds):
+        parent: dict[int, int] = {}
+
+        def find(x: int, parent: dict[int, int] = parent) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        rest = []
+        for i in left:
+            a, b = map(find, pairs[i])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append(i)
+            else:
+                rest.append(i)
+        left = rest
+    return links[sorted(kept)]
+
+
 def _runs(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
     """Slices of whole runs of equal keys, of about UNFOLD in all or one run each."""
     edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.array([0])
@@ -146,8 +180,11 @@ def _runs(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v) between fingerprints of `distinct` (fp) that differ in at most 4 bits, enough of them to connect whatever is linked."""
+def links(distinct: DataFrame, rounds: int = 1) -> DataFrame:
+    """(u, v) between fingerprints of `distinct` (fp) that differ in at most 4 bits, enough of them to connect whatever is linked.
+
+    `rounds` times over, if so many ways there are.
+    """
     heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(LEAD), k)})
     dealt = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in heads])).alias("m")).select(F.shiftrightunsigned("fp", 64 - LEAD).cast("int").bitwiseXOR(F.col("m")).alias("lead"), "fp").repartition("lead").sortWithinPartitions("lead")
 
@@ -158,7 +195,7 @@ def links(distinct: DataFrame) -> DataFrame:
             sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
             for a, b in _runs(lead, sizes):
                 if b - a > 1:
-                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low):
+                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds):
                         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(u.view(np.int64))], ["u", "v"])
 
         kept_lead, kept_fp = np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -228,7 +265,7 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     shared = entries.groupBy("i", "mark").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     keys = staged(entries.join(shared, ["i", "mark"]).select("node", F.explode("prints").alias("print"), "mark").select("node", F.col("print").bitwiseXOR(F.col("mark")).alias("fp")))
     heads = staged(keys.groupBy("fp").agg(F.min("node").alias("head")))
-    linked = links(heads.select("fp")).distinct()  # a pair meets in several places
+    linked = links(heads.select("fp"), rounds=ROUNDS).distinct()  # a pair meets in several places
     same = keys.join(heads, "fp").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = linked.join(heads.withColumnsRenamed({"fp": "u", "head": "a"}), "u").join(heads.withColumnsRenamed({"fp": "v", "head": "b"}), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     pairs = staged(same.union(near).distinct())
