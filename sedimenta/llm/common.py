@@ -86,3 +86,16 @@ def commonest(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         cut = row.step
     return counts.where(step >= cut) if cut is not None else counts.limit(0)
+
+
+def hashed_sample(df: DataFrame, column: str, rows: int) -> list:
+    """At most `rows` distinct values of a column, those of the least hashes.
+
+    Only hashes below a bound that leaves about four times as many go on, so
+    neither a task nor the driver gets more of the values than that.
+    """
+    share = min(1.0, 4 * rows / max(1, df.count()))
+    h = F.xxhash64(column)
+    few = df.where(F.pmod(h, F.lit(1 << 31)) < int(share * (1 << 31)))
+    picked = few.groupBy(h.alias("h")).agg(F.min(column).alias(column)).orderBy("h").limit(rows)
+    return [r[0] for r in picked.select(column).collect()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import hashed_sample, map_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
@@ -269,8 +269,7 @@ def extract(page: str, weights: Weights) -> str:
 def train(pages: DataFrame, column: str = "html", rows: int = 400, chars: int = 100_000) -> Weights:
     """Weights from at most `rows` labelled pages of at most `chars` characters, in the order of a hash of the page."""
     named = pages.select(column).where(F.length(column) <= chars).where(F.col(column).rlike("(?i)<(article|main)[\\s>]"))
-    picked = named.orderBy(F.xxhash64(column), column).limit(rows)
-    return learn(sorted(r[0] for r in picked.collect()))
+    return learn(sorted(hashed_sample(named, column, rows)))
 
 
 def main_text(pages: DataFrame, weights: Weights, keep: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:

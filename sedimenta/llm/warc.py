@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import hashed_sample, shared_folder
 
 #: The skippable frame that holds the dictionary, and the magic numbers of frames and dictionaries.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -41,8 +41,7 @@ DATE = "2024-01-01T00:00:00Z"
 
 def train(pages: DataFrame, column: str = "html", rows: int = 500, chars: int = 50_000) -> bytes:
     """A dictionary from at most `rows` pages of at most `chars` characters, in the order of a hash; empty if they are too few."""
-    picked = pages.select(column).where(F.length(column).between(1, chars)).orderBy(F.xxhash64(column), column).limit(rows)
-    samples = [r[0].encode() for r in picked.collect()]
+    samples = [x.encode() for x in hashed_sample(pages.where(F.length(column).between(1, chars)), column, rows)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 10)), samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:  # samples too small or too few for a dictionary
