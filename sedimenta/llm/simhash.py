@@ -33,7 +33,7 @@ from .common import map_batches, staged, texts
 from .graph import components
 
 HALF = 2
-#: Links to other fingerprints that `near_groups` may try for each, in each place where they meet.
+#: Links to other fingerprints that `near_groups` tries first for each, in each place where they meet.
 ROUNDS = 2
 #: Leading bits that deal out the variants.
 LEAD = 9
@@ -76,8 +76,11 @@ def _masks(first: int, last: int, weight: int) -> np.ndarray:
     return np.array(sorted(sum(1 << i for i in c) for k in range(weight + 1) for c in combinations(range(first, last), k)), np.uint64)
 
 
-def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among fps whose variants have the leading bits `lead` above place `low` and up to `left` more flips."""
+def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among fps whose variants have the leading bits `lead` above place `low` and up to `left` more flips.
+
+    With `roots`, all links between different ones.
+    """
     keep = np.uint64((1 << low) - 1)
     sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
     if sizes.sum() > UNFOLD and low > 8:  # unfold by the next bits first
@@ -96,7 +99,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         sizes = np.array([len(_masks(0, step, w)) for w in range(HALF + 1)])[rest]
         for a, b in _runs(sub, sizes):
             if b - a > 1:
-                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds)
+                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds, None if roots is None else roots[row[a:b]])
         return
     variants, owners = [], []
     for w in range(HALF + 1):
@@ -124,6 +127,9 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         inside = (hit >= a) & (hit < b)
         owner[inside] = own[(hit[inside] - a) // k]
     value, fp = v[hit], fps[owner]
+    if roots is not None:
+        yield from _crossing(value, fp, roots[owner])
+        return
     order = np.lexsort((fp, value))
     value, fp = value[order], fp[order]
     first = np.concatenate([[True], value[1:] != value[:-1]])
@@ -138,6 +144,33 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         yield links[:, 0], links[:, 1]
 
 
+def _crossing(value: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of fps that share a value and aren't of one root (0 is like none), each told under one value only."""
+    order = np.lexsort((root, value))
+    value, fp, root = value[order], fp[order], root[order]
+    n = len(value)
+    last = np.flatnonzero(np.append(value[1:] != value[:-1], True)) + 1
+    stop = last[np.searchsorted(last, np.arange(n), "right")]
+    own = np.flatnonzero(np.append((value[1:] != value[:-1]) | (root[1:] != root[:-1]) | (root[1:] == 0), True)) + 1
+    other = own[np.searchsorted(own, np.arange(n), "right")]  # the first of another root
+    at = np.arange(n)
+    while len(at := at[other[at] < stop[at]]):
+        a, b = fp[at], fp[other[at]]
+        u, v = np.minimum(a, b), np.maximum(a, b)
+        told = _meeting(u, v) == value[at]
+        if told.any():
+            yield u[told], v[told]
+        other[at] += 1
+
+
+def _meeting(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The one value between u and v, HALF bits at most from each, under which their pair is told."""
+    x = u ^ v
+    one = x & (~x + np.uint64(1))
+    rest = x ^ one
+    return u ^ one ^ np.where(np.bitwise_count(x) > HALF, rest & (~rest + np.uint64(1)), np.uint64(0))
+
+
 def _forests(links: np.ndarray, rounds: int) -> np.ndarray:
     """Those of some links that connect what is not yet connected, then those that would without these, and so on.
 
@@ -183,30 +216,34 @@ def _runs(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
 def links(distinct: DataFrame, rounds: int = 1) -> DataFrame:
     """(u, v) between fingerprints of `distinct` (fp) that differ in at most 4 bits, enough of them to connect whatever is linked.
 
-    `rounds` times over, if so many ways there are.
+    `rounds` times over, if so many ways there are. With a column root in
+    `distinct`, all pairs that differ so, once each, but those of one root; 0 is like none.
     """
+    extra = [c for c in distinct.columns if c == "root"]
     heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(LEAD), k)})
-    dealt = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in heads])).alias("m")).select(F.shiftrightunsigned("fp", 64 - LEAD).cast("int").bitwiseXOR(F.col("m")).alias("lead"), "fp").repartition("lead").sortWithinPartitions("lead")
+    dealt = distinct.select("fp", *extra, F.explode(F.array(*[F.lit(m) for m in heads])).alias("m")).select(F.shiftrightunsigned("fp", 64 - LEAD).cast("int").bitwiseXOR(F.col("m")).alias("lead"), "fp", *extra).repartition("lead").sortWithinPartitions("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(lead: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(lead: np.ndarray, fp: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
             low = 64 - LEAD
             left = HALF - np.bitwise_count((fp >> np.uint64(low)) ^ lead).astype(np.int64)
             sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
             for a, b in _runs(lead, sizes):
                 if b - a > 1:
-                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds):
+                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, roots[a:b] if extra else None):
                         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(u.view(np.int64))], ["u", "v"])
 
-        kept_lead, kept_fp = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        kept_lead, kept_fp, kept_root = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             kept_lead = np.concatenate([kept_lead, batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)])
             kept_fp = np.concatenate([kept_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            if extra:
+                kept_root = np.concatenate([kept_root, batch.column(2).to_numpy(zero_copy_only=False)])
             if len(kept_lead) > 20_000 and kept_lead[0] != kept_lead[-1]:
                 cut = int(np.searchsorted(kept_lead, kept_lead[-1]))
-                yield from solve(kept_lead[:cut], kept_fp[:cut])
-                kept_lead, kept_fp = kept_lead[cut:], kept_fp[cut:]
-        yield from solve(kept_lead, kept_fp)
+                yield from solve(kept_lead[:cut], kept_fp[:cut], kept_root[:cut])
+                kept_lead, kept_fp, kept_root = kept_lead[cut:], kept_fp[cut:], kept_root[cut:]
+        yield from solve(kept_lead, kept_fp, kept_root)
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -257,18 +294,40 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     only by texts near in words and with a mark in common. A mark is a pair of
     minima of the shingle hashes; of two texts of similarity 0.8, 98 in 100
     share one. Marks that only one node has emit nothing. Colliding pairs are
-    then verified on the whole texts.
+    then verified on the whole texts: first enough of them to connect whatever
+    collides, then all that weren't tried and lie between different groups, so
+    a pair that fails hides none that holds.
     """
     prints = staged(_near_prints(docs, size))
-    nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("marks", "doc_id").alias("marks"), F.min_by("prints", "doc_id").alias("prints")).where(F.col("node").isNotNull())
-    entries = staged(nodes.select("node", "prints", F.posexplode("marks").alias("i", "mark")))
-    shared = entries.groupBy("i", "mark").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    keys = staged(entries.join(shared, ["i", "mark"]).select("node", F.explode("prints").alias("print"), "mark").select("node", F.col("print").bitwiseXOR(F.col("mark")).alias("fp")))
+    nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("marks", "doc_id").alias("marks"), F.min_by("prints", "doc_id").alias("prints"), F.min_by("n", "doc_id").alias("n")).where(F.col("node").isNotNull())
+    entries = staged(nodes.select("node", "prints", "n", F.posexplode("marks").alias("i", "mark")))
+    shared = entries.groupBy("i", "mark").agg(F.count("*").alias("holders")).where(F.col("holders") > 1)
+    keys = staged(entries.join(shared, ["i", "mark"]).select("node", "n", F.explode("prints").alias("print"), "mark").select("node", "n", F.col("print").bitwiseXOR(F.col("mark")).alias("fp")))
     heads = staged(keys.groupBy("fp").agg(F.min("node").alias("head")))
     linked = links(heads.select("fp"), rounds=ROUNDS).distinct()  # a pair meets in several places
     same = keys.join(heads, "fp").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = linked.join(heads.withColumnsRenamed({"fp": "u", "head": "a"}), "u").join(heads.withColumnsRenamed({"fp": "v", "head": "b"}), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     pairs = staged(same.union(near).distinct())
+    true = staged(_verified(docs, pairs, size, least))
+    roots = staged(components(true.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    held = staged(keys.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("root")))
+    spots = staged(held.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("root")))
+    mixed = held.join(spots.where("root = 0").select("fp"), "fp")
+    x, y = (["node", "n", "root"], {c: f"{c}_y" for c in ("node", "n", "root")})
+    same = mixed.select("fp", *x).join(mixed.withColumnsRenamed(y), "fp").where("node < node_y")
+    near = links(spots).join(held.withColumnRenamed("fp", "u"), "u").join(held.withColumnsRenamed(y | {"fp": "v"}), "v")
+    # the sizes alone keep texts of less similarity apart
+    left = same.drop("fp").unionByName(near.drop("u", "v")).where(F.col("root") != F.col("root_y")).where(F.least("n", "n_y") >= least * F.greatest("n", "n_y") - 1e-6)
+    left = staged(left.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = staged(_verified(docs, left, size, least))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("b", "a")))
+    placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return prints.select("doc_id", "digest").join(placed, "digest", "left").select("doc_id", "component_id")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts have similarity `least` or more."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # the ids grow with the documents: no side of these joins is for broadcasting
     body = staged(docs.select(F.col("doc_id").alias("node"), "text").join(ids.hint("merge"), "node").groupBy("node").agg(F.min("text").alias("text")))
@@ -279,22 +338,19 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
         return batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    true = map_batches(both.select("a", "b", "ta", "tb"), verify, f"a {kind}, b {kind}", 200)
-    roots = components(true.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "digest").join(placed, "digest", "left").select("doc_id", "component_id")
+    return map_batches(both.select("a", "b", "ta", "tb"), verify, f"a {kind}, b {kind}", 200)
 
 
 def _near_prints(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     factors = np.array(MINIMA, np.uint64)
 
-    def one(text: str) -> tuple[bytes, list[int], list[int]]:
+    def one(text: str) -> tuple[bytes, list[int], list[int], int]:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         joined = b" ".join(words)
         digest = xxhash.xxh3_128_digest(joined)
         if not words:
-            return digest, [], []
+            return digest, [], [], 0
         counts: dict[bytes, int] = {}
         for w in words:
             counts[w] = counts.get(w, 0) + 1
@@ -304,14 +360,14 @@ def _near_prints(docs: DataFrame, size: int) -> DataFrame:
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(start, stop, strict=True)], np.uint64)
         least = np.array([(h * f).min() for f in factors], np.uint64)
         marks = [int(a ^ (b >> np.uint64(1))) for a, b in least.reshape(-1, 2)]
-        return digest, marks, [_word_print(counts, s) for s in SEEDS]
+        return digest, marks, [_word_print(counts, s) for s in SEEDS], len(np.unique(h))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [one(t) for t in texts(batch)]
         longs = [pa.array([np.array(x[i], np.uint64).view(np.int64) for x in got], pa.list_(pa.int64())) for i in (1, 2)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in got], pa.binary()), *longs], ["doc_id", "digest", "marks", "prints"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in got], pa.binary()), *longs, pa.array([x[3] for x in got], pa.int64())], ["doc_id", "digest", "marks", "prints", "n"])
 
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, digest binary, marks array<long>, prints array<long>")
+    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, digest binary, marks array<long>, prints array<long>, n long")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

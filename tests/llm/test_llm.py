@@ -141,6 +141,45 @@ def test_near_groups(spark, odd, none):
     assert simhash.keep_first(none).count() == simhash.groups(none).count() == 0
 
 
+def test_near_groups_of_a_template(spark):
+    """Texts just under 0.8 alike, with near copies among them: no failed pair hides one that holds."""
+    draw = random.Random(7)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    word = lambda: vocabulary[min(draw.randrange(60), draw.randrange(60))]
+    template, texts = [word() for _ in range(300)], []
+    for _ in range(60):
+        member = list(template)
+        for at in draw.sample(range(0, 300, 10), 5):
+            member[at] = word()
+        again = list(member)
+        again[draw.randrange(300)] = word()
+        texts += [" ".join(member), " ".join(again)]
+    draw.shuffle(texts)
+    texts = list(enumerate(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    held = simhash._near_prints(df, 5).collect()
+    shared = Counter(m for r in held for m in enumerate(r.marks))
+    keys = {r.doc_id: [p ^ m for p in r.prints for m in [x for i, x in enumerate(r.marks) if shared[i, x] > 1]] for r in held}
+    meet = lambda a, b: any(((x ^ y) & (2**64 - 1)).bit_count() <= 4 for x in keys[a] for y in keys[b])
+    close = [(a, b) for k, (a, s) in enumerate(texts) for b, t in texts[k + 1 :] if meet(a, b) and simhash.similarity(s, t) >= 0.8]
+    want = roots([i for i, _ in texts], close)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()} == want
+
+
+def test_crossing_pairs(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 2**63, 20, dtype=np.uint64)
+    values = sorted({int(b) ^ sum(1 << int(i) for i in draw.choice(64, draw.integers(0, 4), replace=False)) for b in base for _ in range(8)})
+    values = [x - (1 << 64) if x >> 63 else x for x in values]
+    of = {v: int(draw.integers(0, 3)) for v in values}  # 0 is like none
+    want = sorted(tuple(sorted((a, b))) for k, a in enumerate(values) for b in values[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4 and (of[a] != of[b] or not of[a]))
+    df = spark.createDataFrame(list(of.items()), "fp long, root long")
+    for most in (simhash.UNFOLD, 3000):
+        monkeypatch.setattr(simhash, "UNFOLD", most)
+        assert sorted(tuple(sorted(r)) for r in simhash.links(df).collect()) == want
+
+
 # 3 --------------------------------------------------------------------------------------------------
 
 
