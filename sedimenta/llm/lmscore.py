@@ -210,11 +210,24 @@ class Model:
         pairs = told.where(F.col("kind") == PAIR).select("key", "n")
         # what a history's stored pairs leave to words: its count less theirs, and a discount for each
         kept = pairs.groupBy(F.shiftright("key", 32).alias("history")).agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"))
-        self.parts = {WORD: self.words, PAIR: pairs, REST: staged(kept.select(F.shiftleft("history", 32).alias("key"), F.col("kept").alias("n"), "kinds"))}
-        levels_of = lambda n: F.when(n <= 8, n).otherwise(9 + F.floor(F.log(STEP, n / 8)))
-        entries = sum(x.agg(F.sum(levels_of(F.col("n")))).first()[0] or 0 for x in self.parts.values())
-        self.segments = max(1, -(-entries * BITS // SEGMENT_BITS))
-        self.blocks = max(1, -(-self.segments * SEGMENT_BITS // 8 // BLOCK_BYTES))
+        # in quarters, so that low values stay apart
+        rests = kept.select(F.shiftleft("history", 32).alias("key"), F.floor(4 * (F.col("kept") - DISCOUNT * F.col("kinds"))).cast("long").alias("n"))
+        self.parts = {WORD: self.words, PAIR: pairs, REST: staged(rests)}
+        level = F.when(F.col("n") <= 8, F.col("n")).otherwise(F.size(F.filter(F.array(*[F.lit(int(x)) for x in LEVELS]), lambda x: x <= F.col("n"))))
+        entries = {kind: part.agg(F.sum(level)).first()[0] or 0 for kind, part in self.parts.items()}
+        own, most = entries[PAIR] + entries[REST], BLOCK_BYTES * 8 // BITS
+        # each block holds all words; where these alone need over half of it, it grows with them
+        self.blocks = 1 if entries[WORD] + own <= most else max(2, -(-own // max(most - entries[WORD], most // 2)))
+        held = dict.fromkeys(range(self.blocks), entries[WORD])
+        for kind in (PAIR, REST) if self.blocks > 1 else ():
+            for row in self.parts[kind].groupBy(self._block_of().alias("block")).agg(F.sum(level).alias("entries")).collect():
+                held[row.block] += row.entries
+        if self.blocks == 1:
+            held[0] += own
+        self.segments = [max(1, -(-x * BITS // SEGMENT_BITS)) for _, x in sorted(held.items())]
+
+    def _block_of(self) -> Column:
+        return F.pmod(F.shiftrightunsigned("key", 32), F.lit(self.blocks))
 
     def head(self, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and counts of the commonest words, at most `most`, by hash."""
@@ -225,20 +238,16 @@ class Model:
 
     def block(self, number: int) -> tuple[np.ndarray, int]:
         """Bits and segments of a block: all words, and the pairs and rests of the histories dealt to it."""
-        history = lambda key: F.pmod(F.shiftrightunsigned(key, 32), F.lit(self.blocks))
         rows = None
         for kind, part in self.parts.items():
-            own = part if kind == WORD else part.where(history(F.col("key")) == number)
-            if kind == REST:
-                # twice the stored mass less the discounts, in quarters, so that low values stay apart
-                own = own.select("key", F.floor(4 * (F.col("n") - DISCOUNT * F.col("kinds"))).cast("long").alias("n"))
+            own = part if kind == WORD else part.where(self._block_of() == number)
 
             def name(batch: pa.RecordBatch, kind: int = kind) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(item(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], ["item", "n"])
 
             named = map_batches(own.select("key", "n"), name, "item long, n long", 100_000)
             rows = named if rows is None else rows.unionByName(named)
-        segments = max(1, -(-self.segments // self.blocks))
+        segments = self.segments[number]
         bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
         for row in segment_rows(rows, segments).toLocalIterator():
             bits[row.segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(row.bits, np.uint8)

@@ -293,6 +293,21 @@ def test_lm_blocks_agree(spark, monkeypatch):
     assert sum(many.values()) == pytest.approx(sum(one.values()), rel=0.02)
 
 
+def test_lm_blocks_are_not_overfilled(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    docs = [(i, " ".join(x for k in range(600) for x in (f"w{i * 600 + k}", f"c{draw.integers(0, 2000)}"))) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    one = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True), least=1, head=50).collect()}
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", lmscore.SEGMENT_BITS // 8)
+    model = lmscore.Model(df, least=1)
+    assert model.blocks > 2
+    for number in range(model.blocks):  # ten bits an entry and five probes set about 0.39 of the bits
+        bits, _ = model.block(number)
+        assert np.bitwise_count(bits).sum() / (8 * len(bits)) < 0.43
+    many = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True), least=1, head=50).collect()}
+    assert all(many[i] == pytest.approx(one[i], rel=0.01) for i in one)
+
+
 def test_filter_reads_counts_back():
     draw = np.random.default_rng(1)
     items, n = draw.integers(0, 2**63, 5000, dtype=np.uint64), draw.integers(1, 5000, 5000)
