@@ -13,8 +13,7 @@ workers hold one block at a time, so what is broadcast has a bound at any size.
 Base counts are exact: the HEAD commonest words are looked up in the worker,
 the rest of a text's words are joined to the counts.
 
-Pairs seen once tell no more than their words and aren't stored (`least`).
-Words stand as 64-bit hashes, in pairs as two of 32 bits.
+Pairs are stored from `least` occurrences on, all by default. Words stand as 64-bit hashes, in pairs as two of 32 bits.
 
 Edge cases: a null or empty text is one end token; rows without an id count by
 the empty text; repeated rows are learned and scored each; without training
@@ -200,7 +199,7 @@ def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
 class Model:
     """Counts of a training corpus: exact ones of words, and the filter's rows for all else."""
 
-    def __init__(self, docs: DataFrame, least: int = 2):
+    def __init__(self, docs: DataFrame, least: int = 1):
         told = staged(counts(docs).where((F.col("kind") == WORD) | (F.col("n") >= least)))
         self.words = told.where(F.col("kind") == WORD).select("key", "n")
         total = self.words.agg(F.sum("n"), F.count("*")).first()
@@ -292,7 +291,7 @@ def _log10(bits: np.ndarray, segments: int, back: np.ndarray, unique: np.ndarray
     return out
 
 
-def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", least: int = 2, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", least: int = 1, head: int = HEAD) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of each row, learned from the rows where `trained_on`."""
     model = Model(docs.where(trained_on), least)
     context = docs.sparkSession.sparkContext

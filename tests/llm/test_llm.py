@@ -285,6 +285,22 @@ def test_lm_scores(spark, none):
     assert all(r.score == r.base_score == 0 for r in lmscore.score(df, F.lit(False)).collect())
 
 
+def test_lm_learns_pairs_seen_once(spark):
+    docs = [(1, "a b c d"), (2, "a b e f"), (3, "g d"), (4, "b c")]
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True)).collect()}
+    texts = {i: [*t.split(), None] for i, t in docs}
+    words = Counter(w for t in texts.values() for w in t)
+    pairs = Counter(p for t in texts.values() for p in zip(["start", *t[:-1]], t, strict=True))
+    for i, t in texts.items():
+        want = 0.0
+        for h, w in zip(["start", *t[:-1]], t, strict=True):
+            total = len(docs) if h == "start" else words[h]
+            mass = sum(n - 0.75 for (x, _), n in pairs.items() if x == h)
+            word = (words[w] + 0.5) / (words.total() + 0.5 * (len(words) + 1))
+            want += math.log10((pairs[h, w] - 0.75 + (0.5 + total - mass) * word) / (total + 0.5))
+        assert got[i] == pytest.approx(want)
+
+
 def test_lm_blocks_agree(spark, monkeypatch):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     one = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True)).collect()}
