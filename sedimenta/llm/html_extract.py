@@ -37,9 +37,10 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # fixed values of HTML and of common page templates
-RAW = frozenset("script style template textarea title iframe svg noscript object canvas math select".split())
+RAW = frozenset("script style template textarea title iframe svg noscript canvas select".split())
+TO_THE_END = frozenset(("script", "style", "title", "textarea"))  # of RAW, those that take the rest of the page where they aren't closed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input object math semantics mrow mi mn mo ms mtext mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover".split())
 CONTENT = frozenset(("article", "main"))
 JUNK_ELEMENTS = frozenset("nav aside footer form button dialog menu head".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -137,9 +138,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]], bool]:
                 block.parts.append(" ")
             continue
         if name in RAW and not closing:
-            if not attrs.rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
+            if not attrs.rstrip().endswith("/") or name in TO_THE_END:
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, place)
-                place = stop.end() if stop else end
+                if stop or name in TO_THE_END:
+                    place = stop.end() if stop else end
             continue
         if name == "a":
             links = 0 if closing else 1

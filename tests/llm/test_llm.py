@@ -454,6 +454,17 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"), weights).first().text == ""
 
 
+def test_html_of_unclosed_elements(spark):
+    weights = html_extract.learn([])
+    page = "<article><p>Some words stand before it.</p>{}<p>More words stand behind it.</p></article>"
+    both = "Some words stand before it.\nMore words stand behind it."
+    for name in ("svg", "select", "canvas", "object", "math"):
+        assert html_extract.extract(page.format(f"<{name}>"), weights) == both
+    for name in ("script", "style", "title", "textarea"):
+        assert html_extract.extract(page.format(f"<{name}>"), weights) == "Some words stand before it."
+    assert html_extract.extract(page.format("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>a fallback</object> hold.</p>"), weights).split("\n")[1] == "So x=2 and a fallback hold."
+
+
 def test_html_of_all_pages(spark):
     got = {r.page_id: r.text for r in queries.op10_html(spark, DATA).collect()}
     for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
