@@ -4,10 +4,14 @@ A document is a bag of sentences. A logistic model scores each sentence, the
 sentence probabilities are combined by noisy-or, and the weights are fitted to
 document labels alone; the fitted model then points at the offending sentences.
 
-Edge cases: a null or empty text has no sentence and scores the bias of one
-empty sentence; with no label of both classes to learn from, every score is 0.5
-times the share of positive labels (0 without labels); repeated rows are scored
-independently.
+A noisy-or over thousands of clean sentences, each with a little probability,
+would call any long text toxic. So a sentence below FLOOR has no part in it,
+and what a document has without any such sentence is a leak term of its own.
+
+Edge cases: a null or empty text has no sentence and scores the leak; with no
+label of both classes to learn from, every score is half the share of positive
+labels (0 without labels); repeated rows are scored independently; several
+labels of a document count as the greatest, several texts of an id as the least.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .common import map_batches, texts
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 EDGE = ".,;:!?…#*$%&|<>()[]{}\"'«»"
 PREFIXES = (3, 4, 5, 6, 7)
+#: Log-odds under which a sentence is clean: a probability of 0.1.
+FLOOR = float(np.log(0.1 / 0.9))
 
 
 def sentences(text: str) -> list[str]:
@@ -43,10 +49,16 @@ def features(word: str) -> list[int]:
     return [digest(f"={word}"), *(digest(word[:n]) for n in PREFIXES if len(word) >= n)]
 
 
+def mass(z: np.ndarray) -> np.ndarray:
+    """What sentences of log-odds z add to -log(1 - p) of their document."""
+    return np.maximum(0.0, np.logaddexp(0, z) - np.logaddexp(0, FLOOR))
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[int, float]  #: by a feature's hash
+    leak: float = 0.0  #: -log(1 - p) of a document of clean sentences
 
     def word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -65,8 +77,8 @@ class Model:
 
         def score(text: str) -> tuple[float, list[str], np.ndarray]:
             parts = sentences(text)
-            z = np.array([self.bias + sum(map(value, words(s))) for s in parts] or [self.bias])
-            return float(-np.expm1(-np.logaddexp(0, z).sum())), parts, 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+            z = np.array([self.bias + sum(map(value, words(s))) for s in parts])
+            return float(-np.expm1(-self.leak - mass(z).sum())), parts, 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
         return score
 
@@ -75,13 +87,14 @@ def fit(rows: list[tuple[str, int]], epochs: int = 120, least: int = 3, evidence
     """Fit to (text, 0/1) pairs by gradient ascent on the noisy-or likelihood.
 
     `least` documents must hold a feature, and its log-likelihood ratio against
-    the label must reach `evidence`; copies of a text count once.
+    the label must reach `evidence`; copies of a text count once. The first two
+    thirds of the epochs run without FLOOR, so that every sentence is moved.
     """
     rows = sorted({(t, int(y)) for t, y in rows})
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         mean = float(y.mean()) if len(y) else 0.0
-        return Model(float(np.log(max(mean / 2, 1e-6) / (1 - mean / 2))), {})
+        return Model(-60.0, {}, float(-np.log1p(-mean / 2)))
     number: dict[str, int] = {}
     bags = [[np.fromiter((number.setdefault(w, len(number)) for w in words(s)), np.int32) for s in sentences(t)] or [np.empty(0, np.int32)] for t, _ in rows]
     of_word = np.zeros((len(number), 1 + len(PREFIXES)), np.uint64)
@@ -123,26 +136,33 @@ def fit(rows: list[tuple[str, int]], epochs: int = 120, least: int = 3, evidence
             doc.append(d)
             s += 1
     at, of, doc = np.concatenate(at_parts), np.concatenate(of_parts), np.array(doc, np.int32)
-    w, b = 0.3 * np.array(start, float), -4.0
+    w, b, leak = 0.3 * np.array(start, float), -4.0, 0.0
     gw, gb = np.full(len(w), 1e-6), 1e-6
-    for _ in range(epochs):
+    for epoch in range(epochs):
         z = b + np.bincount(of, w[at], minlength=s) if len(w) else np.full(s, b)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        none = np.exp(-np.bincount(doc, np.logaddexp(0, z), minlength=n))
+        whole = 3 * epoch < 2 * epochs
+        part = np.logaddexp(0, z) if whole else mass(z)
+        none = np.exp(-leak - np.bincount(doc, part, minlength=n))
         some = np.maximum(1 - none, 1e-9)
-        g = np.where(y > 0, none / some, -1.0)[doc] * p
+        pull = np.where(y > 0, none / some, -1.0)
+        g = pull[doc] * (p if whole else np.where(z > FLOOR, p, 0.0))
         dw, db = np.bincount(at, g[of], minlength=len(w)) - ridge * w, g.sum()
         gw += dw * dw
         gb += db * db
         w, b = w + 0.5 * dw / np.sqrt(gw), b + 0.5 * db / np.sqrt(gb)
-    return Model(float(b), {f: float(x) for f, x in zip(names, w, strict=True)})
+        if not whole:  # the share of toxic documents among those without a sentence above the floor
+            clean = np.bincount(doc, part, minlength=n) == 0
+            leak = float(-np.log1p(-(y[clean].sum() + 0.1) / (clean.sum() + 10)))
+    return Model(float(b), {f: float(x) for f, x in zip(names, w, strict=True)}, leak)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = 4000, chars: int = 65_536) -> list[tuple[str, int]]:
     """At most `rows` labelled documents of at most `chars` characters each, in the order of a hash of the id.
 
-    The labels are cut to the bound before they meet the documents, so the
-    join broadcasts no more than `rows` pairs.
+    The labels are cut to the bound before they meet the documents, so the join
+    broadcasts no more than `rows` pairs; of several texts of an id, the least
+    is taken before they are collected.
     """
     picked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(allowed)
@@ -150,7 +170,7 @@ def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = 40
         .select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     )
     found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
-    return [(r.text, r.label) for r in found.select("text", "label").collect()]
+    return [(r.text, r.label) for r in found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label").collect()]
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", alarm: float = 0.5) -> DataFrame:

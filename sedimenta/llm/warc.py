@@ -7,12 +7,16 @@ numbers, header fields, lengths and payload digests. Pages with equal payloads
 of `least` bytes or more are stored once; the others are revisit records.
 
 Archives are files of the shared folder. They are written under a name of the
-task's attempt and moved to their place, so that a task that runs again
-replaces its archive by an equal one.
+task's attempt and moved to their place. Records stand in the order of page_id,
+url and payload, so a task that runs again cuts the same archives and replaces
+each by an equal one. The reader takes an archive a chunk at a time, in time
+linear in its length.
 
 Edge cases: a null or empty html is a response of no bytes; of rows that repeat
 the least page_id of a payload each is a response; an empty table makes no
-archive and reads as no record; damaged archives raise ValueError.
+archive and reads as no record; damaged archives raise ValueError; ids may be
+of any type that text can be cast to; other columns than page_id, url and html
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from .common import hashed_sample, shared_folder
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 ARCHIVE_BYTES = 8_000_000
 DICTIONARY_BYTES = 65_536
+CHUNK = 65_536
 FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 DATE = "2024-01-01T00:00:00Z"
 
@@ -52,7 +57,7 @@ def record_id(page_id: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: object, url: str | None, payload: bytes, refers_to: object) -> bytes:
     """A response record with its payload, or a revisit record of the response that refers_to names."""
     digest = f"sha256:{hashlib.sha256(payload).hexdigest()}"
     head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(page_id), "WARC-Date": DATE, "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": digest}
@@ -61,7 +66,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         body += payload
     else:
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page": str(refers_to)}
-    head |= {"X-Page": "" if page_id is None else str(page_id), "Content-Type": "application/http;msgtype=response", "Content-Length": str(len(body))}
+    if page_id is not None:
+        head["X-Page"] = str(page_id)
+    head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(body))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
@@ -114,17 +121,21 @@ def frames(archive: bytes) -> Iterator[bytes]:
         dictionary = zstandard.ZstdCompressionDict(held) if held else None
         place = 8 + size
     whole = memoryview(archive)
+    decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while place < len(archive):
-        if struct.unpack_from("<I", archive.ljust(place + 4), place)[0] != FRAME:
+        if bytes(whole[place : place + 4]) != struct.pack("<I", FRAME):
             raise ValueError(f"no Zstandard frame at byte {place}")
-        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
-        try:
-            out = [one.decompress(whole[place:])]
-        except zstandard.ZstdError as e:
-            raise ValueError(f"damaged frame at byte {place}: {e}") from e
-        if not one.eof:
-            raise ValueError(f"the frame at byte {place} is cut off")
-        place = len(archive) - len(one.unused_data)
+        one, out, start = decoder.decompressobj(), [], place
+        while not one.eof:
+            chunk = whole[place : place + CHUNK]
+            if not chunk:
+                raise ValueError(f"the frame at byte {start} is cut off")
+            try:
+                out.append(one.decompress(chunk))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"damaged frame at byte {start}: {e}") from e
+            place += len(chunk)
+        place -= len(one.unused_data)
         yield b"".join(out)
 
 
@@ -143,7 +154,7 @@ def write(pages: DataFrame, folder: str, least: int = 100) -> None:
     """Write pages (page_id, url, html) as archives into a shared folder."""
     dictionary = train(pages)
     digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
-    dealt = pages.select("page_id", "url", "html", digest.alias("digest")).join(referrals(pages, least), "digest", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    dealt = pages.select("page_id", "url", "html", digest.alias("digest")).join(referrals(pages, least), "digest", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")).sortWithinPartitions("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = filesystem(folder)
@@ -175,8 +186,8 @@ def write(pages: DataFrame, folder: str, least: int = 100) -> None:
     dealt.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
 
 
-def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of the archives' records."""
+def read(spark: SparkSession, folder: str, payload: bool = False, ids: str = "bigint") -> DataFrame:
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of the archives' records; page ids are of type `ids`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,21 +195,22 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
                 rows: list[tuple] = []
                 for raw in frames(archive.as_py()):
                     x = read_record(raw)
-                    rows.append((int(x["X-Page"]) if x["X-Page"] else None, x["WARC-Target-URI"], x["WARC-Type"], x["payload_bytes"], x["WARC-Payload-Digest"].partition(":")[2], int(x["X-Refers-To-Page"]) if "X-Refers-To-Page" in x else None, *([x["payload"]] if payload else [])))
+                    rows.append((x.get("X-Page"), x["WARC-Target-URI"], x["WARC-Type"], x["payload_bytes"], x["WARC-Payload-Digest"].partition(":")[2], x.get("X-Refers-To-Page"), *([x["payload"]] if payload else [])))
                     if len(rows) == 500:
                         yield table(rows)
                         rows = []
                 if rows:
                     yield table(rows)
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *([pa.binary()] if payload else [])]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if payload else [])]
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payload else [])]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payload else ""))
+    found = files.mapInArrow(run, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string" + (", payload binary" if payload else ""))
+    return found.withColumns({c: F.col(c).cast(ids) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -207,4 +219,4 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     system, top = filesystem(folder)
     system.create_dir(top, recursive=True)
     write(pages, folder, least)
-    return read(pages.sparkSession, folder)
+    return read(pages.sparkSession, folder, ids=pages.schema["page_id"].dataType.simpleString())
