@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import removed, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = staged(_star(_star(now, True), False))
+        last, now = now, staged(_star(_star(now, True), False))
+        removed(last)
         before, seen = seen, mark(now)
         if seen == before:
             break

@@ -1,23 +1,27 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are put on a scale of levels whose steps grow
-with the count; an item of level q is in the Bloom filter q times, once for
-each level up to q, so its count is read back by repeated membership probes.
-The model interpolates pairs with words by absolute discounting; the mass left
-to a history is kept in the filter too.
-
-The filter grows with the corpus. It is made of segments, each built in a task
-of its own, and of blocks of at most BLOCK_BYTES, dealt by the history's hash;
-workers hold one block at a time, so what is broadcast has a bound at any size.
+Counts of words, of word pairs and of the kinds of words behind each word are
+put on a scale of levels whose steps grow with the count; an item of level q is
+in the Bloom filter q times, once for each level up to q, so its count is read
+back by repeated membership probes. The model interpolates pairs with words by
+absolute discounting: p(w | h) = (max(c(h, w) - D, 0) + (PRIOR + D kinds(h)) p(w)) / (c(h) + PRIOR).
+
+Counting: each task sorts its tokens and pairs by hash and sums them; sorted
+runs of one hash range (bucket) travel as a row of arrays. The task that gets a
+bucket sums it and builds the bucket's part of the filter, as large as its
+entries need. All pairs are stored, those seen once too, under 64-bit hashes.
+
+The filter grows with the corpus. The parts for words and kinds are broadcast;
+the pairs' part is broadcast while it fits BLOCK_BYTES. Beyond, it is cut into
+blocks of at most BLOCK_BYTES, texts are read once and their probes dealt to
+the tasks that hold the blocks. The bits are the same, so are the scores.
 
 Base counts are exact: the HEAD commonest words are looked up in the worker,
 the rest of a text's words are joined to the counts.
 
-Pairs are stored from `least` occurrences on, all by default. Words stand as 64-bit hashes, in pairs as two of 32 bits.
-
 Edge cases: a null or empty text is one end token; rows without an id count by
 the empty text; repeated rows are learned and scored each; without training
-texts every score is zero.
+texts every score is zero; columns other than the key and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +41,17 @@ from .common import commonest, map_batches, staged, texts
 
 HEAD = 262_144
 BLOCK_BYTES = 128 << 20
-SEGMENT_BITS = 1 << 22
+#: Bytes of text for each bucket, and the least number of buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, 64
+#: Tokens that a task sums at a time, and entries that it gathers of a bucket before it sums them.
+FLUSH = 3_000_000
 BITS, PROBES = 10, 5
 DISCOUNT, PRIOR = 0.75, 0.5
 STEP = 1.25
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))
 #: Kinds of what the filter counts.
-WORD, PAIR, REST = 1, 2, 3
+WORD, PAIR, KINDS = 1, 2, 3
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def levels(most: float = 2.0**62) -> np.ndarray:
@@ -67,52 +75,65 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def item(kind: int, key: np.ndarray) -> np.ndarray:
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the leading bits, so that sorted keys have sorted buckets."""
     with np.errstate(over="ignore"):
-        return mix(key + np.uint64(kind) * np.uint64(0x9E3779B97F4A7C15))
+        return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def segment_of(items: np.ndarray, segments: int) -> np.ndarray:
-    """The segment that holds all levels of an item."""
+def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of a key's bit places at a level, as shares of 2^32."""
     with np.errstate(over="ignore"):
-        return ((items >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+        h = mix(keys + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+    return h & LOW, (h >> np.uint64(32)) | np.uint64(1)
 
 
-def _probes(items: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and step of an item's bit places at a level."""
-    with np.errstate(over="ignore"):
-        h = mix(items + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+def entries(n: np.ndarray) -> int:
+    return int(np.searchsorted(LEVELS, n, "right").sum())
 
 
-def add(bits: np.ndarray, items: np.ndarray, count: np.ndarray, segments: int, first: int = 0) -> None:
-    """Put items with their counts into an array of bits that begins at segment `first`."""
-    top = np.searchsorted(LEVELS, count, "right")
+def build(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The filter of one bucket as bytes, BITS bits for each level of each key."""
+    top = np.searchsorted(LEVELS, n, "right")
+    size = np.uint64(64 * max(1, -(-int(top.sum()) * BITS // 64)))
+    bits = np.zeros(int(size), bool)
     for level in range(1, int(top.max(initial=0)) + 1):
-        own = items[top >= level]
-        start = (segment_of(own, segments) - first) * SEGMENT_BITS
-        a, b = _probes(own, level)
+        a, b = _places(keys[top >= level], level)
         for _ in range(PROBES):
-            at = start + (a & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-            a = a + b
-
-
-def count(bits: np.ndarray, items: np.ndarray, segments: int) -> np.ndarray:
-    """Counts of items, read back level by level until one is missing; a probe is made only for those that passed the last."""
-    out = np.zeros(len(items), np.int64)
-    start = segment_of(items, segments) * SEGMENT_BITS
-    live, level = np.arange(len(items)), 1
-    while len(live) and level < len(VALUES):
-        a, b = _probes(items[live], level)
-        for _ in range(PROBES):
-            at = start[live] + (a & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
-            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            live, b = live[hit], b[hit]
-            a = a[hit] + b
-        out[live] = level
-        level += 1
-    return VALUES[out]
+            bits[(a * size >> np.uint64(32)).astype(np.int64)] = True
+            a = (a + b) & LOW
+    return np.packbits(bits, bitorder="little")
+
+
+class Filter:
+    """Filters of several buckets, first to last, side by side."""
+
+    def __init__(self, parts: list[bytes], buckets: int, first: int = 0):
+        self.bits = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([8 * len(x) for x in parts], np.uint64)
+        self.start, self.size = (np.cumsum(size) - size).astype(np.int64), size
+        self.buckets, self.first = buckets, first
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys, read back level by level until one is missing; a probe is made only for those that passed the last."""
+        out = np.zeros(len(keys), np.int64)
+        bucket = bucket_of(keys, self.buckets) - self.first
+        live = np.flatnonzero((bucket >= 0) & (bucket < len(self.size)))
+        bucket = bucket[live]
+        live = live[held := self.size[bucket] > 0]
+        bucket = bucket[held]
+        start, size, level = self.start[bucket], self.size[bucket], 1
+        while len(live) and level < len(VALUES):
+            a, b = _places(keys[live], level)
+            for _ in range(PROBES):
+                at = start + (a * size >> np.uint64(32)).astype(np.int64)
+                hit = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if len(hit) < len(live):
+                    live, b, start, size, a = live[hit], b[hit], start[hit], size[hit], a[hit]
+                a = (a + b) & LOW
+            out[live] = level
+            level += 1
+        return VALUES[out]
 
 
 def hashed(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,99 +155,144 @@ def histories(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def pair(history: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return (mix(history) >> np.uint64(32) << np.uint64(32)) | (mix(token) >> np.uint64(32))
+    with np.errstate(over="ignore"):
+        return mix(history * np.uint64(0x9E3779B97F4A7C15) + mix(token))
+
+
+def kinds_key(history: np.ndarray) -> np.ndarray:
+    """A history's key among the counts of kinds; a start of text is one like any other."""
+    return mix(history + np.uint64(0x9E3779B97F4A7C15))
+
+
+def summed(key: np.ndarray, n: np.ndarray, *along: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, their sums of n, and what goes along with each."""
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[start], np.add.reduceat(n[order], start) if len(start) else n[:0], *(x[order[start]] for x in along)
 
 
-def _summed(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+SUMS = "kind tinyint, bucket long, keys binary, n binary, histories binary"
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) of the tokens and of the token pairs of all texts."""
+def _arrays(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values cut at edges, as binary."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _sums(kind: int, buckets: int, key: np.ndarray, n: np.ndarray, history: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys with their sums, one row a bucket."""
+    bucket = bucket_of(key, buckets)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    edges = np.append(start, len(key))
+    history = history if len(history) else np.empty(0, np.uint64)
+    histories = _arrays(history, edges) if len(history) else pa.nulls(len(start), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int8)), pa.array(bucket[start]), _arrays(key, edges), _arrays(n.astype(np.int64), edges), histories], ["kind", "bucket", "keys", "n", "histories"])
+
+
+def counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """SUMS of the tokens and of the token pairs of all texts, summed in each task a stretch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, size = [], [], 0
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tokens, before = (np.concatenate(x) for x in zip(*held, strict=True))
+            ones = np.ones(len(tokens), np.int32)
+            yield _sums(WORD, buckets, *summed(tokens, ones), np.empty(0, np.uint64))
+            yield _sums(PAIR, buckets, *summed(pair(before, tokens), ones, before))
+
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 tokens, first = hashed(texts(batch.slice(start, 500)))
-                words.append(tokens)
-                pairs.append(pair(histories(tokens, first), tokens))
+                held.append((tokens, histories(tokens, first)))
                 size += len(tokens)
-                if size > 2_000_000:
-                    yield _summed(WORD, words)
-                    yield _summed(PAIR, pairs)
-                    words, pairs, size = [], [], 0
-        if words:
-            yield _summed(WORD, words)
-            yield _summed(PAIR, pairs)
+                if size > FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
 
-    return docs.select("text").mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, SUMS)
 
 
-def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits): the filter's segments, each built where its items (item, n) are dealt to."""
+TOLD = "kind tinyint, bucket long, entries long, total long, keys binary, n binary, histories binary, bits binary"
 
-    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items = batch.column("item").to_numpy().view(np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(segment_of(items, segments)), batch.column("item"), batch.column("n")], ["segment", "item", "n"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
+def merged(sums: DataFrame, buckets: int) -> DataFrame:
+    """TOLD: each bucket's filter; of words their counts too, of pairs the numbers of kinds by history, to be merged again."""
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["segment", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def row(kind: int, bucket: int, key: np.ndarray, n: np.ndarray, keep: bool) -> pa.RecordBatch:
+            values = [kind, bucket, entries(n), int(n.sum()), key.tobytes() if keep else None, n.tobytes() if keep else None, None, build(key, n).tobytes()]
+            types = [pa.int8(), *[pa.int64()] * 3, *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in TOLD.split(", ")])
+
+        def fold() -> None:
+            nonlocal held, size
+            held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            fold()
+            kind, bucket = now
+            key, n, *of = held[0]
+            yield row(kind, bucket, key, n, kind == WORD)
+            if kind == PAIR:
+                history, kinds = np.unique(of[0], return_counts=True)
+                told = _sums(KINDS, buckets, *summed(kinds_key(history), kinds), np.empty(0, np.uint64))
+                none = [pa.nulls(told.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([told.column(0), told.column(1), none[0], none[1], told.column(2), told.column(3), none[2], none[3]], [x.split()[0] for x in TOLD.split(", ")])
 
         for batch in batches:
-            segment = batch.column(0).to_numpy()
-            items, n = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(segment)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if now != segment[a]:
+            for kind, bucket, *arrays in zip(*(batch.column(i) for i in range(5)), strict=True):
+                at = kind.as_py(), bucket.as_py()
+                if at != now:
                     if now is not None:
-                        yield done()
-                    now, bits = int(segment[a]), np.zeros(SEGMENT_BITS // 8, np.uint8)
-                add(bits, items[a:b], n[a:b], segments, now)
+                        yield from done()
+                    now, held, size = at, [], 0
+                key, n, of = ((np.frombuffer(x.as_buffer(), t) if x.is_valid else None) for x, t in zip(arrays, (np.uint64, np.int64, np.uint64), strict=True))
+                held.append((key, n) if of is None else (key, n, of))
+                size += len(key)
+                if size > 2 * FLUSH and len(held) > 1:
+                    fold()
         if now is not None:
-            yield done()
+            yield from done()
 
-    dealt = map_batches(rows.select("item", "n"), deal, "segment long, item long, n long", 100_000)
-    return dealt.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment long, bits binary")
+    return sums.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, TOLD)
 
 
 class Model:
-    """Counts of a training corpus: exact ones of words, and the filter's rows for all else."""
-
-    def __init__(self, docs: DataFrame, least: int = 1):
-        told = staged(counts(docs).where((F.col("kind") == WORD) | (F.col("n") >= least)))
-        self.words = told.where(F.col("kind") == WORD).select("key", "n")
-        total = self.words.agg(F.sum("n"), F.count("*")).first()
-        self.tokens, self.distinct = total[0] or 0, total[1]
-        self.texts = docs.count()
+    """Counts of a training corpus: exact ones of words, and the filters of words, pairs and kinds."""
+
+    def __init__(self, docs: DataFrame):
+        size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        self.texts = size[0]
+        self.buckets = max(BUCKETS, -(-(size[1] or 0) // BUCKET_BYTES))
+        self.told = staged(merged(counts(docs, self.buckets), self.buckets))
+        kinds = self.told.where((F.col("kind") == KINDS) & F.col("bits").isNull()).select("kind", "bucket", "keys", "n", "histories")
+        self.kinds = staged(merged(kinds, self.buckets))
+        held = self.told.where(F.col("kind") == WORD)
+        total = held.agg(F.sum("total"), F.sum(F.octet_length("keys") / 8).cast("long")).first()
+        self.tokens, self.distinct = total[0] or 0, total[1] or 0
         self.scale = self.tokens + 0.5 * (self.distinct + 1)
-        pairs = told.where(F.col("kind") == PAIR).select("key", "n")
-        # what a history's stored pairs leave to words: its count less theirs, and a discount for each
-        kept = pairs.groupBy(F.shiftright("key", 32).alias("history")).agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"))
-        # in quarters, so that low values stay apart
-        rests = kept.select(F.shiftleft("history", 32).alias("key"), F.floor(4 * (F.col("kept") - DISCOUNT * F.col("kinds"))).cast("long").alias("n"))
-        self.parts = {WORD: self.words, PAIR: pairs, REST: staged(rests)}
-        level = F.when(F.col("n") <= 8, F.col("n")).otherwise(F.size(F.filter(F.array(*[F.lit(int(x)) for x in LEVELS]), lambda x: x <= F.col("n"))))
-        entries = {kind: part.agg(F.sum(level)).first()[0] or 0 for kind, part in self.parts.items()}
-        own, most = entries[PAIR] + entries[REST], BLOCK_BYTES * 8 // BITS
-        # each block holds all words; where these alone need over half of it, it grows with them
-        self.blocks = 1 if entries[WORD] + own <= most else max(2, -(-own // max(most - entries[WORD], most // 2)))
-        held = dict.fromkeys(range(self.blocks), entries[WORD])
-        for kind in (PAIR, REST) if self.blocks > 1 else ():
-            for row in self.parts[kind].groupBy(self._block_of().alias("block")).agg(F.sum(level).alias("entries")).collect():
-                held[row.block] += row.entries
-        if self.blocks == 1:
-            held[0] += own
-        self.segments = [max(1, -(-x * BITS // SEGMENT_BITS)) for _, x in sorted(held.items())]
-
-    def _block_of(self) -> Column:
-        return F.pmod(F.shiftrightunsigned("key", 32), F.lit(self.blocks))
+
+        def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+            key, n = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+        self.words = map_batches(held.select("keys", "n"), unpack, "key long, n long", 1)
+        # the first bucket of each block of pairs: one number for each of the buckets, themselves of bounded size
+        sizes = {r.bucket: r.size for r in self.told.where(F.col("kind") == PAIR).select("bucket", F.octet_length("bits").alias("size")).collect()}
+        self.blocks, room = [0], BLOCK_BYTES
+        for bucket in range(self.buckets):
+            if sizes.get(bucket, 0) > room and bucket > self.blocks[-1]:
+                self.blocks.append(bucket)
+                room = BLOCK_BYTES
+            room -= sizes.get(bucket, 0)
 
     def head(self, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and counts of the commonest words, at most `most`, by hash."""
@@ -235,22 +301,13 @@ class Model:
         order = np.argsort(key)
         return key[order], n[order]
 
-    def block(self, number: int) -> tuple[np.ndarray, int]:
-        """Bits and segments of a block: all words, and the pairs and rests of the histories dealt to it."""
-        rows = None
-        for kind, part in self.parts.items():
-            own = part if kind == WORD else part.where(self._block_of() == number)
-
-            def name(batch: pa.RecordBatch, kind: int = kind) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(item(kind, batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], ["item", "n"])
-
-            named = map_batches(own.select("key", "n"), name, "item long, n long", 100_000)
-            rows = named if rows is None else rows.unionByName(named)
-        segments = self.segments[number]
-        bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-        for row in segment_rows(rows, segments).toLocalIterator():
-            bits[row.segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(row.bits, np.uint8)
-        return bits, segments
+    def filter(self, kind: int) -> Filter:
+        """The whole filter of a kind."""
+        rows = (self.kinds if kind == KINDS else self.told.where(F.col("kind") == kind)).select("bucket", "bits").toArrow()
+        parts = [b""] * self.buckets
+        for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            parts[bucket] = bits
+        return Filter(parts, self.buckets)
 
 
 def _looked_up(head: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,55 +320,29 @@ def _looked_up(head: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> tuple
     return hit, np.where(hit, n[at], 0)
 
 
-def _log10(bits: np.ndarray, segments: int, back: np.ndarray, unique: np.ndarray, hit: np.ndarray, n: np.ndarray, tokens: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
-    """log10 of each token's probability after its history; 0 where the history isn't the block's.
+def _log10(seen: np.ndarray, rest: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """log10 of probabilities from counts of pairs, the mass left to words times the word's share, and counts of histories.
 
-    tokens are unique[back]; hit and n tell which of `unique` are in the head and their counts.
+    Quantised counts may exceed the history's own, so they are held to it.
     """
-    n = n.astype(float)
-    n[~hit] = count(bits, item(WORD, unique[~hit]), segments)
-    word = (n + 0.5) / model["scale"]
-    # a history is the token before, or the start of a text, which comes last here
-    starts = np.append(unique, np.uint64(0))
-    kept = count(bits, item(REST, mix(starts) >> np.uint64(32) << np.uint64(32)), segments) / 4
-    total = np.append(n, float(model["texts"]))
-    before = np.append(len(unique), back[:-1]) if len(back) else back
-    before[first] = len(unique)
-    total, mass = total[before], np.minimum(kept, total)[before]
-    short = np.append(mix(unique), mix(np.zeros(1, np.uint64))) >> np.uint64(32)
-    keys = short[before] << np.uint64(32) | short[back]  # as `pair` makes them
-    stored = np.flatnonzero(mass > 0)  # the others' histories have no pair in the filter
-    seen = np.zeros(len(tokens))
-    which, once = pd.factorize(keys[stored])  # common pairs have many levels; each is probed once
-    seen[stored] = np.minimum(np.maximum(count(bits, item(PAIR, once), segments)[which] - DISCOUNT, 0), mass[stored])
-    p = (seen + (PRIOR + total - mass) * word[back]) / (total + PRIOR)
-    out = np.log10(np.minimum(p, 1.0))
-    if model["blocks"] > 1:
-        out[(keys >> np.uint64(32)) % np.uint64(model["blocks"]) != np.uint64(model["block"])] = 0
-    return out
+    return np.log10(np.minimum((np.minimum(np.maximum(seen - DISCOUNT, 0), total) + rest) / (total + PRIOR), 1.0))
 
 
-def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", least: int = 1, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", head: int = HEAD) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of each row, learned from the rows where `trained_on`."""
-    model = Model(docs.where(trained_on), least)
+    model = Model(docs.where(trained_on))
     context = docs.sparkSession.sparkContext
-    top = context.broadcast(model.head(head))
-    numbers = {"scale": model.scale, "texts": model.texts, "blocks": model.blocks}
-    named = docs.select(F.col(key).alias("key"), "text")
-    if model.blocks > 1:
-        named = staged(named.withColumn("row", F.monotonically_increasing_id()))
-    else:
-        named = named.withColumn("row", F.monotonically_increasing_id())
-    kind = named.schema["key"].dataType.simpleString()
-
-    def scored(number: int) -> DataFrame:
-        bits = context.broadcast(model.block(number))
-        return _scored(named, kind, bits, top, numbers | {"block": number}, number == 0)
-
-    parts = [staged(scored(i)) for i in range(model.blocks)]
-    own = parts[0]
-    for extra in parts[1:]:
-        own = own.join(extra.select("row", F.col("score").alias("more")), "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
+    shared = [context.broadcast(x) for x in (model.head(head), model.filter(WORD), model.filter(KINDS))]
+    if len(model.blocks) == 1:
+        shared.append(context.broadcast(model.filter(PAIR)))
+    named = docs.select(F.col(key).alias("key"), "text").withColumn("row", F.monotonically_increasing_id())
+    numbers = {"scale": model.scale, "texts": model.texts, "blocks": np.array(model.blocks), "buckets": model.buckets}
+    found = staged(_scored(named, named.schema["key"].dataType.simpleString(), shared, numbers))
+    for x in shared:
+        x.destroy()
+    own = found.where("row IS NOT NULL").drop("block", "probes")
+    if len(model.blocks) > 1:
+        own = own.drop("score").join(_probed(model, found.where("block IS NOT NULL").select("block", "probes")), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     log = lambda n: F.log10((n + F.lit(0.5)) / F.lit(model.scale))
     rest = (
         own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
@@ -325,26 +356,106 @@ def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", least: int =
     )
 
 
-def _scored(named: DataFrame, kind: str, bits: Broadcast, top: Broadcast, numbers: dict, whole: bool) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, first = hashed(texts(batch))
-        rows = batch.num_rows
-        back, unique = pd.factorize(tokens)
-        hit, n = _looked_up(top.value, unique)
-        sums = np.add.reduceat(_log10(*bits.value, back, unique, hit, n, tokens, first, numbers), first)
-        size = np.diff(np.append(first, len(tokens)))
-        hit, n = hit[back], n[back]
-        base = np.add.reduceat(np.where(hit, np.log10((n + 0.5) / numbers["scale"]), 0.0), first)
-        known = np.add.reduceat(hit.astype(np.int64), first)
-        of = np.repeat(np.arange(rows), size)[~hit] if whole else np.empty(0, np.int64)
-        rare = tokens[~hit] if whole else np.empty(0, np.uint64)
-        order = np.lexsort((rare, of))
-        of, rare = of[order], rare[order]
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])]) if len(of) else np.empty(0, bool)
-        starts = np.flatnonzero(new)
-        times = np.diff(np.append(starts, len(of)))
-        ends = np.searchsorted(of[starts], np.arange(rows + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[starts].view(np.int64), times.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(sums), *lists], ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times"])
-
-    return map_batches(named.select("row", "key", "text"), work, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>", 1000)
+#: What goes to the task that holds a block: the row, the pair, how often, the rest's mass and the history's count.
+PROBE = np.dtype([("row", "<i8"), ("pair", "<u8"), ("times", "<i8"), ("rest", "<f8"), ("total", "<f8")])
+SCORED = ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times", "block", "probes"]
+
+
+def _scored(named: DataFrame, kind: str, shared: list[Broadcast], numbers: dict) -> DataFrame:
+    """One row for each text; with several blocks, rows of probes for each block besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, words, kinds, *pairs = (x.value for x in shared)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                tokens, first = hashed(texts(batch))
+                size = np.diff(np.append(first, len(tokens)))
+                row = batch.column("row").to_numpy()
+                back, unique = pd.factorize(tokens)
+                hit, n = _looked_up(head, unique)
+                about = n.astype(float)
+                about[~hit] = words.count(unique[~hit])
+                # a history is the token before, or the start of a text, which comes last here
+                left = PRIOR + DISCOUNT * kinds.count(kinds_key(np.append(unique, np.uint64(0))))
+                before = np.append(len(unique), back[:-1])
+                before[first] = len(unique)
+                total = np.append(about, float(numbers["texts"]))[before]
+                rest = left[before] * ((about + 0.5) / numbers["scale"])[back]
+                keys = pair(np.append(unique, np.uint64(0))[before], tokens)
+                if pairs:
+                    which, once = pd.factorize(keys)  # common pairs have many levels; each is probed once
+                    sums = np.add.reduceat(_log10(pairs[0].count(once)[which], rest, total), first)
+                else:
+                    sums = np.zeros(len(row))
+                    yield from _probes_of(numbers, np.repeat(row, size), keys, rest, total, batch.column("key").type)
+                hit, n = hit[back], n[back]
+                base = np.add.reduceat(np.where(hit, np.log10((n + 0.5) / numbers["scale"]), 0.0), first)
+                known = np.add.reduceat(hit.astype(np.int64), first)
+                of, rare = np.repeat(np.arange(len(row)), size)[~hit], tokens[~hit]
+                order = np.lexsort((rare, of))
+                of, rare = of[order], rare[order]
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])]) if len(of) else np.empty(0, bool)
+                starts = np.flatnonzero(new)
+                times = np.diff(np.append(starts, len(of)))
+                ends = np.searchsorted(of[starts], np.arange(len(row) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[starts].view(np.int64), times.astype(np.int64))]
+                none = [pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(sums), *lists, *none], SCORED)
+
+    return named.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, block long, probes binary")
+
+
+def _probes_of(numbers: dict, row: np.ndarray, keys: np.ndarray, rest: np.ndarray, total: np.ndarray, key_type: pa.DataType, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of probes, those of one row and pair together, at most `most` a row."""
+    block = np.searchsorted(numbers["blocks"], bucket_of(keys, numbers["buckets"]), "right") - 1
+    order = np.lexsort((keys, row, block))
+    block, row, keys, rest, total = (x[order] for x in (block, row, keys, rest, total))
+    start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]))
+    out = np.empty(len(start), PROBE)
+    out["row"], out["pair"], out["times"], out["rest"], out["total"] = row[start], keys[start], np.diff(np.append(start, len(keys))), rest[start], total[start]
+    block = block[start]
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    edges = np.unique(np.concatenate([edges, np.arange(0, len(block), most)]))
+    cut = _arrays(out.view(np.uint8).reshape(len(out), -1).ravel(), np.append(edges, len(out)) * PROBE.itemsize)
+    none = [pa.nulls(len(edges), t) for t in (pa.int64(), key_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(block[edges]), cut], SCORED)
+
+
+def _probed(model: Model, probes: DataFrame) -> DataFrame:
+    """(row, score): the probes answered by the tasks that hold the blocks.
+
+    A block is held by several tasks, so that its probes are no one task's.
+    """
+    spark = probes.sparkSession
+    salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // len(model.blocks)))
+    first, buckets = np.array([*model.blocks, model.buckets]), model.buckets
+    bits = model.told.where(F.col("kind") == PAIR).select("bucket", "bits")
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block = np.searchsorted(first[:-1], batch.column(0).to_numpy(), "right") - 1
+        return pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], ["block", "bucket", "data"])
+
+    held = map_batches(bits, deal, "block long, bucket long, data binary", 16).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = probes.select("block", F.lit(-1).cast("long").alias("bucket"), F.col("probes").alias("data"), F.pmod(F.xxhash64("probes"), F.lit(salts)).cast("int").alias("salt"))
+    dealt = held.unionByName(asked).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("bucket") < 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, filter = None, {}, None
+        for batch in batches:
+            for block, bucket, data, salt in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if (block.as_py(), salt.as_py()) != at:
+                    at, parts, filter = (block.as_py(), salt.as_py()), {}, None
+                if bucket.as_py() >= 0:
+                    parts[bucket.as_py()] = data.as_py()
+                    continue
+                if filter is None:
+                    a, b = int(first[at[0]]), int(first[at[0] + 1])
+                    filter, parts = Filter([parts.get(i, b"") for i in range(a, b)], buckets, a), {}
+                x = np.frombuffer(data.as_buffer(), PROBE)
+                which, once = pd.factorize(x["pair"])
+                p = x["times"] * _log10(filter.count(once)[which], x["rest"], x["total"])
+                rows, back = np.unique(x["row"], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(back, p, len(rows)))], ["row", "score"])
+
+    return dealt.mapInArrow(run, "row long, score double").groupBy("row").agg(F.sum("score").alias("score"))

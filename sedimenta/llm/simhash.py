@@ -7,10 +7,11 @@ variant collide. By the triangle inequality each collision is a link, so within
 a variant all may hang on its least fingerprint: no pair of a dense group is
 lost to the components, and none but these stars is written out.
 
-A fingerprint's 2,081 variants are shuffled as 46 rows: those which agree in
-their leading 9 bits travel as one row (leading bits, fingerprint) and unfold
-in the task that gets these bits. Every link is verified there by its distance.
-More leading bits (LEAD) deal the work to more tasks, for more rows: 79 at 12.
+A fingerprint's 2,081 variants are shuffled in groups: those which agree in
+their leading bits travel as one row (leading bits, fingerprint) and unfold in
+the task that gets these bits; 46 rows at 9 bits, 211 at 20. How many bits lead
+follows from the number of fingerprints, so that no key holds more than about
+LOAD of them. Every link is verified there by its distance.
 
 Edge cases: a null or empty text has the fingerprint zero, linked like any
 other; rows without an id take the component of their fingerprint and lend it
@@ -35,8 +36,8 @@ from .graph import components
 HALF = 2
 #: Links to other fingerprints that `near_groups` tries first for each, in each place where they meet.
 ROUNDS = 2
-#: Leading bits that deal out the variants.
-LEAD = 9
+#: Leading bits that deal out the variants, at least, and fingerprints of one leading key, about.
+LEAD, LOAD = 9, 500_000
 #: Variants that a task unfolds at a time.
 UNFOLD = 3_000_000
 
@@ -76,7 +77,15 @@ def _masks(first: int, last: int, weight: int) -> np.ndarray:
     return np.array(sorted(sum(1 << i for i in c) for k in range(weight + 1) for c in combinations(range(first, last), k)), np.uint64)
 
 
-def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leading(n: int) -> int:
+    """Leading bits for n fingerprints: as many as keep the mean load of a key under LOAD."""
+    bits = LEAD
+    while bits < 32 and n * (1 + bits + bits * (bits - 1) / 2) / 2**bits > LOAD:
+        bits += 1
+    return bits
+
+
+def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int, bits: int, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among fps whose variants have the leading bits `lead` above place `low` and up to `left` more flips.
 
     With `roots`, all links between different ones.
@@ -99,7 +108,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         sizes = np.array([len(_masks(0, step, w)) for w in range(HALF + 1)])[rest]
         for a, b in _runs(sub, sizes):
             if b - a > 1:
-                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds, None if roots is None else roots[row[a:b]])
+                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds, bits, None if roots is None else roots[row[a:b]])
         return
     variants, owners = [], []
     for w in range(HALF + 1):
@@ -135,7 +144,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
     first = np.concatenate([[True], value[1:] != value[:-1]])
     least = fp[np.flatnonzero(first)[np.cumsum(first) - 1]]
     # two of one lead that meet under another meet under their own as well, and are told there
-    top = np.uint64(64 - LEAD)
+    top = np.uint64(64 - bits)
     told = (least != fp) & ((least >> top != fp >> top) | (least >> top == value >> top))
     links = np.unique(np.stack([least, fp], 1)[told], axis=0)
     links = _forests(links, rounds)
@@ -220,30 +229,37 @@ def links(distinct: DataFrame, rounds: int = 1) -> DataFrame:
     `distinct`, all pairs that differ so, once each, but those of one root; 0 is like none.
     """
     extra = [c for c in distinct.columns if c == "root"]
-    heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(LEAD), k)})
-    dealt = distinct.select("fp", *extra, F.explode(F.array(*[F.lit(m) for m in heads])).alias("m")).select(F.shiftrightunsigned("fp", 64 - LEAD).cast("int").bitwiseXOR(F.col("m")).alias("lead"), "fp", *extra).repartition("lead").sortWithinPartitions("lead")
+    bits = leading(distinct.count())
+    low = 64 - bits
+    heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(bits), k)})
+    dealt = distinct.select("fp", *extra, F.explode(F.array(*[F.lit(m).cast("long") for m in heads])).alias("m")).select(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("m")).alias("lead"), "fp", *extra).repartition("lead").sortWithinPartitions("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(lead: np.ndarray, fp: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-            low = 64 - LEAD
+        def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held)
+            lead, fp = part.column(0).to_numpy().astype(np.uint64), part.column(1).to_numpy().view(np.uint64)
+            roots = part.column(2).to_numpy() if extra else None
             left = HALF - np.bitwise_count((fp >> np.uint64(low)) ^ lead).astype(np.int64)
             sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
             for a, b in _runs(lead, sizes):
                 if b - a > 1:
-                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, roots[a:b] if extra else None):
+                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, bits, None if roots is None else roots[a:b]):
                         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(u.view(np.int64))], ["u", "v"])
 
-        kept_lead, kept_fp, kept_root = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size = [], 0
         for batch in batches:
-            kept_lead = np.concatenate([kept_lead, batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)])
-            kept_fp = np.concatenate([kept_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if extra:
-                kept_root = np.concatenate([kept_root, batch.column(2).to_numpy(zero_copy_only=False)])
-            if len(kept_lead) > 20_000 and kept_lead[0] != kept_lead[-1]:
-                cut = int(np.searchsorted(kept_lead, kept_lead[-1]))
-                yield from solve(kept_lead[:cut], kept_fp[:cut], kept_root[:cut])
-                kept_lead, kept_fp, kept_root = kept_lead[cut:], kept_fp[cut:], kept_root[cut:]
-        yield from solve(kept_lead, kept_fp, kept_root)
+            if not batch.num_rows:
+                continue
+            if size > 20_000:  # all but the last lead are whole
+                lead = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(lead, held[-1].column(0)[-1].as_py(), "right"))
+                if cut < batch.num_rows:
+                    yield from solve([*held, batch.slice(0, cut)])
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield from solve(held)
 
     return dealt.mapInArrow(run, "u long, v long")
 

@@ -1,21 +1,26 @@
 """Suffix-array dedup on bytes: remove what repeats an earlier string of `length` bytes.
 
-A radix sort of suffixes by their most significant digits, no deeper than
-`length` bytes; suffixes that stay equal to that depth are the repeated
-windows. The first digit is not the suffix's head but the window's minimiser,
-the 16-byte string of least hash in it: equal windows have equal minimisers at
-equal places, and neighbouring windows mostly share one, so the first pass
-deals out one row for some forty suffixes. Digits that occur once are settled;
-only the others send their bytes to the second pass, which orders the suffixes
-of a digit by all their bytes and keeps the first of each group of equals.
-
-Copies of whole texts are settled by their digest before the sort. Digits with
-more than HOT occurrences take a third pass in which every suffix is dealt out
-by itself, so no group needs to fit one task.
+A radix sort of suffixes by most significant digits, no deeper than `length`
+bytes; suffixes that stay equal to that depth are the repeated windows. Only
+equality counts, so digits are hashes, and the first one is sampled: it is the
+window's minimiser, the 16-byte string of least hash in it. Equal windows have
+equal minimisers at equal places, and neighbouring windows mostly share one, so
+the first pass deals out one row for some forty suffixes. Digits that occur
+once are settled; only the others send their bytes to the second pass, which
+sorts the suffixes of a digit by all that is left of them. Whatever comes out
+equal is compared byte by byte before anything is removed.
+
+Copies of whole texts are settled by their SHA-256 before the sort. Of a digit
+that a batch of texts holds twice or more, one row goes to the digit's task and
+the others, known to repeat, anywhere. Digits with more than HOT occurrences
+take a third pass in which every suffix is dealt out by 128 bits of its own
+hash and only the least place of each is joined back, by place, so no group of
+equals meets in one task. HOT changes the way, not the result.
 
 Edge cases: a null text is empty; texts under `length` bytes lose nothing;
 repeated rows (same id, same text) are one document; rows without an id come
-after all others; texts under one id are ordered by their digests.
+after all others; texts under one id are ordered by their digests; columns
+other than doc_id and text are ignored; `length` is 16 to 1,000.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, staged
 
 DIGIT = 16
-HOT = 200_000
+HOT = 50_000
 #: Bytes of a text that are sorted at a time; pieces overlap by a window less one byte.
 PIECE = 60_000
 CHUNK = 1 << 20
@@ -93,8 +98,13 @@ def _pack(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return at << 20 | (at - first) << 10 | (last - first)
 
 
+#: A minimiser's digit was seen once in its batch of texts; twice or more, this row speaks for them; twice or more, another does.
+ALONE, FIRST, FURTHER = 0, 1, 2
+SPOTS = "digit long, doc long, spot long"
+
+
 def digits(docs: DataFrame, length: int) -> DataFrame:
-    """(digit, doc, spot): spot packs the minimiser's place with its first and last window."""
+    """(digit, doc, spot, kind): spot packs the minimiser's place with its first and last window."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column("doc").to_numpy()
@@ -106,30 +116,45 @@ def digits(docs: DataFrame, length: int) -> DataFrame:
                 spot.append(_pack(at, first, last))
         if not digit:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(digit).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(spot))], ["digit", "doc", "spot"])
+        digit = np.concatenate(digit).view(np.int64)
+        order = np.argsort(digit, kind="stable")
+        digit = digit[order]
+        new = np.concatenate([[True], digit[1:] != digit[:-1]])
+        alone = new & np.append(new[1:], True)
+        kind = np.where(alone, ALONE, np.where(new, FIRST, FURTHER)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(digit), pa.array(np.concatenate(doc)[order]), pa.array(np.concatenate(spot)[order]), pa.array(kind)], ["digit", "doc", "spot", "kind"])
 
-    return map_batches(docs.select("doc", "data"), work, "digit long, doc long, spot long", 300)
+    return map_batches(docs.select("doc", "data"), work, f"{SPOTS}, kind tinyint", 300)
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose digit some other row has; rows are streamed in the order of their digits."""
+    """The rows whose digit some other row has; rows are streamed in the order of their digits.
+
+    Only the first row of a digit in each batch goes to the digit's task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # the last row, not yet told, and the digit before it
         for batch in batches:
+            further = batch.column(3).to_numpy() == FURTHER
+            if further.any():
+                yield batch.select([0, 1, 2]).filter(pa.array(further))
+                batch = batch.filter(pa.array(~further))
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks().to_batches()[0]
             digit = now.column(0).to_numpy()
             same = np.concatenate([[before is not None and digit[0] == before], digit[1:] == digit[:-1]])
-            some = same.copy()
+            some = same | (now.column(3).to_numpy() == FIRST)
             some[:-1] |= same[1:]
-            yield now.slice(0, now.num_rows - 1).filter(pa.array(some[:-1]))
+            yield now.select([0, 1, 2]).slice(0, now.num_rows - 1).filter(pa.array(some[:-1]))
             held, before = now.slice(now.num_rows - 1), digit[-2] if len(digit) > 1 else before
-        if held is not None and before is not None and held.column(0)[0].as_py() == before:
-            yield held
+        if held is not None and (held.column(3)[0].as_py() == FIRST or before is not None and held.column(0)[0].as_py() == before):
+            yield held.select([0, 1, 2])
 
-    return rows.repartition("digit").sortWithinPartitions("digit").mapInArrow(run, "digit long, doc long, spot long")
+    further = F.col("kind") == FURTHER
+    dealt = rows.repartition(F.when(further, F.xxhash64("doc", "spot")).otherwise(F.col("digit")))
+    return dealt.sortWithinPartitions(further, "digit").mapInArrow(run, SPOTS)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -165,15 +190,39 @@ def contexts(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
     return map_batches(_packed(docs).join(lists, "doc"), work, "digit long, doc long, first long, held binary", 200)
 
 
-def _windows(held: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start) of all windows of some contexts."""
+def _windows(held: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hash, row, place in the bytes) of all windows of some contexts."""
     data = np.frombuffer(b"".join(held), np.uint8)
     size = np.array([len(x) for x in held], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    begin = np.cumsum(size) - size
     n = size - length + 1
     row = np.repeat(np.arange(len(held)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return hashes(data, length)[begin[row] + inner], row, first[row] + inner
+    place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return data, hashes(data, length)[place], row, place
+
+
+def equals(data: np.ndarray, h: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Of windows in order, for each the first that is equal to it, by the hash and then by every byte."""
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    head = np.empty(len(h), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    late = np.flatnonzero(head != np.arange(len(h)))
+    if not len(late):
+        return head
+    # windows one behind the other whose heads are so too share their bytes: each run is compared once
+    a, b = place[late], place[head[late]]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)]))
+    size = np.diff(np.append(start, len(late))) + length - 1
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(first, size)
+    wrong = np.logical_or.reduceat(data[np.repeat(a[start], size) + step] != data[np.repeat(b[start], size) + step], first)
+    if wrong.any():  # different strings of one hash
+        odd = np.isin(h, h[late[np.repeat(wrong, size - length + 1)]])
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(odd).tolist():
+            head[i] = seen.setdefault(data[place[i] : place[i] + length].tobytes(), i)
+    return head
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
@@ -194,24 +243,37 @@ def settle(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        seen, of = np.empty(0, np.uint64), None  # windows of a digit that goes on
+        # the first windows of a digit that goes on, and the bytes of their contexts
+        of, seen, seen_at, seen_in = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
 
         def solve(part: pa.Table) -> pa.RecordBatch:
-            nonlocal seen, of
+            nonlocal of, seen, seen_at, seen_in
             digit, doc, first = (part.column(i).to_numpy() for i in range(3))
             fresh = np.concatenate([[True], (digit[1:] != digit[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])])
             part, digit, doc, first = part.filter(pa.array(fresh)), digit[fresh], doc[fresh], first[fresh]
-            h, row, start = _windows(part.column(3).to_pylist(), first, length)
+            texts = part.column(3).to_pylist()
+            data, h, row, place = _windows(texts, length)
             with np.errstate(over="ignore"):
                 h = h ^ digit.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15)
-            late = np.ones(len(h), bool)
-            late[np.unique(h, return_index=True)[1]] = False
-            if of is not None and of == digit[0]:
-                late |= np.isin(h, seen)
-            last = digit[row] == digit[-1]
-            old = seen if of == digit[-1] else np.empty(0, np.uint64)
-            seen, of = np.union1d(old, h[last & ~late]), digit[-1]
-            return _runs(doc[row[late]], start[late], length)
+            goes_on = of is not None and of == digit[0]
+            if not goes_on:
+                seen, seen_at, seen_in = seen[:0], seen_at[:0], seen_in[:0]
+            old = len(seen)
+            head = equals(np.concatenate([seen_in, data]), np.concatenate([seen, h]), np.concatenate([seen_at, place + len(seen_in)]), length)
+            late = head[old:] != np.arange(old, old + len(h))
+            last = np.flatnonzero((digit[row] == digit[-1]) & ~late)
+            if not (goes_on and digit[0] == digit[-1]):
+                seen, seen_at, seen_in = seen[:0], seen_at[:0], seen_in[:0]
+            of = digit[-1]
+            rows, back = np.unique(row[last], return_inverse=True)
+            kept = [texts[i] for i in rows.tolist()]
+            width = np.array([len(x) for x in texts], np.int64)
+            moved = np.cumsum(width[rows]) - width[rows] + len(seen_in)
+            begin = (np.cumsum(width) - width)[rows]
+            seen, seen_at = np.concatenate([seen, h[last]]), np.concatenate([seen_at, place[last] - begin[back] + moved[back]])
+            seen_in = np.concatenate([seen_in, np.frombuffer(b"".join(kept), np.uint8)])
+            at = place - (np.cumsum(width) - width)[row]
+            return _runs(doc[row[late]], (first[row] + at)[late], length)
 
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
@@ -227,7 +289,11 @@ def settle(rows: DataFrame, length: int) -> DataFrame:
 
 
 def settle_hot(rows: DataFrame, length: int) -> DataFrame:
-    """The same for digits with any number of rows: every window is dealt out by its own hash."""
+    """The same for digits with any number of rows: every window is dealt out by its own 128-bit hash.
+
+    Places are combined before the shuffle, and what is joined back is keyed by
+    place, which is unique, so equal windows never gather in one task.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, first = batch.column("doc").to_numpy(), batch.column("first").to_numpy()
@@ -243,9 +309,8 @@ def settle_hot(rows: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in columns], ["a", "b", "doc", "start"])
 
     windows = staged(map_batches(rows, work, "a long, b long, doc long, start long"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"))
-    late = windows.join(first, ["a", "b"]).where(F.struct("doc", "start") != F.col("first"))
-    return late.select("doc", "start", (F.col("start") + length).alias("stop"))
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.doc", "first.start")
+    return windows.join(first, ["doc", "start"], "left_anti").select("doc", "start", (F.col("start") + length).alias("stop"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,6 +345,8 @@ def repeats(docs: DataFrame, documents: DataFrame, length: int = 100, hot: int =
 
 def dedup(docs: DataFrame, length: int = 100, hot: int = HOT, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept (binary)] of each row."""
+    if not DIGIT <= length <= 1000:
+        raise ValueError("length must be 16 to 1,000 bytes")
     named, documents = numbered(docs)
     runs = repeats(named, documents, length, hot)
     lists = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))

@@ -301,37 +301,58 @@ def test_lm_learns_pairs_seen_once(spark):
         assert got[i] == pytest.approx(want)
 
 
+def exact_scores(docs):
+    """log10 of texts under interpolated bigrams with exact counts."""
+    texts = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None] for i, t in docs}
+    words = Counter(w for t in texts.values() for w in t)
+    pairs = Counter(p for t in texts.values() for p in zip(["start", *t[:-1]], t, strict=True))
+    kinds = Counter(h for h, _ in pairs)
+    scale, n = sum(words.values()) + 0.5 * (len(words) + 1), len(docs)
+    one = lambda h, w: (pairs[h, w] - 0.75 + (0.5 + 0.75 * kinds[h]) * (words[w] + 0.5) / scale) / ((n if h == "start" else words[h]) + 0.5)
+    return {i: sum(math.log10(one(h, w)) for h, w in zip(["start", *t[:-1]], t, strict=True)) for i, t in texts.items()}
+
+
+def test_lm_scores_are_those_of_exact_counts(spark):
+    docs = documents(spark)
+    want = exact_scores(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for head in (50, lmscore.HEAD):
+        rows = {r.doc_id: r for r in lmscore.score(df, F.lit(True), head=head).collect()}
+        off = {i: abs(rows[i].score - want[i]) for i in want}
+        assert all(off[i] <= 0.1 * rows[i].n_tokens + 0.1 for i in want)  # a step of a quarter, in the pair's and in the history's count
+        assert sum(off[i] / (1 + abs(want[i])) for i in want) < 0.01 * len(want)
+
+
 def test_lm_blocks_agree(spark, monkeypatch):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
-    one = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True)).collect()}
-    monkeypatch.setattr(lmscore, "BLOCK_BYTES", lmscore.SEGMENT_BITS // 8)
-    many = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True)).collect()}
-    assert sum(many.values()) == pytest.approx(sum(one.values()), rel=0.02)
-
-
-def test_lm_blocks_are_not_overfilled(spark, monkeypatch):
-    draw = np.random.default_rng(3)
-    docs = [(i, " ".join(x for k in range(600) for x in (f"w{i * 600 + k}", f"c{draw.integers(0, 2000)}"))) for i in range(500)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    one = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True), least=1, head=50).collect()}
-    monkeypatch.setattr(lmscore, "BLOCK_BYTES", lmscore.SEGMENT_BITS // 8)
-    model = lmscore.Model(df, least=1)
-    assert model.blocks > 2
-    for number in range(model.blocks):  # ten bits an entry and five probes set about 0.39 of the bits
-        bits, _ = model.block(number)
-        assert np.bitwise_count(bits).sum() / (8 * len(bits)) < 0.43
-    many = {r.doc_id: r.score for r in lmscore.score(df, F.lit(True), least=1, head=50).collect()}
-    assert all(many[i] == pytest.approx(one[i], rel=0.01) for i in one)
+    held = queries.remainder("doc_id", 5) == 1
+    one = {r.doc_id: r.score for r in lmscore.score(df, ~held).collect()}
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4000)
+    assert len(lmscore.Model(df.where(~held)).blocks) >= 16
+    many = {r.doc_id: r.score for r in lmscore.score(df, ~held).collect()}
+    assert many == pytest.approx(one, rel=1e-9)
+
+
+def test_lm_of_odd_rows(spark, odd):
+    got = lmscore.score(odd.withColumn("row", F.lit(1)).withColumn("n", F.lit(1)), F.lit(True))
+    assert got.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = got.collect()
+    assert len(rows) == len(ODD)
+    want = exact_scores(list(enumerate(t for _, t in ODD)))
+    assert sorted(r.score for r in rows) == pytest.approx(sorted(want.values()), rel=0.1, abs=0.2)
+    assert {r.n_tokens for r in rows if r.doc_id == 5} == {3001} and len({(r.base_score, r.score) for r in rows if r.doc_id == 6}) == 1
 
 
 def test_filter_reads_counts_back():
     draw = np.random.default_rng(1)
-    items, n = draw.integers(0, 2**63, 5000, dtype=np.uint64), draw.integers(1, 5000, 5000)
-    bits = np.zeros(40 * lmscore.SEGMENT_BITS // 8, np.uint8)
-    lmscore.add(bits, items, n, 40)
-    got = lmscore.count(bits, items, 40)
+    items, n = np.sort(draw.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)), draw.integers(1, 5000, 5000)
+    bucket = lmscore.bucket_of(items, 7)
+    held = lmscore.Filter([lmscore.build(items[bucket == i], n[bucket == i]).tobytes() for i in range(7)], 7)
+    got = held.count(items)
     assert (np.abs(got - n) <= 0.25 * n + 1).mean() > 0.98
-    assert (lmscore.count(bits, draw.integers(0, 2**63, 5000, dtype=np.uint64), 40) == 0).mean() > 0.98
+    assert (held.count(draw.integers(0, 2**63, 5000, dtype=np.uint64)) == 0).mean() > 0.98
+    assert np.bitwise_count(held.bits).sum() / (8 * len(held.bits)) < 0.43  # ten bits an entry and five probes set about 0.39
+    assert not lmscore.Filter([b""] * 7, 7).count(items).any()
 
 
 # 7 --------------------------------------------------------------------------------------------------
@@ -353,6 +374,24 @@ def slow_suffix(docs, length=100):
     return out
 
 
+def test_suffix_dedup_of_whole_texts(spark):
+    docs = documents(spark)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op7_suffix_dedup(spark, DATA).collect()}
+    assert got == slow_suffix(docs)
+    hot = suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"), hot=5).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in hot} == got
+
+
+def test_equal_hashes_are_compared_by_bytes():
+    draw = np.random.default_rng(2)
+    data = np.concatenate([draw.integers(0, 3, 400, dtype=np.uint8), np.tile(draw.integers(0, 9, 60, dtype=np.uint8), 4)])
+    place = np.arange(len(data) - 20)
+    for h in (np.zeros(len(place), np.uint64), (data[place] % 2).astype(np.uint64), suffix.hashes(data, 20)[place]):
+        seen = {}
+        want = [seen.setdefault(data[i : i + 20].tobytes(), i) for i in place.tolist()]
+        assert suffix.equals(data, h, place, 20).tolist() == want
+
+
 @pytest.mark.parametrize("hot", [3, suffix.HOT])
 def test_suffix_dedup(spark, hot):
     draw = random.Random(3)
@@ -367,10 +406,14 @@ def test_suffix_dedup(spark, hot):
 
 def test_suffix_dedup_of_odd_rows(spark, odd, none):
     assert suffix.dedup(none).count() == 0
-    rows = suffix.dedup(odd).collect()
-    assert len(rows) == len(ODD)
+    got = sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffix.dedup(odd.withColumn("doc", F.lit(1)).withColumn("data", F.lit("x"))).collect())
+    ids = {i: k for k, i in enumerate(sorted({i or 99 for i, _ in ODD}))}
+    want = slow_suffix([(ids[i or 99], t) for i, t in dict(ODD).items()])
+    assert got == sorted((i or 99, *want[ids[i or 99]][:2]) for i, _ in ODD)
     two = spark.createDataFrame([(1, "q" * 150 + "r" * 150), (1, "r" * 150), (None, "q" * 150)], "doc_id long, text string")
     assert sum(r.n_removed for r in suffix.dedup(two).collect()) > 0
+    with pytest.raises(ValueError):
+        suffix.dedup(none, length=2000)
 
 
 # 8 --------------------------------------------------------------------------------------------------
