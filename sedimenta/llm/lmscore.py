@@ -43,8 +43,8 @@ HEAD = 262_144
 BLOCK_BYTES = 128 << 20
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
-#: Tokens that a task sums at a time, and entries that it gathers of a bucket before it sums them.
-FLUSH = 3_000_000
+#: Tokens that a task sums at a time, and about the entries that it gathers of a bucket before it sums them.
+FLUSH = 1_200_000
 BITS, PROBES = 10, 5
 DISCOUNT, PRIOR = 0.75, 0.5
 STEP = 1.25
@@ -257,7 +257,7 @@ def merged(sums: DataFrame, buckets: int) -> DataFrame:
                 key, n, of = ((np.frombuffer(x.as_buffer(), t) if x.is_valid else None) for x, t in zip(arrays, (np.uint64, np.int64, np.uint64), strict=True))
                 held.append((key, n) if of is None else (key, n, of))
                 size += len(key)
-                if size > 2 * FLUSH and len(held) > 1:
+                if size > max(FLUSH, 2 * len(held[0][0])) and len(held) > 1:
                     fold()
         if now is not None:
             yield from done()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, staged
 
 DIGIT = 16
-HOT = 50_000
+HOT = 200_000
 #: Bytes of a text that are sorted at a time; pieces overlap by a window less one byte.
 PIECE = 60_000
 CHUNK = 1 << 20
@@ -331,8 +331,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeats(docs: DataFrame, documents: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc, start, stop) of bytes to remove; runs may overlap."""
-    firsts = documents.where(F.col("n") >= length).groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = staged(documents.join(firsts, "digest").where(F.col("doc") != F.col("least")).select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
+    # every document but the first of its digest; joined by document, so that a text with many copies is no one task's
+    long = documents.where(F.col("n") >= length)
+    firsts = long.groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
+    copies = staged(long.join(firsts, "doc", "left_anti").select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     spots = staged(repeated(digits(docs, length)))
     spots = spots.join(copies.select("doc"), "doc", "left_anti")
     many = staged(spots.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("digit"))
