@@ -25,9 +25,15 @@ def small(sets: DataFrame, most: int = 30) -> DataFrame:
 
 
 def pairs(sets: DataFrame, most: int = 30) -> DataFrame:
-    """a, b, shared: paths a < b and the changesets they share."""
-    few = small(sets, most).select("key", "path")
-    return few.select("key", F.col("path").alias("a")).join(few.select("key", F.col("path").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """a, b, shared: paths a < b and the changesets they share.
+
+    Changesets are cut to those of `most` paths before their paths are
+    gathered, so a row holds at most that many, and the pairs unfold from it
+    without a join.
+    """
+    few = small(sets, most).groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("p"))
+    later = lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return few.select(F.explode(F.flatten(F.transform("p", later))).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("shared"))
 
 
 def _counted(found: DataFrame, revs: DataFrame) -> DataFrame:
@@ -36,25 +42,25 @@ def _counted(found: DataFrame, revs: DataFrame) -> DataFrame:
     return out.withColumn("degree", X.half_up(100 * F.col("shared") / mean)).withColumn("average_revs", X.half_up(mean))
 
 
-def coupling(sets: DataFrame, min_shared: int = 5, min_degree: int = 30, most: int = 30) -> DataFrame:
-    """entity, coupled, degree, average_revs, shared; revisions count in changesets of any size."""
+def coupling(sets: DataFrame, min_shared: int = 5, min_degree: int = 30, most: int = 30, found: DataFrame | None = None) -> DataFrame:
+    """entity, coupled, degree, average_revs, shared; revisions count in changesets of any size. `found` are the pairs, if held already."""
     revs = sets.groupBy("path").agg(F.count("*").alias("revs"))
-    out = _counted(pairs(sets, most).where(F.col("shared") >= min_shared), revs).where(F.col("degree") >= min_degree)
+    out = _counted((pairs(sets, most) if found is None else found).where(F.col("shared") >= min_shared), revs).where(F.col("degree") >= min_degree)
     return out.select(F.col("a").alias("entity"), F.col("b").alias("coupled"), "degree", "average_revs", "shared")
 
 
-def companions(sets: DataFrame, min_confidence: int = 70, min_shared: int = 20, most: int = 30) -> DataFrame:
+def companions(sets: DataFrame, min_confidence: int = 70, min_shared: int = 20, most: int = 30, found: DataFrame | None = None) -> DataFrame:
     """entity, companion, confidence, shared: of the entity's small changesets, the share that hold the companion."""
-    found = pairs(sets, most).where(F.col("shared") >= min_shared)
+    found = (pairs(sets, most) if found is None else found).where(F.col("shared") >= min_shared)
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     revs = small(sets, most).groupBy(F.col("path").alias("a")).agg(F.count("*").alias("revs"))
     out = both.join(revs, "a").withColumn("confidence", X.half_up(100 * F.col("shared") / F.col("revs"))).where(F.col("confidence") >= min_confidence)
     return out.select(F.col("a").alias("entity"), F.col("b").alias("companion"), "confidence", "shared")
 
 
-def sum_of_coupling(sets: DataFrame, min_shared: int = 5, most: int = 30) -> DataFrame:
+def sum_of_coupling(sets: DataFrame, min_shared: int = 5, most: int = 30, found: DataFrame | None = None) -> DataFrame:
     """path, soc, partners: shared changesets over all partners, and partners with enough of them."""
-    found = pairs(sets, most)
+    found = pairs(sets, most) if found is None else found
     both = found.select(F.col("a").alias("path"), "shared").union(found.select("b", "shared"))
     return both.groupBy("path").agg(F.sum("shared").alias("soc"), F.count_if(F.col("shared") >= min_shared).alias("partners"))
 

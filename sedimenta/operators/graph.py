@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _staged(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: the next round starts from files, not from a longer plan."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedimenta-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .metrics import cumulated, ranked
+from .staging import removed
+from .staging import staged as _staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,24 +23,31 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         hop = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
         new = _staged(moved.join(hop, "mid").select("node", "old", F.least("mid", "far").alias("root")))
+        removed(labels)
         labels = new.select("node", "root")
         if new.where("old <> root").isEmpty():
             return labels
 
 
 def reachable(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """src, dst, depth: what is reachable over directed edges (src, dst), at its least depth; only from `starts` (src) if given."""
-    first = edges.select("src", "dst").distinct()
-    edges = _staged(first)
-    found = edges if starts is None else edges.join(starts.select("src").distinct(), "src", "left_semi")
-    found = _staged(found.withColumn("depth", F.lit(1)))
-    edge, depth, last = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), 1, found
-    while not last.isEmpty():
-        depth += 1
-        stepped = last.select("src", "dst").join(edge, "dst").select("src", F.col("to").alias("dst")).distinct()
-        last = _staged(stepped.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = _staged(found.unionByName(last))
-    return found
+    """src, dst, depth: what is reachable over directed edges (src, dst), at its least depth; only from `starts` (src) if given.
+
+    The result has a row for each reachable pair. A round joins only what the
+    last one found, and writes only what is new.
+    """
+    edges = _staged(edges.select("src", "dst").distinct())
+    first = edges if starts is None else edges.join(starts.select("src").distinct(), "src", "left_semi")
+    rounds = [_staged(first.withColumn("depth", F.lit(1)))]
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    while not rounds[-1].isEmpty():
+        found = rounds[0]
+        for x in rounds[1:]:
+            found = found.unionByName(x)
+        reached = rounds[-1].select("src", "dst").join(step, "dst").select("src", F.col("to").alias("dst")).distinct()
+        rounds.append(_staged(reached.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(len(rounds) + 1))))
+    for x in rounds[1:]:
+        rounds[0] = rounds[0].unionByName(x)
+    return rounds[0]
 
 
 def dependents(edges: DataFrame) -> DataFrame:
@@ -59,38 +57,73 @@ def dependents(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node, root: nodes on a common cycle, those alone left out; root is the least of them."""
-    found = _staged(reachable(edges))
-    back = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return found.select("src", "dst").join(back, ["src", "dst"]).where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("root"))
+    """node, root: nodes on a common cycle, those alone left out; root is the least of them.
+
+    Forward-backward colouring. Nodes without an edge in or out are trimmed;
+    each node takes the least node that reaches it as its colour; what reaches
+    back to a colour's own node over nodes of that colour is its component, and
+    goes. The closure is never built: a round holds one row for each node.
+    """
+    left = _staged(edges.select("src", "dst").where("src <> dst").distinct())
+    out = None
+    while True:
+        left = _staged(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if left.isEmpty():
+            break
+        colour = _spread(left, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
+        same = left.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour"))
+        same = _staged(same)
+        found = _staged(colour.where("node = colour"))
+        last = found
+        while not last.isEmpty():
+            back = same.join(last.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            last = _staged(back.join(found, "node", "left_anti"))
+            found = _staged(found.unionByName(last))
+        several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        told = _staged(found.join(several, "colour").select("node", F.col("colour").alias("root")))
+        out = told if out is None else out.unionByName(told)
+        left = same.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return out if out is not None else left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+
+
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """node, colour: each node's least colour among its own and those of the nodes that reach it."""
+    now = _staged(colours)
+    while True:
+        comes = edges.join(now.withColumnsRenamed({"node": "src"}), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+        new = _staged(now.join(comes, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", "near").alias("colour")))
+        if new.where("old <> colour").isEmpty():
+            return new.select("node", "colour")
+        removed(now)
+        now = new.select("node", "colour")
 
 
 def shortest_loops(edges: DataFrame) -> DataFrame:
-    """node, length: the shortest directed loop through each node that is on one."""
-    return reachable(edges).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
+    """node, length: the shortest directed loop through each node that is on one.
+
+    Only edges within strong components are followed, from the nodes of these.
+    """
+    strong = _staged(strong_components(edges))
+    within = edges.select("src", "dst").where("src <> dst").join(strong.withColumnsRenamed({"node": "src", "root": "a"}), "src").join(strong.withColumnsRenamed({"node": "dst", "root": "b"}), "dst").where("a = b").select("src", "dst")
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("length"))
+    return reachable(within).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length")).unionByName(alone).groupBy("node").agg(F.min("length").alias("length"))
 
 
 def truck_factor(authors: DataFrame, orphan_share: float = 0.5) -> DataFrame:
     """step, person, orphaned: authors (path, person) removed greedily until over `orphan_share` of the paths have none.
 
-    A step takes who holds the most paths that still have an author; its
-    aggregates are one row, and the removed people are at most all of them.
+    A step takes who holds the most paths that still have an author. A path
+    that has lost all its authors has none of those left, so what one of these
+    holds never changes: the order is by paths held, and a path is orphaned at
+    the step of its last author. Nothing is done person by person.
     """
-    spark = authors.sparkSession
-    left = _staged(authors.select("path", "person").distinct())
-    total = left.select("path").distinct().count()
-    gone: list[tuple[int, str, float]] = []
-    orphaned = 0.0
-    while total and orphaned <= orphan_share:
-        top = left.groupBy("person").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "person").first()
-        if top is None:
-            break
-        left = left.where(F.col("person") != top.person)
-        if len(gone) % 8 == 7:
-            left = _staged(left)
-        orphaned = 1 - left.select("path").distinct().count() / total
-        gone.append((len(gone) + 1, top.person, orphaned))
-    return spark.createDataFrame(gone, "step int, person string, orphaned double")
+    held = _staged(authors.select("path", "person").distinct())
+    order = ranked(held.groupBy("person").agg(F.count("*").alias("n")), F.desc("n"), F.asc("person")).select("person", F.col("place").cast("int").alias("step"))
+    fell = held.join(order, "person").groupBy("path").agg(F.max("step").alias("step")).groupBy("step").agg(F.count("*").alias("paths"))
+    counted = order.join(fell, "step", "left").na.fill(0, ["paths"]).withColumn("place", F.col("step"))
+    total = held.agg(F.countDistinct("path").alias("total"))
+    steps = cumulated(counted, upto="paths").join(F.broadcast(total), how="cross").withColumn("orphaned", F.col("upto") / F.col("total"))
+    return steps.where((F.col("upto") - F.col("paths")) / F.col("total") <= orphan_share).select("step", "person", "orphaned")
 
 
 def lineage(renames: DataFrame) -> DataFrame:

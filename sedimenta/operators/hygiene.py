@@ -6,7 +6,9 @@ their own rows; only names and keys are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,11 +18,16 @@ from ..functions import exprs as X
 from .rules import finding
 
 # fixed values -------------------------------------------------------------------------------------
-GENERATED = r"(?i)auto[- ]?generated|generated (by|from|file|code|automatically|with)|do not (edit|modify)|@generated|code generated"
+GENERATED = r"(?i)(?<!\bnot )(auto[- ]?generated|generated (by|from|file|code|automatically|with))|do not (edit|modify)|@generated|code generated"
 GENERATED_NAME = r"(?i)\.(min\.js|min\.css|bundle\.js|map)$|(^|/)dist/"
 GENERATED_LINES = 5
-STRONG_COPYLEFT = ("GPL-2.0", "GPL-3.0", "AGPL-3.0")
-WEAK_COPYLEFT = ("LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-2.0")
+# fixed values: licence ids without obligations, and the beginnings of those with weak and with strong copyleft
+PERMISSIVE = frozenset(
+    "MIT MIT-0 ISC 0BSD APACHE-2.0 APACHE-1.1 UNLICENSE BSL-1.0 CC0-1.0 ZLIB PYTHON-2.0 PSF-2.0 BLUEOAK-1.0.0 CC-BY-3.0 CC-BY-4.0 CURL X11 WTFPL ARTISTIC-2.0 NCSA UPL-1.0"
+    " POSTGRESQL OPENSSL PHP-3.01 RUBY UNICODE-3.0 UNICODE-DFS-2016 BSD-2-CLAUSE BSD-3-CLAUSE MPL-2.0-NO-COPYLEFT-EXCEPTION".split()
+)
+WEAK_COPYLEFT = ("LGPL-", "MPL-", "EPL-", "CDDL-", "CPL-", "MS-RL", "CC-BY-SA-")
+STRONG_COPYLEFT = ("GPL-", "AGPL-", "SSPL-", "EUPL-", "OSL-")
 MAGIC = (("ELF", "7f454c46"), ("PE", "4d5a"), ("Mach-O", "cffaedfe"), ("Mach-O", "feedfacf"), ("Java class", "cafebabe"), ("zip", "504b0304"), ("gzip", "1f8b"), ("wasm", "0061736d"))
 POLICIES = {"readme": r"(?i)^readme(\.|$)", "licence": r"(?i)^(licen[cs]e|copying)(\.|-|_|$)", "contributing": r"(?i)^(\.github/|docs/)?contributing(\.|$)", "security": r"(?i)^(\.github/|docs/)?security(\.|$)", "codeowners": r"(?i)^(\.github/|docs/|\.gitlab/)?codeowners$", "changelog": r"(?i)^(changelog|changes|history|news)(\.|$)"}
 ECOSYSTEM_FILES = {"npm": r"(^|/)package\.json$", "pip": r"(^|/)(requirements[^/]*\.txt|pyproject\.toml|setup\.py)$", "gomod": r"(^|/)go\.mod$", "cargo": r"(^|/)Cargo\.toml$", "github-actions": r"^\.github/workflows/[^/]+\.ya?ml$", "docker": r"(^|/)Dockerfile$"}
@@ -100,7 +107,7 @@ def presence(tree: DataFrame) -> DataFrame:
 def owner_patterns(lines: DataFrame, tree: DataFrame) -> DataFrame:
     """pattern, matched: patterns of a CODEOWNERS file (line) and how many paths each matches."""
     pattern = F.regexp_extract("line", r"^\s*([^#\s]\S*)\s+\S", 1)
-    anchored = F.contains(F.rtrim(F.lit("/"), pattern), F.lit("/"))
+    anchored = F.contains(F.rtrim(pattern, F.lit("/")), F.lit("/"))
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, "^/", ""), r"([.+()\[\]{}^$|])", r"\\$1"), r"\*\*/?", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*")
     regex = F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("(^|.*/)")), F.regexp_replace(body, r"\?", "[^/]"), F.lit("(/.*)?$"))
     rules = lines.select(pattern.alias("pattern"), F.regexp_replace(regex, "/\\(/\\.\\*\\)\\?\\$$", "/.*\\$").alias("regex")).where("pattern <> ''").distinct()
@@ -148,56 +155,64 @@ def confusion(declared: DataFrame, locked: DataFrame) -> DataFrame:
 # licences --------------------------------------------------------------------------------------------
 
 
+STRENGTHS = ("permissive", "weak copyleft", "strong copyleft")
+
+
+def family(licence: str) -> int | None:
+    """The place of a licence id in STRENGTHS; None for an id that isn't known."""
+    name = re.sub(r"(-ONLY|-OR-LATER)$", "", licence.strip().upper().rstrip("+"))
+    if name in PERMISSIVE or name.startswith("BSD-"):
+        return 0
+    return 1 if name.startswith(WEAK_COPYLEFT) else 2 if name.startswith(STRONG_COPYLEFT) else None
+
+
 def strength(expression: str | None) -> str | None:
-    """strong, weak or permissive: of an OR the least, of an AND the most restrictive; an exception weakens.
+    """What an SPDX expression puts on its user, of STRENGTHS; null where no known id decides.
 
-    A parser by precedence: OR binds least, then AND, then WITH.
+    OR binds least, then AND, then WITH. Of an AND, the most restrictive known
+    term counts; of an OR the least restrictive, but an unknown branch hides
+    all others than a permissive one; an exception makes strong weak.
     """
-    if not expression:
-        return None
-    order = ["permissive", "weak", "strong"]
-    tokens = re.findall(r"\(|\)|[^\s()]+", expression)
-    at = 0
-
-    def peek() -> str:
-        return tokens[at].upper() if at < len(tokens) else ""
-
-    def take() -> str:
-        nonlocal at
-        at += 1
-        return tokens[at - 1]
-
-    def atom() -> int:
-        if peek() == "(":
-            take()
+    text = (expression or "").strip()
+    if "/" in text and " " not in text and not text.startswith("("):
+        text = text.replace("/", " OR ")
+    tokens = re.findall(r"\(|\)|[^\s()]+", text)[::-1]  # the next one last
+
+    def comes(word: str) -> bool:
+        if tokens and tokens[-1].upper() == word:
+            tokens.pop()
+            return True
+        return False
+
+    def atom() -> int | None:
+        if not tokens:
+            return None
+        if comes("("):
             out = either()
-            if peek() == ")":
-                take()
+            comes(")")
             return out
-        name = re.sub(r"(-only|-or-later|\+)$", "", take()) if peek() not in ("", ")") else ""
-        out = 2 if name in STRONG_COPYLEFT else 1 if name in WEAK_COPYLEFT else 0
-        if peek() == "WITH":
-            take()
-            if at < len(tokens):
-                take()
-            out = min(out, 1)
+        out = family(tokens.pop())
+        if comes("WITH"):
+            if tokens:
+                tokens.pop()
+            out = 1 if out == 2 else out
         return out
 
-    def both() -> int:
-        out = atom()
-        while peek() == "AND":
-            take()
-            out = max(out, atom())
+    def several(part: Callable[[], int | None], word: str) -> list[int | None]:
+        out = [part()]
+        while comes(word):
+            out.append(part())
         return out
 
-    def either() -> int:
-        out = both()
-        while peek() == "OR":
-            take()
-            out = min(out, both())
-        return out
+    def both() -> int | None:
+        return max((x for x in several(atom, "AND") if x is not None), default=None)
+
+    def either() -> int | None:
+        found = several(both, "OR")
+        return 0 if 0 in found else None if None in found else min(found)
 
-    return order[either()]
+    out = either()
+    return None if out is None else STRENGTHS[out]
 
 
 def _strengths(x: pd.Series) -> pd.Series:
@@ -224,12 +239,19 @@ def is_placeholder(value: Column | str) -> Column:
     return value.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(low, "(?!^)"))) <= 2) | F.contains(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), low) | F.contains(F.lit("0123456789012345678901234567890"), low)
 
 
-def sanitised(rows: DataFrame, salt: str) -> DataFrame:
-    """Sightings with the value's keyed hash for the value: rule, file, commit, line, value, placeholder, confidence."""
+def keyed_digest(value: Column | str, key: bytes) -> Column:
+    """HMAC-SHA256 of a text under a key, cut to 12 hex digits, by the definition: H(outer + H(inner + text))."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(x ^ pad for x in block).hex())) for pad in (0x36, 0x5C))
+    return F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))), 256), 1, 12)
+
+
+def sanitised(rows: DataFrame, key: bytes) -> DataFrame:
+    """Sightings with the value's keyed digest for the value: rule, file, commit, line, value, placeholder, confidence."""
     placeholder = is_placeholder("secret")
     weak = F.col("rule").startswith("generic") & F.col("secret").rlike(r"^[A-Za-z]+$")
     confidence = F.when(placeholder | weak, "low").when(F.col("rule").startswith("generic"), "medium").otherwise("high")
-    return rows.select("rule", "file", "commit", "line", F.substring(F.sha2(F.concat(F.lit(salt), "secret"), 256), 1, 12).alias("value"), placeholder.alias("placeholder"), confidence.alias("confidence"))
+    return rows.select("rule", "file", "commit", "line", keyed_digest("secret", key).alias("value"), placeholder.alias("placeholder"), confidence.alias("confidence"))
 
 
 def agent_files(tree: DataFrame) -> DataFrame:

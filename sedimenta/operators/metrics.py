@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .staging import staged
 
 RANGE = 1 << 16
 
@@ -31,9 +32,18 @@ def cumulated(ranked: DataFrame, **sums: str) -> DataFrame:
     return out.select(*ranked.columns, *[(F.sum(c).over(own) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
 
 
-def ranked(rows: DataFrame, *order) -> DataFrame:
-    """rows with `place` by a total order."""
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)))
+def ranked(rows: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `place` by a total order, within each group of `by`.
+
+    Rows are dealt out in ranges of the order; a row's place is its place in
+    its range and the rows of the ranges before, so no task holds all rows.
+    """
+    dealt = staged(rows.repartitionByRange(*[F.asc(c) for c in by], *order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*by).orderBy("_range") if by else W.orderBy("_range")
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))  # one row a range
+    starts = sizes.select(*by, "_range", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), [*by, "_range"]).select(*rows.columns, (F.col("_own") + F.col("_start")).alias("place"))
 
 
 def headroom(ranking: DataFrame, k: int = 15) -> DataFrame:
@@ -81,7 +91,7 @@ def initial_false_alarms(ranking: DataFrame, k: int | None = None) -> DataFrame:
 def spearman(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rank correlation over the keys both have (key, place); null under three."""
     both = a.select(key, F.col("place").alias("pa")).join(b.select(key, F.col("place").alias("pb")), key)
-    again = both.select(F.row_number().over(W.orderBy("pa")).alias("ra"), "pb").withColumn("rb", F.row_number().over(W.orderBy("pb")))
+    again = ranked(ranked(both, F.asc("pa")).withColumnRenamed("place", "ra"), F.asc("pb")).withColumnRenamed("place", "rb")
     n = F.count("*")
     return again.agg(F.when(n >= 3, 1 - 6 * F.sum(F.pow(F.col("ra") - F.col("rb"), F.lit(2))) / (n * (n * n - 1))).alias("rho"))
 
@@ -113,9 +123,9 @@ def median_and_p90(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def benjamini_hochberg(pvalues: DataFrame, key: str, p: str, q: float = 0.05) -> DataFrame:
     """Keys rejected at false discovery rate q: all up to the last p under its line q * i / m."""
-    order = pvalues.select(key, p, F.row_number().over(W.orderBy(p, key)).alias("i"), F.count("*").over(W.partitionBy()).alias("m"))
-    cut = order.where(F.col(p) <= F.lit(q) * F.col("i") / F.col("m")).agg(F.max("i").alias("cut"))
-    return order.join(F.broadcast(cut), F.col("i") <= F.col("cut")).select(key, p)
+    order = staged(ranked(pvalues.select(key, p), F.asc(p), F.asc(key)))
+    cut = order.join(F.broadcast(order.agg(F.count("*").alias("m"))), how="cross").where(F.col(p) <= F.lit(q) * F.col("place") / F.col("m")).agg(F.max("place").alias("cut"))
+    return order.join(F.broadcast(cut), F.col("place") <= F.col("cut")).select(key, p)
 
 
 def standardised(ranking: DataFrame, rates: int = 10) -> DataFrame:
@@ -160,30 +170,40 @@ def hypergeometric_tail(*columns) -> Column:
     return F.pandas_udf(_hypergeometric_tail, "double")(*columns)
 
 
-def sign_flip(effects: list[float]) -> float:
-    """The share of all sign patterns whose mean is at least as far from zero; exact, by fractions."""
+def sign_flip(effects: list[float | None]) -> float | None:
+    """The share of all sign patterns whose sum is at least the one seen; exact, by fractions. None without effects.
+
+    One-sided: an effect of zero stays zero under either sign. Patterns of
+    equal sums are counted together.
+    """
     from fractions import Fraction
 
-    exact = [Fraction(x) for x in effects if x]
+    exact = [Fraction(x) for x in effects if x is not None]
     if not exact:
-        return 1.0
-    sums: dict = {Fraction(0): 1}
+        return None
+    patterns = {Fraction(0): 1}
     for x in exact:
-        after: dict = {}
-        for s, k in sums.items():
+        grown: dict[Fraction, int] = {}
+        for s, k in patterns.items():
             for y in (s + x, s - x):
-                after[y] = after.get(y, 0) + k
-        sums = after
-    seen = abs(sum(exact))
-    return sum(k for s, k in sums.items() if abs(s) >= seen) / 2 ** len(exact)
-
-
-def bootstrap(groups: list[list[float]], statistic: Callable[[list[float]], float], rounds: int = 2000, seed: int = 20260918, level: float = 0.95) -> tuple[float, float]:
-    """An interval of a statistic over whole groups drawn with replacement."""
-    draw = random.Random(seed)
-    values = sorted(statistic([x for _ in groups for x in groups[draw.randrange(len(groups))]]) for _ in range(rounds))
-    low = int((1 - level) / 2 * rounds)
-    return values[low], values[rounds - 1 - low]
+                grown[y] = grown.get(y, 0) + k
+        patterns = grown
+    return sum(k for s, k in patterns.items() if s >= sum(exact)) / 2 ** len(exact)
+
+
+def bootstrap(groups: dict[str, list[float | None]], statistic: Callable[[list[float]], float | None], rounds: int = 2000, seed: int = 20260918, level: float = 0.95) -> tuple[float, float] | None:
+    """An interval of a statistic over whole groups, drawn by name with replacement; nulls are left out, None without values."""
+    held = {name: values for name in sorted(groups) if (values := [x for x in groups[name] if x is not None])}
+    draw, found = random.Random(seed), []
+    for _ in range(rounds if held else 0):
+        drawn = [draw.choice(list(held)) for _ in held]
+        if (value := statistic([x for name in drawn for x in held[name]])) is not None:
+            found.append(value)
+    if not found:
+        return None
+    found.sort()
+    low, high = (int((1 + side * level) / 2 * (len(found) - 1)) for side in (-1, 1))
+    return found[low], found[high]
 
 
 def fix_prone(counts: DataFrame, q: float = 0.05) -> DataFrame:

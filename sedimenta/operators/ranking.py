@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import metrics as M
+from .staging import staged
+
 
 def hotspots(revs: DataFrame, sizes: DataFrame) -> DataFrame:
     """path, revs, code, complexity, score = revs * code; -1 for a file of no size."""
@@ -14,23 +17,99 @@ def hotspots(revs: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("path", "revs", "code", "complexity", F.coalesce(F.col("revs") * F.col("code"), F.lit(-1)).cast("long").alias("score"))
 
 
-def watch_list(revs: DataFrame, sizes: DataFrame, tree: DataFrame, fixes: DataFrame, authors: DataFrame, owners: DataFrame, soc: DataFrame, tests: DataFrame, periods: DataFrame, min_revs: int = 2, solo_share: float = 0.9) -> DataFrame:
+#: Floors of the reasons on the watch list; fixed values.
+SOLO, MINOR, COMPLEX, GROWN, NESTED, DEBT, TESTED_SETS, TESTED_SHARE, PARTNERS, DEFINITIONS, LATE, LATE_SHARE, MONTHS = 0.9, 3, 10, 25, 5, 3, 5, 0.2, 20, 60, 3, 0.25, 12
+
+
+def _many(n: Column | str) -> Column:
+    return F.format_number(n, 0)
+
+
+def times(n: str) -> Column:
+    """once, twice, 3 times."""
+    return F.when(F.col(n) == 1, "once").when(F.col(n) == 2, "twice").otherwise(F.concat(_many(n), F.lit(" times")))
+
+
+def watch_reasons() -> Column:
+    """Why a file is worth a look, the most actionable first: its changes and fixes, its owner, what is complex in it, what its tests do, what it changes with."""
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    c = F.col
+    signed = lambda n: F.concat(F.when(c(n) >= 0, "+").otherwise(""), c(n).cast("string"))
+    others = F.size("companions") - 1
+    first = F.get("companions", F.lit(0))
+    reasons = [
+        (F.lit(True), said("changed ", times("revs"))),
+        (c("recent_fixes") > 0, said("fixed ", times("recent_fixes"), " in 6 months")),
+        ((c("recent_fixes") == 0) & (c("fixes") > 0), said("fixed ", times("fixes"))),
+        (c("authors") == 1, F.when(c("owner").isNull(), "one author only").otherwise(said("only ", c("owner"), " has touched it"))),
+        ((c("authors") != 1) & (c("owner_share") >= SOLO), said(c("owner"), " wrote ", F.bround(100 * c("owner_share"), 0).cast("long").cast("string"), "% of it")),
+        (c("minor") >= MINOR, said(_many("minor"), " of ", _many("authors"), " authors are minor contributors")),
+        (c("function.ccn") >= COMPLEX, said(c("function.function"), "() complexity ", _many("function.ccn"))),
+        (c("grown") >= GROWN, said(signed("grown"), "% summed complexity in a year", F.when(c("code_grown").isNull(), "").otherwise(said(", code ", signed("code_grown"), "%")))),
+        (c("deepest.nesting") >= NESTED, said(c("deepest.name"), "() nested ", c("deepest.nesting").cast("string"), " deep")),
+        (c("debt") >= DEBT, said(_many("debt"), " TODO/FIXME comments")),
+        ((c("sets") >= TESTED_SETS) & (X.ratio(c("with_tests"), c("sets")) <= TESTED_SHARE), F.when(c("with_tests") == 0, said("no test changed in its ", _many("sets"), " changes")).otherwise(said("a test changed in ", _many("with_tests"), " of its ", _many("sets"), " changes"))),
+        (others >= 0, said("changes with ", first["companion"], " (", first["confidence"].cast("string"), "%)", F.when(others == 0, "").otherwise(said(" and ", others.cast("string"), F.when(others == 1, " other").otherwise(" others"))))),
+        (c("partners") >= PARTNERS, said("changes alongside ", _many("partners"), " other files")),
+        (c("definitions") >= DEFINITIONS, said("defines ", _many("definitions"), " functions and classes")),
+        ((c("late") >= LATE) & (X.ratio(c("late"), c("late_revs")) >= LATE_SHARE), said(F.bround(100 * c("late") / c("late_revs"), 0).cast("long").cast("string"), "% of its changes made between midnight and 4 am")),
+        (c("periods") >= MONTHS, said("changed in ", c("periods").cast("string"), " different months")),
+    ]
+    return F.array_compact(F.array(*[F.when(when, text) for when, text in reasons]))
+
+
+#: Sides of the watch list that not every report has, with what stands for an absent one.
+SIDES = {"function": "struct<function:string,ccn:bigint>", "grown": "bigint", "code_grown": "bigint", "deepest": "struct<name:string,nesting:bigint>", "debt": "bigint", "definitions": "bigint", "late": "bigint", "late_revs": "bigint", "companions": "array<struct<companion:string,confidence:bigint>>"}
+
+
+def watch_pool(revs: DataFrame, sizes: DataFrame, tree: DataFrame, min_revs: int = 2) -> DataFrame:
+    """Files (path, revs, code, complexity) that the watch list ranks: of a size, in the tree, changed `min_revs` times, neither tests nor documents."""
+    return revs.where(F.col("revs") >= min_revs).join(sizes, "path").join(tree, "path", "left_semi").where(~X.is_test_path("path") & ~X.is_doc_path("path"))
+
+
+def watch_list(revs: DataFrame, sizes: DataFrame, tree: DataFrame, fixes: DataFrame, authors: DataFrame, owners: DataFrame, soc: DataFrame, tests: DataFrame, periods: DataFrame, *sides: DataFrame, min_revs: int = 2, solo_share: float = SOLO) -> DataFrame:
     """Files in use with their share of revisions times code, and the reasons to look at them.
 
-    Every side is one row a path, so all joins hash on `path`.
+    Every side is one row a path, so all joins hash on `path`. `sides` bring any
+    of the columns of SIDES; companions that aren't on the list are left out.
     """
-    pool = revs.where(F.col("revs") >= min_revs).join(sizes, "path").join(tree, "path", "left_semi").where(~X.is_test_path("path") & ~X.is_doc_path("path"))
+    pool = watch_pool(revs, sizes, tree, min_revs)
     top = owners.groupBy("path").agg(F.max_by("person", F.struct("added", F.col("person"))).alias("owner"), F.max("added").alias("own"), F.sum("added").alias("all"))
     rows = pool.join(fixes.select("path", "fixes", F.col("recent").alias("recent_fixes")), "path", "left").join(authors.select("path", "authors", "minor"), "path", "left").join(top, "path", "left")
     rows = rows.join(soc.select("path", "partners"), "path", "left").join(tests, "path", "left").join(periods.select("path", "periods"), "path", "left").na.fill(0, ["fixes", "recent_fixes", "partners", "minor"])
+    for side in sides:
+        rows = rows.join(side, "path", "left")
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in SIDES.items() if c not in rows.columns})
     rows = rows.withColumn("owner_share", F.coalesce(X.ratio(F.col("own"), F.col("all")), F.lit(0.0)))
     solo = (F.col("authors") == 1) | (F.col("owner_share") >= solo_share)
-    reasons = [
-        (F.col("recent_fixes") > 0, "fixed lately"), ((F.col("recent_fixes") == 0) & (F.col("fixes") > 0), "fixed"), (solo, "one owner"), (F.col("minor") >= 5, "minor contributors"),
-        ((F.col("sets") >= 10) & (X.ratio(F.col("with_tests"), F.col("sets")) <= 0.1), "tests stay"), (F.col("partners") >= 20, "many partners"), (F.col("periods") >= 12, "many months"),
-    ]
-    score = 100.0 * F.col("revs") * F.col("code") / F.sum(F.col("revs") * F.col("code")).over(W.partitionBy())
-    return rows.select("path", "revs", "fixes", "recent_fixes", "authors", "owner", "owner_share", "partners", "code", "complexity", solo.alias("solo"), score.alias("score"), F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])).alias("reasons"))
+    rows = staged(rows.withColumn("solo", solo))
+    rows = rows.join(F.broadcast(rows.agg(F.sum(F.col("revs") * F.col("code")).alias("mass"))), how="cross")  # one row
+    score = X.ratio(100 * F.col("revs") * F.col("code"), F.col("mass"))
+    return rows.select("path", "revs", "fixes", "recent_fixes", "authors", "minor", "owner", "owner_share", "partners", "code", "complexity", "solo", score.alias("score"), watch_reasons().alias("reasons"))
+
+
+def companion_side(companions: DataFrame, pool: DataFrame) -> DataFrame:
+    """path, companions of files of the pool (path), the surest first."""
+    held = companions.join(pool.select(F.col("path").alias("companion")), "companion", "left_semi").where(~X.is_test_path("companion"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("n"), "companion", F.col("confidence").cast("long").alias("confidence"))))
+    return held.groupBy(F.col("entity").alias("path")).agg(F.transform(order, lambda x: F.struct(x["companion"].alias("companion"), x["confidence"].alias("confidence"))).alias("companions"))
+
+
+def function_side(functions: DataFrame) -> DataFrame:
+    """path, function: the most complex function of each file, suspect spans aside."""
+    sure = functions.where(~F.coalesce("suspect", F.lit(False)))
+    return sure.groupBy(F.col("file").alias("path")).agg(F.max_by(F.struct("function", "ccn"), F.struct("ccn", (-F.col("start")).alias("s"))).alias("function"))
+
+
+def nesting_side(functions: DataFrame) -> DataFrame:
+    """path, deepest: the most deeply nested function of each file."""
+    return functions.groupBy(F.col("file").alias("path")).agg(F.max_by(F.struct("name", "nesting"), F.struct("nesting", (-F.col("start")).alias("s"))).alias("deepest"))
+
+
+def growth_side(trend: DataFrame) -> DataFrame:
+    """path, grown, code_grown: percent by which complexity and code grew within a year, of (path, before, after, code_before, code_after)."""
+    percent = lambda a, b: F.bround(X.ratio(100 * (F.col(b) - F.col(a)), F.col(a)), 0).cast("long")
+    return trend.select("path", percent("before", "after").alias("grown"), percent("code_before", "code_after").alias("code_grown"))
 
 
 def top(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -87,42 +166,82 @@ def fixed_between(changes: DataFrame, pool: DataFrame, start: str, end: str) ->
 
 def backtest(ranked: DataFrame, outcome: DataFrame, k: int = 15) -> DataFrame:
     """variant, pool, positives, hits, expected, best: the first k of each ordering held against what came."""
-    marked = placed(ranked, ["variant"], F.desc("key"), F.desc("revs"), F.asc("path")).join(outcome.withColumn("hit", F.lit(1)), "path", "left")
+    marked = M.ranked(ranked, F.desc("key"), F.desc("revs"), F.asc("path"), by=("variant",)).join(outcome.withColumn("hit", F.lit(1)), "path", "left")
     out = marked.groupBy("variant").agg(F.count("*").alias("pool"), F.count("hit").alias("positives"), F.count_if(F.col("hit").isNotNull() & (F.col("place") <= k)).alias("hits"))
     many = F.least(F.lit(k), "pool")
     return out.select("variant", "pool", "positives", "hits", (many * F.col("positives") / F.col("pool")).alias("expected"), F.least(F.lit(k), "pool", "positives").alias("best"))
 
 
-def change_risk(touched: DataFrame, rows: DataFrame) -> DataFrame:
-    """path, score, watched: a change's files with their place on the watch list."""
-    return touched.select("path").distinct().join(rows.select("path", "score"), "path", "left").select("path", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("watched"))
+def change_risk(touched: DataFrame, rows: DataFrame, revs: DataFrame, kinds: DataFrame | None = None, watched: int = 15) -> DataFrame:
+    """path, score, place, watched, recent_fixes, fixes, owner, owner_share, minor, reason: a change's files on the watch list, and why others aren't."""
+    placed = M.ranked(rows, F.desc("score"), F.desc("revs"), F.asc("path"))
+    out = touched.select("path").distinct().join(placed.drop("revs"), "path", "left").join(revs.select("path", "revs"), "path", "left")
+    out = out.join(kinds.select("path", F.col("reason").alias("kind")), "path", "left") if kinds is not None else out.withColumn("kind", F.lit(None).cast("string"))
+    why = F.when(F.col("score").isNotNull(), None).otherwise(F.coalesce("kind", F.when(F.col("revs") == 1, "changed once").otherwise("no revisions on record")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("path", F.coalesce("score", F.lit(0.0)).alias("score"), "place", F.coalesce(F.col("place") <= watched, F.lit(False)).alias("watched"), zero("recent_fixes"), zero("fixes"), "owner", F.coalesce("owner_share", F.lit(0.0)).alias("owner_share"), zero("minor"), why.alias("reason"))
+
+
+def change_total(risk: DataFrame, rows: DataFrame) -> DataFrame:
+    """total, watched, max_score, pool of a change."""
+    most = rows.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), F.count("*").alias("pool"))
+    return risk.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.count_if("watched").alias("watched")).join(most, how="cross")
+
+
+def running(rows: DataFrame, key: list[str], order: str, **sums: str) -> DataFrame:
+    """rows with running sums (name=column) by key in the order of a whole number, each row's own left out.
+
+    The order is cut into ranges: sums of whole ranges first, rows within a
+    range after, so a key with any number of rows is never one task's.
+    """
+    blocked = rows.withColumn("_range", F.shiftright(F.col(order).cast("long"), 14))
+    per = blocked.groupBy(*key, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = per.select(*key, "_range", *[(F.sum(f"_{n}").over(W.partitionBy(*key).orderBy("_range")) - F.col(f"_{n}")).alias(f"_{n}") for n in sums])
+    own = W.partitionBy(*key, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = blocked.select(*blocked.columns, *[(F.sum(c).over(own) - F.col(c)).alias(f"__{n}") for n, c in sums.items()]).join(before, [*key, "_range"])
+    return out.select(*rows.columns, *[(F.col(f"__{n}") + F.col(f"_{n}")).alias(n) for n in sums])
 
 
-def change_factors(changes: DataFrame) -> DataFrame:
-    """A commit's size, spread and history: hash, nf, nd, ns, la, ld, fix, entropy, ndev, nuc, exp.
+def change_factors(changes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """A commit's size, spread and history: hash, nf, nd, ns, la, ld, lt, fix, entropy, ndev, nuc, age, exp, sexp.
 
-    What came before a change is its rank among the path's or author's own, so
-    each history is one window over one key.
+    lt is the lines its files have in `sizes`, ndev the most people who had
+    touched one of them, nuc their changes before, age how many were changed in
+    the month before, exp and sexp the author's commits before and their changes
+    in these subsystems.
     """
-    path, author = W.partitionBy("path").orderBy("pos"), W.partitionBy("author").orderBy("pos")
-    first = F.when(F.row_number().over(W.partitionBy("path", "author").orderBy("pos")) == 1, 1).otherwise(0)
-    before = changes.withColumn("first", first).withColumn("ndev", F.sum("first").over(path) - F.col("first")).withColumn("nuc", F.row_number().over(path) - 1)
+    changes = staged(changes.withColumn("subsystem", X.area("path", 1)))
+    firsts = changes.groupBy("path", "author").agg(F.min("pos").alias("pos")).withColumn("first", F.lit(1))
+    before = running(changes.join(firsts, ["path", "author", "pos"], "left").na.fill(0, ["first"]).withColumn("one", F.lit(1)), ["path"], "pos", ndev="first", nuc="one")
+    before = before.withColumn("last", F.max("date").over(W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
     lines = F.col("added") + F.col("deleted")
-    shares = before.withColumn("share", X.ratio(lines, F.sum(lines).over(W.partitionBy("hash"))))
+    if sizes is not None:
+        before = before.join(sizes.select("path", "code"), "path", "left")
+    whole = changes.groupBy("hash").agg(F.sum(lines).alias("lines"))
+    shares = before.join(whole, "hash").withColumn("share", X.ratio(lines, F.col("lines")))
     per = shares.groupBy("hash", "pos", "author", "subject").agg(
-        F.count("*").alias("nf"), F.countDistinct(X.folder("path")).alias("nd"), F.countDistinct(X.area("path", 1)).alias("ns"), F.sum("added").alias("la"), F.sum("deleted").alias("ld"),
+        F.count("*").alias("nf"), F.countDistinct(X.folder("path")).alias("nd"), F.countDistinct("subsystem").alias("ns"), F.sum("added").alias("la"), F.sum("deleted").alias("ld"),
+        (F.sum(F.coalesce("code", F.lit(0))) if sizes is not None else F.lit(0)).cast("long").alias("lt"),
         F.sum(X.shannon(F.coalesce("share", F.lit(0.0)))).alias("bits"), F.max("ndev").alias("ndev"), F.sum("nuc").alias("nuc"),
+        F.count_if(F.col("last") > F.add_months("date", -1)).alias("age"),
     )
-    return per.select("hash", "nf", "nd", "ns", "la", "ld", X.is_fix("subject").alias("fix"), F.when(F.col("nf") > 1, F.col("bits") / F.log2("nf")).otherwise(0.0).alias("entropy"), "ndev", "nuc", (F.row_number().over(author) - 1).alias("exp"))
+    told = running(per.withColumn("one", F.lit(1)), ["author"], "pos", exp="one")
+    touched = changes.groupBy("hash", "pos", "author", "subsystem").agg(F.count("*").alias("n"))
+    sexp = running(touched, ["author", "subsystem"], "pos", before="n").groupBy("hash").agg(F.sum("before").alias("sexp"))
+    return told.join(sexp, "hash").select("hash", "nf", "nd", "ns", "la", "ld", "lt", X.is_fix("subject").alias("fix"), F.when(F.col("nf") > 1, F.col("bits") / F.log2("nf")).otherwise(0.0).alias("entropy"), "ndev", "nuc", "age", "exp", "sexp")
 
 
 def amalgamations(functions: DataFrame, min_shared: int = 20, min_sources: int = 2, min_share: float = 0.9) -> DataFrame:
     """file, shared, sources: files nearly all of whose signatures are found in other files."""
     held = functions.select("file", "signature").distinct()
-    shared = held.join(held.withColumnRenamed("file", "other"), "signature").where("file <> other")
-    counts = shared.groupBy("file").agg(F.countDistinct("signature").alias("shared"), F.countDistinct("other").alias("sources"))
-    total = held.groupBy("file").agg(F.count("*").alias("n"))
-    return counts.join(total, "file").where((F.col("shared") >= min_shared) & (F.col("sources") >= min_sources) & (X.ratio(F.col("shared"), F.col("n")) >= min_share)).select("file", "shared", "sources")
+    total = held.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared)
+    spread = held.groupBy("signature").agg(F.count("*").alias("files")).where("files > 1")
+    shared = held.join(spread, "signature")
+    counts = shared.groupBy("file").agg(F.count("*").alias("shared")).join(total, "file").where((F.col("shared") >= min_shared) & (X.ratio(F.col("shared"), F.col("n")) >= min_share))
+    # the other files of those that qualify, which are few
+    others = shared.join(counts.select("file"), "file", "left_semi").join(held.withColumnRenamed("file", "other"), "signature").where("file <> other")
+    sources = others.groupBy("file").agg(F.countDistinct("other").alias("sources")).where(F.col("sources") >= min_sources)
+    return counts.join(sources, "file").select("file", "shared", "sources")
 
 
 def worst_of_group(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -36,7 +36,6 @@ QUERIES: dict[str, tuple] = {
     "file_kinds": (lambda h: kinds(h).withColumn("reasons", F.array_join("reasons", ",")), f"WITH {KINDS} SELECT path, array_to_string(reasons, ',') AS reasons, reasons[1] AS reason FROM kinds"),
     "kind_coverage": (lambda h: H.coverage(kinds(h), h.size_files), f"WITH {KINDS} SELECT coalesce(reasons[1], 'ranked') AS reason, count(*) AS files, CAST(sum(coalesce(code, 0)) AS BIGINT) AS lines FROM kinds LEFT JOIN size_files USING (path) GROUP BY 1"),
     "type_census": (lambda h: H.type_census(h.tree), r"SELECT regexp_extract(path, '\.([^.]+)$', 1) AS type, count(*) AS files FROM tree GROUP BY 1"),
-    "policy_presence": (lambda h: H.presence(h.tree), "SELECT unnest(['readme', 'licence', 'contributing', 'security', 'codeowners', 'changelog']) AS policy, false AS present"),
     "cohort_comparison": (
         lambda h: P.cohorts(h.commits, h.changes, h.commits.where("pos % 5 = 0"), h.commits.where("pos % 11 = 0")),
         f"WITH {LATER}, t AS (SELECT hash, count(*) AS touches, count(*) FILTER (datediff('day', date, next) <= 14) AS again FROM later GROUP BY hash) SELECT pos % 5 = 0 AS marked, count(*) AS commits, count(*) FILTER ({FIX}) AS fixes, count(*) FILTER (pos % 11 = 0) AS reverted, CAST(sum(coalesce(touches, 0)) AS BIGINT) AS touches, CAST(sum(coalesce(again, 0)) AS BIGINT) AS again FROM commits LEFT JOIN t USING (hash) GROUP BY 1",
@@ -74,9 +73,5 @@ QUERIES: dict[str, tuple] = {
         lambda h: h.table("part").select("p_partkey", F.concat((F.col("p_size") % 7).cast("string"), F.lit("."), (F.col("p_partkey") % 13).cast("string"), F.lit("-rc"), "p_size").alias("version")).groupBy(F.get(X.version_key("version"), F.lit(0)).alias("major")).agg(F.max_by("version", X.version_key("version")).alias("latest")),
         "SELECT CAST(p_size % 7 AS BIGINT) AS major, arg_max((p_size % 7) || '.' || (p_partkey % 13) || '-rc' || p_size, [p_size % 7, p_partkey % 13, p_size]) AS latest FROM part GROUP BY 1",
     ),
-    "positive_deciles": (
-        lambda h: M.standardised(M.ranked(h.ranked_docs.withColumn("outcome", F.col("toxic")), F.desc("cost"), F.asc("doc_id"))),
-        "SELECT CAST(floor((place-1)*10/n) AS BIGINT) AS decile, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS observed FROM (SELECT toxic, row_number() OVER (ORDER BY cost DESC, doc_id) AS place, count(*) OVER () AS n FROM ranked_docs) GROUP BY 1",
-    ),
 }
 QUERIES = {name: (build, sql(text)) for name, (build, text) in QUERIES.items()}

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import History
-from . import check_queries, history_queries, report_queries
+from . import check_queries, fixture_queries, history_queries, report_queries, section_queries
 
-_ALL = history_queries.QUERIES | report_queries.QUERIES | check_queries.QUERIES
+_ALL = history_queries.QUERIES | report_queries.QUERIES | check_queries.QUERIES | fixture_queries.QUERIES | section_queries.QUERIES
 
 
 def _query(build: Callable[[History], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -16,6 +16,7 @@ from ..operators import ownership as K
 from ..operators import ranking as R
 from ..operators import rules as U
 from ..operators import scan as S
+from ..operators.staging import staged
 from ..sources.views import History
 from .history_queries import FIXES, MONTHLY, PAIRS, SETS, TEST, WIDE, big, entropy_sql, rounded
 from .prelude import sql
@@ -36,27 +37,63 @@ wl AS (SELECT path, revs, coalesce(fixes, 0) AS fixes, coalesce(recent, 0) AS re
   authors = 1 OR coalesce(own*1e0/alll, 0e0) >= 0.9 AS solo, 100e0*revs*code/sum(revs*code) OVER () AS score
   FROM r JOIN size_files USING (path) LEFT JOIN fx USING (path) LEFT JOIN au USING (path) LEFT JOIN ow USING (path) LEFT JOIN so USING (path) LEFT JOIN te USING (path) LEFT JOIN pe USING (path)
   WHERE revs >= 2 AND path IN (SELECT path FROM tree) AND NOT ({TEST}) AND path NOT LIKE '%.md')"""
-REASONS = """list_filter([CASE WHEN recent_fixes > 0 THEN 'fixed lately' END, CASE WHEN recent_fixes = 0 AND fixes > 0 THEN 'fixed' END, CASE WHEN solo THEN 'one owner' END, CASE WHEN minor >= 5 THEN 'minor contributors' END,
-  CASE WHEN sets >= 10 AND with_tests*1e0/sets <= 0.1 THEN 'tests stay' END, CASE WHEN partners >= 20 THEN 'many partners' END, CASE WHEN periods >= 12 THEN 'many months' END], lambda x: x IS NOT NULL)"""
+COMPANIONS = """nf AS (SELECT path, count(*) AS r FROM few GROUP BY path), cp AS (SELECT a AS path, list(b ORDER BY c DESC, b) AS companions, list(c ORDER BY c DESC, b) AS confidences FROM (SELECT a, b, CAST(floor(100*shared/r+0.5) AS BIGINT) AS c, shared FROM (SELECT a, b, shared FROM pr UNION ALL SELECT b, a, shared FROM pr) JOIN nf ON nf.path = a)
+WHERE shared >= 2 AND c >= 5 AND b IN (SELECT path FROM wl) GROUP BY a), wr AS (SELECT wl.*, companions, confidences FROM wl LEFT JOIN cp USING (path))"""
+TIMES = "CASE {0} WHEN 1 THEN 'once' WHEN 2 THEN 'twice' ELSE format('{{:,}}', {0}) || ' times' END"
+REASONS = f"""list_filter(['changed ' || {TIMES.format('revs')}, CASE WHEN recent_fixes > 0 THEN 'fixed ' || {TIMES.format('recent_fixes')} || ' in 6 months' WHEN fixes > 0 THEN 'fixed ' || {TIMES.format('fixes')} END,
+  CASE WHEN authors = 1 THEN 'only ' || owner || ' has touched it' WHEN owner_share >= 0.9 THEN owner || ' wrote ' || CAST(round_even(100*owner_share, 0) AS BIGINT) || '% of it' END,
+  CASE WHEN minor >= 3 THEN format('{{:,}} of {{:,}} authors are minor contributors', minor, authors) END,
+  CASE WHEN sets >= 5 AND with_tests*1e0/sets <= 0.2 THEN CASE WHEN with_tests = 0 THEN format('no test changed in its {{:,}} changes', sets) ELSE format('a test changed in {{:,}} of its {{:,}} changes', with_tests, sets) END END,
+  CASE WHEN len(companions) > 0 THEN 'changes with ' || companions[1] || ' (' || confidences[1] || '%)' || CASE len(companions) WHEN 1 THEN '' WHEN 2 THEN ' and 1 other' ELSE ' and ' || (len(companions) - 1) || ' others' END END,
+  CASE WHEN partners >= 20 THEN format('changes alongside {{:,}} other files', partners) END, CASE WHEN periods >= 12 THEN 'changed in ' || periods || ' different months' END], lambda x: x IS NOT NULL)"""
 RANKED = "rk AS (SELECT *, row_number() OVER (ORDER BY cost DESC, doc_id) AS place FROM ranked_docs)"
-EDGES = "edges AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 50 = 0)"
+COMPANION = """nexts AS (SELECT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+both_ways AS (SELECT greatest(x, y) AS src, least(x, y) AS dst, count(*) AS n FROM nexts GROUP BY 1, 2), edges AS (SELECT src, min(dst) AS dst FROM both_ways JOIN (SELECT src, max(n) AS n FROM both_ways GROUP BY src) USING (src, n) GROUP BY src)"""
+HANDOVER = """passes AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
+edges AS (SELECT src, min(dst) AS dst FROM passes JOIN (SELECT src, max(n) AS n FROM passes GROUP BY src) USING (src, n) GROUP BY src)"""
 CLOSURE = "WITH RECURSIVE "
+AUTHORED = """own AS (SELECT path, person, count(*) AS dl FROM credits GROUP BY 1, 2), cr AS (SELECT path, arg_min(author, (date, pos)) AS creator FROM changes WHERE added > 0 GROUP BY path),
+scored AS (SELECT own.path, person, 3.293e0 + 1.098e0*CASE WHEN person = creator THEN 1 ELSE 0 END + 0.164e0*dl - 0.321e0*ln(1 + sum(dl) OVER (PARTITION BY own.path) - dl) AS doa FROM own LEFT JOIN cr ON cr.path = own.path),
+held AS (SELECT path, person FROM (SELECT *, max(doa) OVER (PARTITION BY path) AS most FROM scored) WHERE doa >= 3.293e0 AND doa >= 0.75e0*most)"""
+LOCAL = "local AS (SELECT a, b FROM pr JOIN revs x ON x.path = a JOIN revs y ON y.path = b WHERE shared >= 1 AND floor(100*shared/((x.r+y.r)/2)+0.5) >= 1 AND regexp_replace(a, '/?[^/]*$', '') = regexp_replace(b, '/?[^/]*$', ''))"
+TAIL = "least(1e0, (SELECT sum(exp(lgamma({n}+1) - lgamma(i+1) - lgamma({n}-i+1) + i*ln({p}) + ({n}-i)*ln(1e0-{p}))) FROM range(CAST({k} AS BIGINT), CAST({n} AS BIGINT) + 1) t(i)))"
+STRATA = "o AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS i, count(*) OVER () AS n FROM size_files), cuts AS (SELECT code AS cut FROM o, range(1, 10) t(k) WHERE i = (n * k) // 10), strata AS (SELECT path, code, (SELECT count(*) FROM cuts WHERE cut <= code) AS stratum FROM size_files)"
 
 
 def watch(h: History):
-    sets = C.changesets(h.changes)
-    return R.watch_list(H.revisions(h.changes), h.size_files, h.tree, H.fixes(h.changes, h.now), H.authors(h.changes, h.credits), owned(h), C.sum_of_coupling(sets, 2), H.test_cochange(sets), H.change_entropy(H.month_periods(h.changes), h.now))
+    h = h.held()
+    sets = staged(C.changesets(h.changes))
+    revs = staged(H.revisions(h.changes))
+    found = staged(C.pairs(sets))
+    beside = R.companion_side(C.companions(sets, 5, 2, found=found), R.watch_pool(revs, h.size_files, h.tree))
+    return R.watch_list(revs, h.size_files, h.tree, H.fixes(h.changes, h.now), H.authors(h.changes, h.credits), owned(h), C.sum_of_coupling(sets, 2, found=found), H.test_cochange(sets), H.change_entropy(H.month_periods(h.changes), h.now), beside)
 
 
 def owned(h: History):
     return H.ownership(h.credits, h.now)
 
 
-def edges(h: History):
-    """Which nations' suppliers serve which nations' customers, over a fixed fiftieth of the orders' keys, as a graph."""
-    lines = h.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
-    orders = h.table("orders").where("o_orderkey % 50 = 0").join(h.table("customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
-    return orders.join(lines, "o_orderkey").join(h.table("supplier"), "s_suppkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+def nexts(h: History, column: str):
+    """What stands on neighbouring lines of an order."""
+    line = h.table("lineitem").select("l_orderkey", "l_linenumber", F.col(column).alias("x"))
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("x").alias("y"))
+    return line.join(after, ["l_orderkey", "l_linenumber"]).where("x <> y")
+
+
+def commonest_edge(pairs):
+    """Of each src, the dst it has most often, the least of equals."""
+    n = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return n.groupBy("src").agg(F.max_by("dst", F.struct("n", -F.col("dst"))).alias("dst"))
+
+
+def imports(h: History):
+    """A graph without loops: each file (part) and the one of a lesser key that stands beside it most often, over all orders."""
+    return commonest_edge(nexts(h, "l_partkey").select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")))
+
+
+def handovers(h: History):
+    """A graph with loops: each supplier and the one that most often comes next in an order, over all orders."""
+    return commonest_edge(nexts(h, "l_suppkey").select(F.col("x").alias("src"), F.col("y").alias("dst")))
 
 
 def docs_ranked(h: History):
@@ -70,7 +107,8 @@ def series(h: History):
 
 
 def findings(h: History):
-    sets = C.changesets(h.changes)
+    h = h.held()
+    sets = staged(C.changesets(h.changes))
     area = K.areas(owned(h))
     fx = H.fixes(h.changes, h.now)
     return (
@@ -92,7 +130,7 @@ QUERIES: dict[str, tuple] = {
     ),
     "watch_list": (
         lambda h: rounded(watch(h), "owner_share", "score").withColumn("reasons", F.array_join("reasons", ", ")),
-        f"WITH {WATCH} SELECT path, revs, fixes, recent_fixes, authors, owner, round(owner_share, 6) AS owner_share, partners, code, complexity, solo, round(score, 6) AS score, array_to_string({REASONS}, ', ') AS reasons FROM wl",
+        f"WITH {WATCH}, {COMPANIONS} SELECT path, revs, fixes, recent_fixes, authors, minor, owner, round(owner_share, 6) AS owner_share, partners, code, complexity, solo, round(score, 6) AS score, array_to_string({REASONS}, ', ') AS reasons FROM wr",
     ),
     "watch_by_component": (
         lambda h: rounded(R.by_component(watch(h), min_share=4.0), "share").withColumn("files", F.array_join("files", ", ")),
@@ -116,19 +154,27 @@ QUERIES: dict[str, tuple] = {
     ),
     "fixed_between": (lambda h: R.fixed_between(h.changes, H.fix_pool(h.changes), "2000-01-01", "2000-07-01"), f"WITH {WIDE} SELECT DISTINCT path FROM pool WHERE date >= DATE '2000-01-01' AND date < DATE '2000-07-01' AND NOT ({TEST})"),
     "change_risk": (
-        lambda h: rounded(R.change_risk(h.changes.where("pos < 20"), watch(h)), "score"),
-        f"WITH {WATCH} SELECT t.path, round(coalesce(score, 0e0), 6) AS score, score IS NOT NULL AS watched FROM (SELECT DISTINCT path FROM changes WHERE pos < 20) t LEFT JOIN wl ON wl.path = t.path",
+        lambda h: rounded(R.change_risk(h.changes.where("pos < 20"), watch(h), H.revisions(h.changes)), "score", "owner_share").withColumn("place", F.col("place").cast("long")),
+        f"WITH {WATCH}, p AS (SELECT *, row_number() OVER (ORDER BY score DESC, revs DESC, path) AS place FROM wl) SELECT t.path, round(coalesce(score, 0e0), 6) AS score, place, coalesce(place <= 15, false) AS watched, coalesce(recent_fixes, 0) AS recent_fixes, coalesce(fixes, 0) AS fixes, owner, round(coalesce(owner_share, 0e0), 6) AS owner_share, coalesce(minor, 0) AS minor, CASE WHEN score IS NULL THEN CASE WHEN r.revs = 1 THEN 'changed once' ELSE 'no revisions on record' END END AS reason FROM (SELECT DISTINCT path FROM changes WHERE pos < 20) t LEFT JOIN p USING (path) LEFT JOIN r ON r.path = t.path",
+    ),
+    "change_total": (
+        lambda h: (lambda rows: rounded(R.change_total(R.change_risk(h.changes.where("pos < 20"), rows, H.revisions(h.changes)), rows), "total", "max_score"))(staged(watch(h))),
+        f"WITH {WATCH}, p AS (SELECT *, row_number() OVER (ORDER BY score DESC, revs DESC, path) AS place FROM wl) SELECT round(sum(score), 6) AS total, count(*) FILTER (place <= 15) AS watched, round((SELECT max(score) FROM wl), 6) AS max_score, (SELECT count(*) FROM wl) AS pool FROM p WHERE path IN (SELECT path FROM changes WHERE pos < 20)",
     ),
     "change_factors": (
-        lambda h: rounded(R.change_factors(h.changes), "entropy").select("hash", "nf", "nd", "ns", "la", "ld", "fix", "entropy", "ndev", "nuc", "exp"),
-        r"WITH b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS nucc, CASE WHEN row_number() OVER (PARTITION BY path, author ORDER BY pos) = 1 THEN 1 ELSE 0 END AS f, (added+deleted)*1e0/nullif(sum(added+deleted) OVER (PARTITION BY hash), 0) AS s FROM changes), d AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY pos) - f AS nd0 FROM b), p AS (SELECT hash, pos, author, subject, count(*) AS nf, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS nd, count(DISTINCT split_part(path, '/', 1)) AS ns, CAST(sum(added) AS BIGINT) AS la, CAST(sum(deleted) AS BIGINT) AS ld, sum(CASE WHEN s > 0 THEN -s*log2(s) ELSE 0 END) AS bits, CAST(max(nd0) AS BIGINT) AS ndev, CAST(sum(nucc) AS BIGINT) AS nuc FROM d GROUP BY ALL) SELECT hash, nf, nd, ns, la, ld, starts_with(subject, 'fix') AS fix, round(CASE WHEN nf > 1 THEN bits/log2(nf) ELSE 0 END, 6) AS entropy, ndev, nuc, CAST(row_number() OVER (PARTITION BY author ORDER BY pos) - 1 AS INTEGER) AS exp FROM p",
+        lambda h: rounded(R.change_factors(h.changes, h.size_files), "entropy"),
+        r"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS nucc, CASE WHEN row_number() OVER (PARTITION BY path, author ORDER BY pos) = 1 THEN 1 ELSE 0 END AS f, (added+deleted)*1e0/nullif(sum(added+deleted) OVER (PARTITION BY hash), 0) AS s,
+          max(date) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > date - INTERVAL 1 MONTH AS young FROM changes), d AS (SELECT b.*, code, sum(f) OVER (PARTITION BY path ORDER BY pos) - f AS nd0 FROM b JOIN size_files USING (path)),
+        p AS (SELECT hash, pos, author, subject, count(*) AS nf, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS nd, count(DISTINCT split_part(path, '/', 1)) AS ns, CAST(sum(added) AS BIGINT) AS la, CAST(sum(deleted) AS BIGINT) AS ld, CAST(sum(code) AS BIGINT) AS lt,
+          sum(CASE WHEN s > 0 THEN -s*log2(s) ELSE 0 END) AS bits, CAST(max(nd0) AS BIGINT) AS ndev, CAST(sum(nucc) AS BIGINT) AS nuc, count(*) FILTER (young) AS age FROM d GROUP BY hash, pos, author, subject),
+        t AS (SELECT hash, pos, author, split_part(path, '/', 1) AS sub, count(*) AS n FROM changes GROUP BY ALL), x AS (SELECT hash, CAST(sum(before) AS BIGINT) AS sexp FROM (SELECT hash, sum(n) OVER (PARTITION BY author, sub ORDER BY pos) - n AS before FROM t) GROUP BY hash)
+        SELECT hash, nf, nd, ns, la, ld, lt, starts_with(subject, 'fix') AS fix, round(CASE WHEN nf > 1 THEN bits/log2(nf) ELSE 0 END, 6) AS entropy, ndev, nuc, age, CAST(row_number() OVER (PARTITION BY author ORDER BY pos) - 1 AS BIGINT) AS exp, sexp FROM p JOIN x USING (hash)""",
     ),
     "worst_of_group": (lambda h: R.worst_of_group(h.table("part"), "p_brand", "p_size", "p_name"), "SELECT p_brand, p_size, min(p_name) AS p_name FROM part WHERE (p_brand, p_size) IN (SELECT p_brand, max(p_size) FROM part GROUP BY p_brand) GROUP BY 1, 2"),
     "prefix_join": (
         lambda h: h.commits.select("hash").join(h.table("region").select(F.concat(F.lit("o"), F.col("r_regionkey") + 1, F.lit("1")).alias("short")), F.startswith("hash", "short")).groupBy("short").agg(F.count("*").alias("n")),
         "SELECT short, count(*) AS n FROM commits JOIN (SELECT 'o' || (r_regionkey + 1) || '1' AS short FROM region) ON starts_with(hash, short) GROUP BY short",
     ),
-    "present_rows": (lambda h: h.changes.join(h.tree, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n")), "SELECT path, count(*) AS n FROM changes WHERE path IN (SELECT path FROM tree) GROUP BY path"),
     # ownership
     "areas": (
         lambda h: K.areas(owned(h)).withColumn("owners", F.array_join(F.transform("owners", lambda x: F.concat_ws(":", x["person"], x["lines"].cast("string"))), " ")),
@@ -144,7 +190,7 @@ QUERIES: dict[str, tuple] = {
         lambda h: rounded(K.lost(owned(h), K.gone(H.author_totals(h.changes, h.people), h.now, 0)), "share"),
         f"WITH {OWNED}, g AS (SELECT person FROM people GROUP BY person HAVING max(date) < (SELECT now FROM ending)) SELECT {AREA1} AS area, CAST(sum(added) AS BIGINT) AS lines, CAST(sum(CASE WHEN person IN (SELECT person FROM g) THEN added ELSE 0 END) AS BIGINT) AS lost, round(sum(CASE WHEN person IN (SELECT person FROM g) THEN added ELSE 0 END)*1e0/sum(added), 6) AS share FROM owned WHERE added > 0 GROUP BY 1",
     ),
-    "new_areas": (lambda h: K.new_areas(H.arrivals(h.changes), h.now, 70), f"SELECT {AREA2} AS area, min(first) AS first FROM (SELECT path, min(date) AS first FROM changes GROUP BY path) GROUP BY 1 HAVING min(first) >= (SELECT now FROM ending) - INTERVAL 70 MONTH"),
+    "new_areas": (lambda h: K.new_areas(H.arrivals(h.changes), h.now, 80), f"SELECT {AREA2} AS area, min(first) AS first FROM (SELECT path, min(date) AS first FROM changes GROUP BY path) GROUP BY 1 HAVING min(first) >= (SELECT now FROM ending) - INTERVAL 80 MONTH"),
     "people_bands": (lambda h: K.people_bands(H.author_totals(h.changes, h.people)), "SELECT CASE WHEN n >= 1000 THEN '1000+' WHEN n >= 100 THEN '100-999' WHEN n >= 10 THEN '10-99' WHEN n >= 2 THEN '2-9' WHEN n >= 1 THEN '1' ELSE '0' END AS band, count(*) AS people, CAST(sum(n) AS BIGINT) AS commits FROM (SELECT person, count(*) AS n FROM people GROUP BY person) GROUP BY 1"),
     "surviving_by_year": (
         lambda h: K.surviving_by_year(h.table("lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("long").alias("lines"))),
@@ -216,32 +262,61 @@ QUERIES: dict[str, tuple] = {
     "kappa": (lambda h: rounded(M.kappa(h.ranked_docs, "outcome", "toxic"), "kappa"), "WITH n AS (SELECT count(*)*1e0 AS n, count(*) FILTER (outcome = toxic) AS same, sum(outcome) AS pa, sum(toxic) AS pb FROM ranked_docs), c AS (SELECT same/n AS agree, (pa*pb + (n-pa)*(n-pb))/(n*n) AS chance FROM n) SELECT round((agree - chance)/nullif(1 - chance, 0), 6) AS kappa FROM c"),
     "median_p90": (lambda h: rounded(M.median_and_p90(h.ranked_docs, "lang", "cost"), "median", "p90"), "SELECT lang, round(quantile_cont(cost, 0.5), 6) AS median, round(quantile_cont(cost, 0.9), 6) AS p90 FROM ranked_docs GROUP BY lang"),
     "benjamini_hochberg": (
-        lambda h: M.benjamini_hochberg(h.table("customer").groupBy("c_nationkey").agg((F.try_divide(F.count_if(F.col("c_acctbal") < 0), F.count("*"))).alias("p")), "c_nationkey", "p", 0.12).select("c_nationkey", F.round("p", 6).alias("p")),
-        "WITH v AS (SELECT c_nationkey, count(*) FILTER (c_acctbal < 0)*1e0/count(*) AS p FROM customer GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY p, c_nationkey) AS i, count(*) OVER () AS m FROM v) SELECT c_nationkey, round(p, 6) AS p FROM o WHERE i <= (SELECT max(i) FROM o WHERE p <= 0.12e0*i/m)",
+        lambda h: M.benjamini_hochberg(h.table("customer").groupBy("c_nationkey").agg((F.try_divide(F.count_if(F.col("c_acctbal") < 0), F.count("*"))).alias("p")), "c_nationkey", "p", 0.3).select("c_nationkey", F.round("p", 6).alias("p")),
+        "WITH v AS (SELECT c_nationkey, count(*) FILTER (c_acctbal < 0)*1e0/count(*) AS p FROM customer GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY p, c_nationkey) AS i, count(*) OVER () AS m FROM v) SELECT c_nationkey, round(p, 6) AS p FROM o WHERE i <= (SELECT max(i) FROM o WHERE p <= 0.3e0*i/m)",
     ),
     "decile_outcomes": (lambda h: M.standardised(docs_ranked(h)), f"WITH {RANKED} SELECT CAST(floor((place-1)*10/n) AS BIGINT) AS decile, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS observed FROM (SELECT *, count(*) OVER () AS n FROM rk) GROUP BY 1"),
     "fix_prone": (
-        lambda h: M.fix_prone(H.revisions(h.changes).join(H.fixes(h.changes, h.now).select("path", "fixes"), "path", "left").na.fill(0).join(O.strata(h.size_files, "path", "code").select("path", "stratum"), "path").select("path", "stratum", "fixes", F.col("revs").alias("changes")), q=0.9),
-        None,
+        lambda h: rounded(M.fix_prone(H.revisions(h.changes).join(H.fixes(h.changes, h.now).select("path", "fixes"), "path", "left").na.fill(0).join(O.strata(h.size_files, "path", "code").select("path", "stratum"), "path").select("path", "stratum", "fixes", F.col("revs").alias("changes")), q=0.9), "p"),
+        f"WITH {WIDE}, {FIXES}, {STRATA}, b AS (SELECT path, stratum, coalesce(fixes, 0) AS k, revs AS n FROM (SELECT path, count(*) AS revs FROM changes GROUP BY path) LEFT JOIN fx USING (path) JOIN strata USING (path)), t AS (SELECT *, sum(k) OVER (PARTITION BY stratum)*1e0/sum(n) OVER (PARTITION BY stratum) AS rate FROM b), v AS (SELECT path, CASE WHEN k <= 0 THEN 1e0 ELSE {TAIL.format(n='n', k='k', p='rate')} END AS p FROM t), w AS (SELECT *, row_number() OVER (ORDER BY p, path) AS i, count(*) OVER () AS m FROM v) SELECT path, round(p, 6) AS p FROM w WHERE i <= (SELECT max(i) FROM w WHERE p <= 0.9e0*i/m)",
+    ),
+    "binomial_tail": (
+        lambda h: rounded(h.table("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("k")).select("c_nationkey", M.binomial_tail("k", "n", F.lit(0.1)).alias("p")), "p"),
+        f"WITH b AS (SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS k FROM customer GROUP BY 1) SELECT c_nationkey, round({TAIL.format(n='n', k='k', p='0.1e0')}, 6) AS p FROM b",
+    ),
+    "hypergeometric_tail": (
+        lambda h: rounded(M.headroom(docs_ranked(h)).select("hits", M.hypergeometric_tail("pool", "positives", F.least(F.lit(15), "pool"), "hits").alias("p")), "p"),
+        f"WITH {RANKED}, n AS (SELECT count(*) AS pool, sum(outcome) AS positives, CAST(sum(CASE WHEN place <= 15 THEN outcome ELSE 0 END) AS BIGINT) AS hits FROM rk), c AS (SELECT pool, positives, hits, least(15, pool) AS k FROM n) SELECT hits, round((SELECT sum(exp(lgamma(positives+1) - lgamma(i+1) - lgamma(positives-i+1) + lgamma(pool-positives+1) - lgamma(k-i+1) - lgamma(pool-positives-k+i+1) - lgamma(pool+1) + lgamma(k+1) + lgamma(pool-k+1))) FROM range(hits, CAST(least(positives, k) AS BIGINT) + 1) t(i)), 6) AS p FROM c",
     ),
-    "binomial_tail": (lambda h: h.table("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("k")).select("c_nationkey", M.binomial_tail("k", "n", F.lit(0.1)).alias("p")), None),
-    "hypergeometric_tail": (lambda h: M.headroom(docs_ranked(h)).select("hits", M.hypergeometric_tail("pool", "positives", F.least(F.lit(15), "pool"), "hits").alias("p")), None),
     # graphs
-    "coupled_components": (lambda h: G.components(edges(h).where("src <> dst AND (src + dst) % 3 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))), f"{CLOSURE}{EDGES}, s AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst AND (src + dst) % 3 = 0 UNION SELECT dst, src FROM edges WHERE src <> dst AND (src + dst) % 3 = 0), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, least(a, min(b)) AS root FROM r GROUP BY a"),
-    "dependents": (lambda h: G.dependents(edges(h).where("(src * 7 + dst) % 4 = 0")), f"{CLOSURE}{EDGES}, e AS (SELECT * FROM edges WHERE src <> dst AND (src * 7 + dst) % 4 = 0), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT dst AS node, count(*) FILTER ((src, dst) IN (SELECT (src, dst) FROM e)) AS direct, count(*) AS all FROM r WHERE src <> dst GROUP BY dst"),
-    "reachability": (lambda h: G.reachable(edges(h).where("(src * 7 + dst) % 5 = 0")).select("src", "dst"), f"{CLOSURE}{EDGES}, e AS (SELECT * FROM edges WHERE (src * 7 + dst) % 5 = 0), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r"),
-    "strong_components": (lambda h: G.strong_components(edges(h).where("(src * 7 + dst) % 5 = 0")), f"{CLOSURE}{EDGES}, e AS (SELECT * FROM edges WHERE (src * 7 + dst) % 5 = 0), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT a.src AS node, least(min(a.src), min(a.dst)) AS root FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"),
-    "shortest_loops": (lambda h: G.shortest_loops(edges(h).where("(src * 7 + dst) % 5 = 0")), None),
-    "truck_factor": (lambda h: G.truck_factor(H.degree_of_authorship(h.changes, h.credits).where("is_author").select("path", "person")), None),
-    "coupling_clusters": (lambda h: C.clusters(C.coupling(C.changesets(h.changes), 1, 1), 3, 0.1), None),
-    "unreferenced": (lambda h: G.unreferenced(h.table("nation").select(F.col("n_nationkey").alias("path")), edges(h).where("src < dst AND src % 2 = 0"), h.table("region").select(F.col("r_regionkey").alias("path"))), f"WITH {EDGES} SELECT n_nationkey AS path FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM edges WHERE src < dst AND src % 2 = 0) AND n_nationkey NOT IN (SELECT r_regionkey FROM region)"),
+    "coupled_components": (
+        lambda h: G.components(handovers(h).select(F.col("src").alias("a"), F.col("dst").alias("b"))),
+        f"{CLOSURE}{HANDOVER}, s AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, least(a, min(b)) AS root FROM r GROUP BY a",
+    ),
+    "file_components": (
+        lambda h: G.components(imports(h).select(F.col("src").alias("a"), F.col("dst").alias("b"))),
+        f"{CLOSURE}{COMPANION}, r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src), t AS (SELECT src AS node, min(dst) AS root FROM r GROUP BY src) SELECT node, root FROM t UNION SELECT dst, dst FROM edges WHERE dst NOT IN (SELECT src FROM edges)",
+    ),
+    "dependents": (
+        lambda h: G.dependents(imports(h)),
+        f"{CLOSURE}{COMPANION}, r AS (SELECT src, dst, 1 AS d FROM edges UNION ALL SELECT r.src, e.dst, d + 1 FROM r JOIN edges e ON r.dst = e.src) SELECT dst AS node, count(*) FILTER (d = 1) AS direct, count(*) AS all FROM r GROUP BY dst",
+    ),
+    "reachability": (lambda h: G.reachable(imports(h)), f"{CLOSURE}{COMPANION}, r AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT r.src, e.dst, depth + 1 FROM r JOIN edges e ON r.dst = e.src) SELECT src, dst, depth FROM r"),
+    "strong_components": (
+        lambda h: G.strong_components(handovers(h)),
+        f"{CLOSURE}{HANDOVER}, r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src) SELECT a.src AS node, least(min(a.src), min(a.dst)) AS root FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src",
+    ),
+    "shortest_loops": (
+        lambda h: G.shortest_loops(handovers(h)),
+        f"{CLOSURE}{HANDOVER}, r AS (SELECT src, dst, 1 AS depth FROM edges UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN edges e ON r.dst = e.src WHERE r.src <> r.dst AND depth < 1000) SELECT src AS node, min(depth) AS length FROM r WHERE src = dst GROUP BY src",
+    ),
+    "truck_factor": (
+        lambda h: rounded(G.truck_factor(H.degree_of_authorship(h.changes, h.credits).where("is_author").select("path", "person")), "orphaned"),
+        f"WITH {AUTHORED}, n AS (SELECT person, row_number() OVER (ORDER BY count(*) DESC, person) AS step FROM held GROUP BY person), f AS (SELECT path, max(step) AS step FROM held JOIN n USING (person) GROUP BY path), s AS (SELECT n.step, person, (SELECT count(*) FROM f WHERE f.step <= n.step) AS upto, (SELECT count(*) FROM f WHERE f.step < n.step) AS before, (SELECT count(*) FROM f)*1e0 AS total FROM n) SELECT CAST(step AS INTEGER) AS step, person, round(upto/total, 6) AS orphaned FROM s WHERE before/total <= 0.5",
+    ),
+    "coupling_clusters": (
+        lambda h: rounded(C.clusters(C.coupling(C.changesets(h.changes), 1, 1), 3, 0.1), "density"),
+        f"{CLOSURE}{SETS}, {big(30)}, {PAIRS}, revs AS (SELECT path, count(*) AS r FROM sets GROUP BY path), {LOCAL}, both_ways AS (SELECT a, b FROM local UNION SELECT b, a FROM local), r AS (SELECT a, b FROM both_ways UNION SELECT r.a, s.b FROM r JOIN both_ways s ON r.b = s.a), g AS (SELECT a AS node, least(a, min(b)) AS root FROM r GROUP BY a), n AS (SELECT root, count(*) AS files FROM g GROUP BY root), i AS (SELECT root, count(*) AS pairs FROM local JOIN g ON node = a GROUP BY root) SELECT root AS cluster, files, pairs, round(pairs/(files*(files-1)/2e0), 6) AS density FROM n JOIN i USING (root) WHERE files >= 3 AND pairs/(files*(files-1)/2e0) >= 0.1",
+    ),
+    "unreferenced": (
+        lambda h: G.unreferenced(h.table("part").select(F.col("p_partkey").alias("path")), imports(h), h.table("part").where("p_size = 1").select(F.col("p_partkey").alias("path"))),
+        f"WITH {COMPANION} SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges) AND p_size <> 1",
+    ),
     "identity_merge": (lambda h: I.merge(events_as_people(h)), "WITH p AS (SELECT 'Person ' || c_nationkey || ' ' || c_mktsegment AS name, c_mktsegment || c_nationkey || '@mail.org' AS email, count(*) AS commits FROM customer GROUP BY 1, 2) SELECT name, email, commits, arg_max(name, (commits, -o)) OVER (PARTITION BY key) AS head_name, arg_max(email, (commits, -o)) OVER (PARTITION BY key) AS head_email FROM (SELECT *, split_part(name, ' ', 3) AS key, row_number() OVER (ORDER BY name, email) AS o FROM p)"),
     # scans
     "ipv4_literals": (lambda h: S.addresses(h.table("documents"), "doc_id", "text"), r"WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\d.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?:[^\d.]|$)', 1)) AS address FROM documents), o AS (SELECT *, list_transform(string_split(address, '.'), lambda x: CAST(x AS INTEGER)) AS q FROM a) SELECT doc_id, address, count(*) AS n FROM o WHERE list_max(q) <= 255 AND q[1] NOT IN (0, 127, 255) AND NOT ((q[1]=192 AND q[2]=0 AND q[3]=2) OR (q[1]=198 AND q[2]=51 AND q[3]=100) OR (q[1]=203 AND q[2]=0 AND q[3]=113)) GROUP BY 1, 2"),
     "email_shapes": (lambda h: S.emails(h.table("documents"), "doc_id", "text"), r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1))) AS email FROM documents"),
     "licence_phrases": (lambda h: S.licences(h.table("documents"), "doc_id", "text"), "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{p}') THEN '{n}'" for n, p in S.LICENCES) + " END AS licence FROM documents) WHERE licence IS NOT NULL"),
-    "debt_markers": (lambda h: S.debt(h.table("documents"), "doc_id", "text"), r"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(TODO|FIXME|XXX|HACK)\b')) AS BIGINT) AS markers FROM documents) WHERE markers > 0"),
-    "trojan_source": (lambda h: S.trojan_source(h.table("documents"), "doc_id", "text"), r"SELECT doc_id, number, CASE WHEN regexp_matches(line, '[\x{202A}-\x{202E}\x{2066}-\x{2069}]') THEN 'bidi' ELSE 'mixed script' END AS kind FROM (SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS number, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[\x{202A}-\x{202E}\x{2066}-\x{2069}]') OR regexp_matches(line, '[A-Za-z][\p{L}\p{N}_]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{L}\p{N}_]*[A-Za-z]')"),
     "line_census": (lambda h: S.lines(h.table("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.trim("line") == "").alias("blank")), "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS BIGINT) AS blank FROM documents"),
     # rules and what compares findings
     "rule_bug_magnets": (lambda h: U.bug_magnets(H.fixes(h.changes, h.now), h.tree, 2, 3).select("severity", "rule", "subject"), f"WITH {WIDE}, {FIXES} SELECT CASE WHEN recent >= 3 THEN 'warning' ELSE 'info' END AS severity, 'bug_magnets' AS rule, path AS subject FROM fx WHERE recent >= 2 AND NOT ({TEST}) AND path IN (SELECT path FROM tree)"),
@@ -253,7 +328,6 @@ QUERIES: dict[str, tuple] = {
         f"WITH {SETS}, {big(30)}, {PAIRS}, revs AS (SELECT path, count(*) AS r FROM sets GROUP BY path) SELECT 'warning' AS severity, 'tight_coupling' AS rule, a || ' <> ' || b AS subject FROM pr JOIN revs x ON x.path = a JOIN revs y ON y.path = b WHERE shared >= 2 AND floor(100*shared/((x.r+y.r)/2)+0.5) >= 3 AND floor((x.r+y.r)/2+0.5) >= 5 AND NOT regexp_matches(a, '(^|/)test_[^/]*$') AND NOT regexp_matches(b, '(^|/)test_[^/]*$')",
     ),
     "findings": (lambda h: findings(h), None),
-    "gate": (lambda h: U.tripped(findings(h), "warning"), "SELECT true AS tripped"),
     "baseline": (lambda h: U.against_baseline(U.sweeping_commits(h.commits.where("pos % 5 = 0")), U.sweeping_commits(h.commits.where("pos % 3 = 0"))).select("rule", "subject"), "SELECT 'sweeping_commits' AS rule, hash AS subject FROM commits WHERE pos % 5 = 0 AND pos % 3 <> 0"),
     "compare": (
         lambda h: U.compare(U.sweeping_commits(h.commits.where("pos % 7 = 0")), U.sweeping_commits(h.commits.where("pos % 5 = 0"))),

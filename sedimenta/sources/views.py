@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import staged
+
 SUBJECTS = {"1-URGENT": "fix(core): order flow", "2-HIGH": "feat: order entry, totals and tax lines", "3-MEDIUM": "Refactor pricing", "4-NOT SPECIFIED": "docs: describe orders"}
 
 
@@ -27,6 +29,13 @@ class History:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def held(self) -> History:
+        """The same history with its changes and credits written once, for a query that uses them several times."""
+        out = History(self.spark, self.sf_dir)
+        out.changes = staged(self.changes)
+        out.credits = staged(out.credits)
+        return out
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -1,6 +1,7 @@
 """Checks of files, commits' provenance and what became of findings, on fixtures."""
 
 import datetime as dt
+import hmac
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ def paths(spark, *names):
 
 
 def test_generated_and_interpreters(spark):
-    rows = [("a.py", "# Code generated by tool\nx"), ("b.min.js", "x"), ("c.py", "#!/usr/bin/env -S FOO=1 python3.12\n"), ("d", "#!/bin/sh -e\n"), ("e.py", "\n" * 8 + "# do not edit")]
+    rows = [("a.py", "# Code generated by tool\nx"), ("b.min.js", "x"), ("c.py", "#!/usr/bin/env -S FOO=1 python3.12\n"), ("d", "#!/bin/sh -e\n"), ("e.py", "\n" * 8 + "# do not edit"), ("f.py", "# maintained, not auto-generated\n")]
     df = spark.createDataFrame(rows, "path string, text string").select("path", H.says_generated("text", "path").alias("g"), H.interpreter("text").alias("i"))
     got = {r.path: (r.g, r.i) for r in df.collect()}
-    assert got == {"a.py": (True, None), "b.min.js": (True, None), "c.py": (False, "python"), "d": (False, "sh"), "e.py": (False, None)}
+    assert got == {"a.py": (True, None), "b.min.js": (True, None), "c.py": (False, "python"), "d": (False, "sh"), "e.py": (False, None), "f.py": (False, None)}
 
 
 def test_file_kinds(spark):
@@ -54,7 +55,7 @@ def test_contents(spark):
     assert {r.risk for r in H.agent_risks(agents).collect()} == {"agent_approval_disabled", "agent_local_settings", "mcp_literal_env"}
 
 
-@pytest.mark.parametrize(("text", "want"), [("MIT", "permissive"), ("MIT OR GPL-3.0-only", "permissive"), ("MIT AND GPL-3.0-or-later", "strong"), ("GPL-2.0 WITH Classpath-exception-2.0", "weak"), ("(MIT OR LGPL-3.0) AND MPL-2.0", "weak"), ("", None), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("MIT", "permissive"), ("MIT OR GPL-3.0-only", "permissive"), ("MIT AND GPL-3.0-or-later", "strong copyleft"), ("GPL-2.0 WITH Classpath-exception-2.0", "weak copyleft"), ("(MIT OR LGPL-3.0) AND MPL-2.0", "weak copyleft"), ("SSPL-1.0", "strong copyleft"), ("CDDL-1.1", "weak copyleft"), ("Mine-1.0", None), ("Mine-1.0 OR GPL-2.0", None), ("Mine-1.0 AND GPL-2.0", "strong copyleft"), ("MIT/X11", "permissive"), ("", None), (None, None)])
 def test_licence_strength(text, want):
     assert H.strength(text) == want
 
@@ -62,11 +63,12 @@ def test_licence_strength(text, want):
 def test_secrets_are_sanitised(spark):
     values = {"xxxxxxxx": True, "changeme": True, "${KEY}": True, "abcdefgh": True, "aaaaaaaa": True, "q8Zr" + "T1mK9sLp": False}
     df = spark.createDataFrame([("generic-key", "f", "c", 1, v) for v in values], "rule string, file string, commit string, line long, secret string")
-    rows = H.sanitised(df, "salt").collect()
+    rows = H.sanitised(df, b"salt" * 20).collect()
+    assert {r.value for r in rows} == {hmac.new(b"salt" * 20, v.encode(), "sha256").hexdigest()[:12] for v in values}
     assert sum(r.placeholder for r in rows) == 5 and {r.confidence for r in rows} == {"low", "medium"} and all(len(r.value) == 12 for r in rows)
     facts = spark.createDataFrame([(True, False, None)], "a boolean, b boolean, c boolean")
     assert {r.control: r.result for r in H.control_coverage(facts).collect()} == {"a": "met", "b": "gap", "c": "unknown"}
-    assert {(r.strength, r.packages) for r in H.copyleft(spark.createDataFrame([("p", "MIT"), ("q", "GPL-3.0")], "name string, licence string")).collect()} == {("permissive", 1), ("strong", 1)}
+    assert {(r.strength, r.packages) for r in H.copyleft(spark.createDataFrame([("p", "MIT"), ("q", "GPL-3.0")], "name string, licence string")).collect()} == {("permissive", 1), ("strong copyleft", 1)}
 
 
 def test_provenance(spark):

@@ -105,11 +105,43 @@ def test_tails_and_tests(spark):
     assert got == pytest.approx(want)
     draw = spark.createDataFrame([(20, 5, 4, 2)], "a long, b long, c long, d long").select(metrics.hypergeometric_tail("a", "b", "c", "d").alias("t")).first().t
     assert draw == pytest.approx(sum(math.comb(5, i) * math.comb(15, 4 - i) for i in range(2, 5)) / math.comb(20, 4))
-    effects = [1, 2, -1, 0.5]
-    brute = sum(abs(sum(s * e for s, e in zip(signs, effects, strict=True))) >= abs(sum(effects)) for signs in product((1, -1), repeat=4)) / 16
-    assert metrics.sign_flip(effects) == brute
-    low, high = metrics.bootstrap([[1.0], [2.0], [3.0]], lambda x: sum(x) / len(x), rounds=200)
+    for effects in ([1, 2, -1, 0.5], [-1, -2, -1], [0, 1, 1], [0.5]):
+        brute = sum(sum(s * e for s, e in zip(signs, effects, strict=True)) >= sum(effects) for signs in product((1, -1), repeat=len(effects))) / 2 ** len(effects)
+        assert metrics.sign_flip(effects) == brute
+    assert metrics.sign_flip([]) is None and metrics.sign_flip([-1, -2, -1]) == 1.0 and metrics.sign_flip([0, None]) == 1.0
+    low, high = metrics.bootstrap({"b": [1.0, None], "a": [2.0], "c": [3.0], "d": [None]}, lambda x: sum(x) / len(x), rounds=200)
     assert 1 <= low <= high <= 3
+    assert metrics.bootstrap({"a": [None]}, sum) is None
+
+
+def test_rankings_by_ranges(spark):
+    rows = [(i % 3, (i * 7919) % 500, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, v int, i int")
+    got = {r.i: r.place for r in metrics.ranked(df, F.desc("v"), F.asc("i")).collect()}
+    assert got == {i: k + 1 for k, (_, _, i) in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])))}
+    got = {r.i: r.place for r in metrics.ranked(df, F.desc("v"), F.asc("i"), by=("g",)).collect()}
+    for g in range(3):
+        assert [got[i] for _, _, i in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))] == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert metrics.ranked(df.limit(0), F.asc("v")).count() == 0
+
+
+def test_strong_components_of_random_graphs(spark):
+    import random
+
+    draw = random.Random(5)
+    for n, m in ((30, 40), (40, 60), (12, 40)):
+        pairs = sorted({(draw.randrange(n), draw.randrange(n)) for _ in range(m)})
+        reach = {i: {i} for i in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        want = {}
+        for i in range(n):
+            same = [j for j in range(n) if j in reach[i] and i in reach[j]]
+            if len(same) > 1:
+                want[i] = min(same)
+        edges = spark.createDataFrame(pairs, "src int, dst int")
+        assert {r.node: r.root for r in graph.strong_components(edges).collect()} == want
 
 
 def test_moved_lines(spark):
