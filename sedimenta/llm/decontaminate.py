@@ -181,7 +181,7 @@ def _aligned(block: Broadcast, held: DataFrame, seeds: DataFrame, least: float)
     met = found.join(F.broadcast(seeds), "gram").select("a", "b", "item", (F.col("place") - F.col("offset")).alias("start"))  # at most BLOCK_WORDS seeds
     spots = staged(met.distinct().groupBy("a", "b", "item").agg(F.sort_array(F.collect_list("start")).alias("starts")))
     each = spots.groupBy("a", "b").agg(F.collect_list(F.struct("item", "starts")).alias("met"))
-    coded = held.select("a", "b", "coded").dropDuplicates(["a", "b"])
+    coded = held.select("a", "b", "coded").join(each, ["a", "b"]).dropDuplicates(["a", "b"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
@@ -197,7 +197,7 @@ def _aligned(block: Broadcast, held: DataFrame, seeds: DataFrame, least: float)
         keys = batch.select(["a", "b"]).take(pa.array([r[0] for r in rows]))
         return pa.RecordBatch.from_arrays([*keys.columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["a", "b", "item", "score"])
 
-    return map_batches(coded.join(each, ["a", "b"]), work, "a long, b long, item long, score double", 50)
+    return map_batches(coded, work, "a long, b long, item long, score double", 50)
 
 
 def _windows(starts: list[int], n: int) -> list[tuple[int, int]]:

@@ -44,7 +44,7 @@ BLOCK_BYTES = 128 << 20
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
 #: Tokens that a task sums at a time, and about the entries that it gathers of a bucket before it sums them.
-FLUSH = 1_200_000
+FLUSH = 1_000_000
 BITS, PROBES = 10, 5
 DISCOUNT, PRIOR = 0.75, 0.5
 STEP = 1.25
@@ -188,7 +188,7 @@ def _sums(kind: int, buckets: int, key: np.ndarray, n: np.ndarray, history: np.n
     edges = np.append(start, len(key))
     history = history if len(history) else np.empty(0, np.uint64)
     histories = _arrays(history, edges) if len(history) else pa.nulls(len(start), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int8)), pa.array(bucket[start]), _arrays(key, edges), _arrays(n.astype(np.int64), edges), histories], ["kind", "bucket", "keys", "n", "histories"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int8)), pa.array(bucket[start]), _arrays(key, edges), _arrays(n.astype(np.int32), edges), histories], ["kind", "bucket", "keys", "n", "histories"])
 
 
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -254,7 +254,8 @@ def merged(sums: DataFrame, buckets: int) -> DataFrame:
                     if now is not None:
                         yield from done()
                     now, held, size = at, [], 0
-                key, n, of = ((np.frombuffer(x.as_buffer(), t) if x.is_valid else None) for x, t in zip(arrays, (np.uint64, np.int64, np.uint64), strict=True))
+                # copied, so that the batch they came in can go
+                key, n, of = ((np.frombuffer(x.as_buffer(), t).astype(np.int64 if t == np.int32 else t) if x.is_valid else None) for x, t in zip(arrays, (np.uint64, np.int32, np.uint64), strict=True))
                 held.append((key, n) if of is None else (key, n, of))
                 size += len(key)
                 if size > max(FLUSH, 2 * len(held[0][0])) and len(held) > 1:
