@@ -87,3 +87,69 @@ def portfolio(histories: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
         one = one.select(F.lit(name).alias("name"), "commits", "people", "top_share", "added")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def section(title: str, df: DataFrame, *order, k: int | None = 15) -> dict:
+    """A section of a report: title, columns, the first k rows in an order and how many rows there are; all rows without k."""
+    ordered = df.orderBy(*order) if order else df
+    rows = [tuple(r) for r in (ordered.limit(k) if k is not None else ordered).collect()]  # k bounds what comes to the driver
+    return {"title": title, "columns": df.columns, "rows": rows, "total": len(rows) if k is None or len(rows) < k else df.count()}
+
+
+def _cell(value: object) -> str:
+    if value is None:
+        return "-"
+    if isinstance(value, bool):
+        return "yes" if value else "no"
+    if isinstance(value, float):
+        return f"{value:,.2f}".rstrip("0").rstrip(".")
+    if isinstance(value, int):
+        return f"{value:,}"
+    return ", ".join(map(_cell, value)) if isinstance(value, list) else str(value)
+
+
+def _caption(part: dict) -> str:
+    shown = len(part["rows"])
+    return part["title"] if shown == part["total"] else f"{part['title']} ({shown:,} of {part['total']:,})"
+
+
+def markdown(sections: list[dict]) -> str:
+    """Sections as Markdown tables; those without rows are left out."""
+    out = []
+    for part in sections:
+        if not part["rows"]:
+            continue
+        safe = [[_cell(v).replace("|", "\\|").replace("\n", " ") for v in row] for row in part["rows"]]
+        numbers = [all(isinstance(r[i], int | float) and not isinstance(r[i], bool) for r in part["rows"]) for i in range(len(part["columns"]))]
+        lines = [f"## {_caption(part)}", "", f"| {' | '.join(part['columns'])} |", f"|{'|'.join('-:' if n else '-' for n in numbers)}|"]
+        out.append("\n".join(lines + [f"| {' | '.join(row)} |" for row in safe]))
+    return "\n\n".join(out) + ("\n" if out else "")
+
+
+def terminal(sections: list[dict], width: int = 120) -> str:
+    """Sections as text in columns, cells cut so that a line fits the width."""
+    out = []
+    for part in sections:
+        if not part["rows"]:
+            continue
+        cells = [part["columns"], *[[_cell(v) for v in row] for row in part["rows"]]]
+        sizes = [max(len(row[i]) for row in cells) for i in range(len(part["columns"]))]
+        while sum(sizes) + 2 * (len(sizes) - 1) > width and max(sizes) > 4:
+            sizes[sizes.index(max(sizes))] -= 1
+        cut = lambda text, n: text if len(text) <= n else text[: n - 1] + "…"
+        lines = ["  ".join(cut(x, n).ljust(n) for x, n in zip(row, sizes, strict=True)).rstrip() for row in cells]
+        out.append("\n".join([_caption(part), *lines]))
+    return "\n\n".join(out) + ("\n" if out else "")
+
+
+def write_sections(sections: dict[str, tuple], folder: str) -> None:
+    """Each section's whole table (df, *order) as headed CSV under its name."""
+    for name, (df, *order) in sections.items():
+        write_csv(df, f"{folder}/{name}", *order)
+
+
+def manifest(spark, options: dict) -> dict:
+    """What a run was made with: versions and options, sorted so that equal runs are equal."""
+    import platform
+
+    return {"spark": spark.version, "python": platform.python_version(), "options": dict(sorted(options.items()))}

@@ -212,6 +212,20 @@ def test_rules_and_exports(spark):
     assert rules.tripped(found, "critical").first().tripped and not rules.tripped(found.where("severity = 'info'"), "warning").first().tripped
 
 
+def test_sections_of_a_report(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1200, 0.5, True), ("c", 7, None, False), ("d" * 200, 1, 2.0, None)], "path string, n long, share double, solo boolean")
+    part = exports.section("Hotspots", df, F.desc("n"), k=2)
+    assert part["total"] == 3 and [r[0] for r in part["rows"]] == ["a|b", "c"]
+    none = exports.section("None", df.limit(0))
+    text = exports.markdown([part, none])
+    assert text.splitlines()[0] == "## Hotspots (2 of 3)" and "| a\\|b | 1,200 | 0.5 | yes |" in text and "| c | 7 | - | no |" in text and "None" not in text
+    wide = exports.terminal([exports.section("All", df, F.asc("n"), k=None), none], width=60)
+    assert wide.splitlines()[0] == "All" and max(map(len, wide.splitlines())) <= 60
+    exports.write_sections({"hot": (df, F.desc("n"))}, str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "hot")).count() == 3
+    assert exports.manifest(spark, {"b": 1, "a": 2}) == exports.manifest(spark, {"a": 2, "b": 1})
+
+
 def test_ranking_of_empty_tables(spark):
     none = spark.createDataFrame([], "hash string, pos long, date date, author string, subject string, path string, added long, deleted long")
     assert history.sweeps(none).count() == history.oversized(none).count() == 0
