@@ -11,6 +11,7 @@ from ..sources.views import History
 from .prelude import sql
 
 FIX = r"regexp_matches(subject, '^(fix|hotfix|bugfix)(\([^)]*\))?!?:', 'i') OR regexp_matches(subject, '\b(fix|fixes|fixed|fixing|bugfix|hotfix|bug|bugs|regression|crash|crashes)\b', 'i')"
+CLAUSES = r"list_sum(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(subject, '^\w+(\([^)]*\))?!?:\s*', ''), '\s*\(#\d+\)\s*$', ''), '\s*[;,&+]\s*'), lambda x: 1 + len(list_filter(regexp_split_to_array(x, '\s+and\s+')[2:], lambda y: len(regexp_split_to_array(trim(y), '\s+')) >= 2))))"
 TEST = r"regexp_matches(path, '(^|/)test_[^/]*$')"
 TOTALS = "totals AS (SELECT hash, count(*) AS files, CAST(sum(added) AS BIGINT) AS added, CAST(sum(deleted) AS BIGINT) AS deleted FROM changes GROUP BY hash)"
 MONTHS = "greatest(0, (year({b})-year({a}))*12 + month({b}) - month({a}) - CASE WHEN day({b}) < day({a}) THEN 1 ELSE 0 END)"
@@ -89,7 +90,7 @@ QUERIES: dict[str, tuple] = {
     ),
     "tangled_commits": (
         lambda h: H.tangled(h.changes, min_files=5, min_folders=4, min_clauses=2),
-        r"SELECT hash, count(*) AS files, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS folders, CAST(3 AS INTEGER) AS clauses FROM changes WHERE subject LIKE 'feat%' GROUP BY hash HAVING count(*) >= 5 AND count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) >= 4",
+        f"WITH t AS (SELECT hash, count(*) AS files, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS folders, CAST({CLAUSES} AS INTEGER) AS clauses FROM changes GROUP BY hash, subject) SELECT * FROM t WHERE files >= 5 AND folders >= 4 AND clauses >= 2",
     ),
     "revisions": (lambda h: H.revisions(h.changes), "SELECT path, count(*) AS revs FROM changes GROUP BY path"),
     "authors_minor": (

@@ -121,6 +121,18 @@ def events_as_people(h: History):
     return h.table("customer").groupBy(F.concat(F.lit("Person "), F.col("c_nationkey").cast("string"), F.lit(" "), "c_mktsegment").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string"), F.lit("@mail.org")).alias("email")).agg(F.count("*").alias("commits"))
 
 
+FINDINGS = f"""WITH {WIDE}, {FIXES}, {SETS}, {big(30)}, {PAIRS}, revs AS (SELECT path, count(*) AS r FROM sets GROUP BY path), {AREAS}, ar AS (SELECT area, sum(lines) AS lines, max(lines) AS top FROM each GROUP BY area), pp AS (SELECT person, sum(added) AS n FROM owned GROUP BY person),
+wide AS (SELECT max(files) AS cut FROM (SELECT files, row_number() OVER (ORDER BY files) AS rn, count(*) OVER () AS n FROM totals) WHERE rn = greatest(1, CAST(ceil(0.99e0*n) AS BIGINT))),
+tg AS (SELECT hash FROM changes WHERE subject LIKE 'feat%' GROUP BY hash HAVING count(*) >= 5 AND count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) >= 4)
+SELECT CASE WHEN recent >= 3 THEN 'warning' ELSE 'info' END AS severity, 'bug_magnets' AS rule, path AS subject FROM fx WHERE recent >= 2 AND NOT ({TEST}) AND path IN (SELECT path FROM tree)
+UNION ALL SELECT 'warning', 'tight_coupling', a || ' <> ' || b FROM pr JOIN revs x ON x.path = a JOIN revs y ON y.path = b WHERE shared >= 2 AND floor(100*shared/((x.r+y.r)/2)+0.5) >= 5 AND floor((x.r+y.r)/2+0.5) >= 5 AND NOT regexp_matches(a, '(^|/)test_[^/]*$') AND NOT regexp_matches(b, '(^|/)test_[^/]*$')
+UNION ALL SELECT 'info', 'knowledge_islands', area FROM ar WHERE lines >= 200 AND top*1e0/lines >= 0.05 AND lines >= 0.01 * (SELECT sum(lines) FROM ar)
+UNION ALL SELECT 'warning', 'dormant', 'history' FROM ending WHERE now <= DATE '2002-01-01'
+UNION ALL SELECT 'info', 'sweeping_commits', hash FROM totals, wide WHERE files >= greatest(9, wide.cut) AND abs(added - deleted) <= 0.5 * greatest(added, deleted)
+UNION ALL SELECT 'info', 'tangled_commits', 'history' FROM (SELECT count(*) AS n FROM tg) WHERE n >= 5 AND n >= 0.001 * (SELECT count(*) FROM commits)
+UNION ALL SELECT 'warning', 'bus_factor', person FROM (SELECT arg_max(person, (n, person)) AS person, max(n) AS top, sum(n) AS total FROM pp) WHERE total >= 200 AND top > 0.04 * total"""
+
+
 QUERIES: dict[str, tuple] = {
     # joins and rankings
     "hotspots": (lambda h: R.hotspots(H.revisions(h.changes), h.size_files), f"WITH {HOT} SELECT * FROM hot"),
@@ -327,7 +339,7 @@ QUERIES: dict[str, tuple] = {
         lambda h: U.tight_coupling(C.coupling(C.changesets(h.changes), 2, 1), 3, 5).select("severity", "rule", "subject"),
         f"WITH {SETS}, {big(30)}, {PAIRS}, revs AS (SELECT path, count(*) AS r FROM sets GROUP BY path) SELECT 'warning' AS severity, 'tight_coupling' AS rule, a || ' <> ' || b AS subject FROM pr JOIN revs x ON x.path = a JOIN revs y ON y.path = b WHERE shared >= 2 AND floor(100*shared/((x.r+y.r)/2)+0.5) >= 3 AND floor((x.r+y.r)/2+0.5) >= 5 AND NOT regexp_matches(a, '(^|/)test_[^/]*$') AND NOT regexp_matches(b, '(^|/)test_[^/]*$')",
     ),
-    "findings": (lambda h: findings(h), None),
+    "findings": (lambda h: findings(h).select("severity", "rule", "subject"), FINDINGS),
     "baseline": (lambda h: U.against_baseline(U.sweeping_commits(h.commits.where("pos % 5 = 0")), U.sweeping_commits(h.commits.where("pos % 3 = 0"))).select("rule", "subject"), "SELECT 'sweeping_commits' AS rule, hash AS subject FROM commits WHERE pos % 5 = 0 AND pos % 3 <> 0"),
     "compare": (
         lambda h: U.compare(U.sweeping_commits(h.commits.where("pos % 7 = 0")), U.sweeping_commits(h.commits.where("pos % 5 = 0"))),
