@@ -71,30 +71,38 @@ def shares(rows: DataFrame, value: str, key: str) -> DataFrame:
 
 
 def moved_lines(changed: DataFrame, days: int = 14) -> DataFrame:
-    """added, churned: added lines deleted again within `days`, each deletion used once, the oldest addition first.
+    """path, added, churned: added lines deleted again within `days`, each deletion used once, the oldest addition first.
 
-    Per (path, text), additions and deletions are matched in time order. A
-    deletion can take any addition of the last `days`; the longest-waiting one
-    is taken, by a queue of at most those additions in a worker.
+    Equal lines of a commit are counted first, so a group holds a row or two a
+    commit however often a line (blank ones, braces) stands in a file. Per
+    (path, text), additions and deletions are matched in time order by a queue
+    from which what is too old falls off its end, once.
     """
+    from collections import deque
+
     import pandas as pd
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["date", "pos", "kind"], kind="stable")
-        queue: list = []
+        waiting: deque[list] = deque()  # [date, lines]
         added = churned = 0
-        for kind, date in zip(rows["kind"], rows["date"], strict=True):
+        for kind, date, n in zip(rows["kind"], rows["date"], rows["n"], strict=True):
             if kind == "+":
-                added += 1
-                queue.append(date)
+                added += n
+                waiting.append([date, n])
                 continue
-            queue = [d for d in queue if (date - d).days <= days]
-            if queue:
-                queue.pop(0)
-                churned += 1
+            while waiting and (date - waiting[0][0]).days > days:
+                waiting.popleft()
+            while n and waiting:
+                taken = min(n, waiting[0][1])
+                churned, n = churned + taken, n - taken
+                waiting[0][1] -= taken
+                if not waiting[0][1]:
+                    waiting.popleft()
         return pd.DataFrame({"path": [rows["path"].iloc[0]], "added": [added], "churned": [churned]})
 
-    each = changed.groupBy("path", "text").applyInPandas(match, "path string, added long, churned long")
+    counted = changed.groupBy("path", "text", "date", "pos", "kind").agg(F.count("*").alias("n"))
+    each = counted.groupBy("path", "text").applyInPandas(match, "path string, added long, churned long")
     return each.groupBy("path").agg(F.sum("added").alias("added"), F.sum("churned").alias("churned"))
 
 

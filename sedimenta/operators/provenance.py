@@ -60,19 +60,26 @@ def convention(commits: DataFrame, floor: float = 0.9) -> DataFrame:
     return held.select("typed", "n", low.alias("low"), (low >= floor).alias("typed_history"))
 
 
+def prefixed(names: DataFrame, name: str, shorts: DataFrame, short: str) -> DataFrame:
+    """shorts with the names that begin with them: one equi-join for each length in use, hashes have at most 64."""
+    lengths = [r.n for r in shorts.select(F.length(short).alias("n")).where("n > 0").distinct().orderBy("n").limit(64).collect()]
+    out = shorts.limit(0).withColumn(name, F.lit(None).cast("string"))
+    for n in lengths:
+        cut = names.select(name, F.substring(name, 1, n).alias("_cut"))
+        out = out.unionByName(shorts.where(F.length(short) == n).join(cut, F.col(short) == F.col("_cut")).drop("_cut"))
+    return out
+
+
 def labelled(commits: DataFrame, changes: DataFrame, labels: DataFrame, start: str, end: str) -> DataFrame:
     """Paths of labelled commits (hash, whole or else cut short; path optional) in [start, end).
 
     A short hash is joined on its own length, one equi-join a length in use.
     """
     exact = labels.join(commits.select("hash"), "hash", "left_semi")
-    labels = labels.join(commits.select("hash"), "hash", "left_anti")
-    dated = commits.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date"))).select(F.col("hash").alias("whole"))
-    lengths = [r.n for r in labels.select(F.length("hash").alias("n")).distinct().orderBy("n").limit(64).collect()]
-    out = exact.join(dated.withColumnRenamed("whole", "hash"), "hash").select("hash", F.col("path").alias("named"))
-    for n in lengths:
-        one = dated.withColumn("short", F.substring("whole", 1, n)).join(labels.where(F.length("hash") == n).withColumnRenamed("hash", "short"), "short").select(F.col("whole").alias("hash"), F.col("path").alias("named"))
-        out = out.unionByName(one)
+    cut = labels.join(commits.select("hash"), "hash", "left_anti").withColumnRenamed("hash", "short")
+    dated = commits.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date"))).select("hash")
+    out = exact.join(dated, "hash").select("hash", F.col("path").alias("named"))
+    out = out.unionByName(prefixed(dated, "hash", cut, "short").select("hash", F.col("path").alias("named")))
     return out.join(changes.select("hash", "path"), "hash").where(F.col("named").isNull() | (F.col("named") == F.col("path"))).select("path").distinct()
 
 

@@ -49,8 +49,8 @@ QUERIES: dict[str, tuple] = {
         r"WITH n AS (SELECT count(*)*1e0 AS n, count(*) FILTER (regexp_matches(subject, '^(build|chore|ci|docs|feat|fix|perf|refactor|revert|style|test)(\([^)]*\))?!?:')) AS typed FROM commits), w AS (SELECT *, typed/n AS p, 1.959964e0*1.959964e0 AS zz FROM n), l AS (SELECT *, greatest(0, (p + zz/(2*n) - 1.959964e0*sqrt(p*(1-p)/n + zz/(4*n*n)))/(1+zz/n)) AS lo FROM w) SELECT typed, CAST(n AS BIGINT) AS n, round(lo, 6) AS low, lo >= 0.9 AS typed_history FROM l",
     ),
     "labelled_paths": (
-        lambda h: P.labelled(h.commits, h.changes, h.commits.where("pos % 40 = 0").select("hash", F.lit(None).cast("string").alias("path")), "1996-01-01", "1998-01-01"),
-        "SELECT DISTINCT path FROM changes WHERE pos % 40 = 0 AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'",
+        lambda h: P.labelled(h.commits, h.changes, h.commits.where("pos % 40 = 0").select("hash", F.lit(None).cast("string").alias("path")).unionByName(h.changes.where("pos = 7").select(F.lit("o7").alias("hash"), "path")).unionByName(h.spark.createDataFrame([("o99", None)], "hash string, path string")), "1996-01-01", "1998-01-01"),
+        "WITH named AS (SELECT DISTINCT path FROM changes WHERE pos = 7), dated AS (SELECT * FROM changes WHERE date >= DATE '1996-01-01' AND date < DATE '1998-01-01'), whole AS (SELECT hash FROM commits) SELECT path FROM dated WHERE pos % 40 = 0 UNION SELECT path FROM dated WHERE path IN (SELECT path FROM named) AND CASE WHEN 'o7' IN (SELECT hash FROM whole) THEN hash = 'o7' ELSE starts_with(hash, 'o7') END UNION SELECT path FROM dated WHERE CASE WHEN 'o99' IN (SELECT hash FROM whole) THEN hash = 'o99' ELSE starts_with(hash, 'o99') END",
     ),
     "carry_over": (
         lambda h: rounded(P.carry_over(tops(h)), "overlap"),

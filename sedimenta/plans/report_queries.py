@@ -13,6 +13,7 @@ from ..operators import identity as I
 from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import ownership as K
+from ..operators import provenance as P
 from ..operators import ranking as R
 from ..operators import rules as U
 from ..operators import scan as S
@@ -184,8 +185,8 @@ QUERIES: dict[str, tuple] = {
     ),
     "worst_of_group": (lambda h: R.worst_of_group(h.table("part"), "p_brand", "p_size", "p_name"), "SELECT p_brand, p_size, min(p_name) AS p_name FROM part WHERE (p_brand, p_size) IN (SELECT p_brand, max(p_size) FROM part GROUP BY p_brand) GROUP BY 1, 2"),
     "prefix_join": (
-        lambda h: h.commits.select("hash").join(h.table("region").select(F.concat(F.lit("o"), F.col("r_regionkey") + 1, F.lit("1")).alias("short")), F.startswith("hash", "short")).groupBy("short").agg(F.count("*").alias("n")),
-        "SELECT short, count(*) AS n FROM commits JOIN (SELECT 'o' || (r_regionkey + 1) || '1' AS short FROM region) ON starts_with(hash, short) GROUP BY short",
+        lambda h: P.prefixed(h.commits.select("hash"), "hash", h.table("region").select(F.explode(F.array(F.concat(F.lit("o"), F.col("r_regionkey") + 1), F.concat(F.lit("o"), F.col("r_regionkey") + 1, F.lit("1")), F.concat(F.lit("o"), F.col("r_regionkey") + 1, F.lit("12")))).alias("short")), "short").groupBy("short").agg(F.count("*").alias("n")),
+        "SELECT short, count(*) AS n FROM commits JOIN (SELECT 'o' || (r_regionkey + 1) || tail AS short FROM region, (VALUES (''), ('1'), ('12')) t(tail)) ON starts_with(hash, short) GROUP BY short",
     ),
     # ownership
     "areas": (

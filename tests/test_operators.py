@@ -152,6 +152,27 @@ def test_moved_lines(spark):
     assert (r.added, r.churned) == (3, 1)
 
 
+def test_moved_lines_as_one_queue(spark):
+    import random
+
+    draw = random.Random(9)
+    rows = [("p", draw.choice("xy"), draw.choice("++-"), dt.date(2024, 1, 1) + dt.timedelta(k // 3), k // 2) for k in range(300)]
+    want = [0, 0]
+    for text in "xy":
+        queue = []
+        for _, _, kind, date, _ in sorted((r for r in rows if r[1] == text), key=lambda r: (r[3], r[4], r[2])):
+            if kind == "+":
+                want[0] += 1
+                queue.append(date)
+                continue
+            queue = [d for d in queue if (date - d).days <= 14]
+            if queue:
+                queue.pop(0)
+                want[1] += 1
+    (r,) = ordered.moved_lines(spark.createDataFrame(rows, "path string, text string, kind string, date date, pos long")).collect()
+    assert [r.added, r.churned] == want and want[1] > 30
+
+
 def test_dates():
     assert ordered.sample_dates(dt.date(2024, 1, 1), dt.date(2024, 3, 1), 12) == [dt.date(2024, 1, 1), dt.date(2024, 1, 31), dt.date(2024, 3, 1)]
     assert ordered.cutoffs(dt.date(2024, 5, 31), 2, 1) == [dt.date(2024, 3, 31), dt.date(2024, 4, 30)]
