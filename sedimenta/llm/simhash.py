@@ -223,13 +223,19 @@ def _runs(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def links(distinct: DataFrame, rounds: int = 1) -> DataFrame:
+def links(distinct: DataFrame, rounds: int = 1, least: float | None = None) -> DataFrame:
     """(u, v) between fingerprints of `distinct` (fp) that differ in at most 4 bits, enough of them to connect whatever is linked.
 
     `rounds` times over, if so many ways there are. With a column root in
     `distinct`, all pairs that differ so, once each, but those of one root; 0 is like none.
+    With `least`, and columns n and sketch of those that stand for one text (n is 0
+    for others), pairs go whose sizes or sketches tell them apart at that similarity.
     """
     extra = [c for c in distinct.columns if c == "root"]
+    if least is not None:
+        words = [f"s{i}" for i in range(len(SKETCH) // 64)]
+        distinct = distinct.select("fp", "root", "n", *[F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).cast("long").alias(w) for i, w in enumerate(words)])
+        extra += ["n", *words]
     bits = leading(distinct.count())
     low = 64 - bits
     heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(bits), k)})
@@ -242,9 +248,16 @@ def links(distinct: DataFrame, rounds: int = 1) -> DataFrame:
             roots = part.column(2).to_numpy() if extra else None
             left = HALF - np.bitwise_count((fp >> np.uint64(low)) ^ lead).astype(np.int64)
             sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
+            order = np.argsort(fp)
             for a, b in _runs(lead, sizes):
                 if b - a > 1:
                     for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, bits, None if roots is None else roots[a:b]):
+                        if least is not None:
+                            x, y = (order[np.searchsorted(fp, of, sorter=order)] for of in (u, v))
+                            n = part.column(3).to_numpy()
+                            far = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in (part.column(4 + i).to_numpy().view(np.uint64) for i in range(len(SKETCH) // 64)))
+                            alike = (far <= _differing(least)) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
+                            u, v = (of[alike | (n[x] == 0) | (n[y] == 0)] for of in (u, v))
                         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(u.view(np.int64))], ["u", "v"])
 
         held, size = [], 0
@@ -287,6 +300,12 @@ MINIMA = tuple(xxhash.xxh64_intdigest(f"minimum {i}", 42) | 1 for i in range(8))
 SKETCH = tuple(xxhash.xxh64_intdigest(f"sketch {i}", 42) | 1 for i in range(256))
 
 
+def _differing(least: float) -> float:
+    """Bits that the sketches of two texts of similarity `least` differ in at most, four standard deviations from the mean."""
+    share = (1 - least) / 2
+    return len(SKETCH) * share + 4 * math.sqrt(len(SKETCH) * share * (1 - share))
+
+
 def shingles(text: str, size: int = 5) -> set[bytes]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
@@ -334,15 +353,14 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     true = staged(_verified(docs, pairs, size, least))
     roots = staged(components(true.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     held = staged(keys.join(roots, "node", "left").select("node", "n", "sketch", "fp", F.coalesce("root", "node").alias("root")))
-    spots = staged(held.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("root")))
+    spots = staged(held.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("root"), F.when(F.count("*") == 1, F.min("n")).otherwise(0).alias("n"), F.min_by("sketch", "node").alias("sketch")))
     mixed = held.join(spots.where("root = 0").select("fp"), "fp")
     x, y = (["node", "n", "sketch", "root"], {c: f"{c}_y" for c in ("node", "n", "sketch", "root")})
-    share = (1 - least) / 2
     differing = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(len(SKETCH) // 64)), F.lit(0))
     # the sizes alone keep texts of less similarity apart; all of this is part of the joins
-    likely = (F.col("root") != F.col("root_y")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y") - 1e-6) & (differing <= len(SKETCH) * share + 4 * math.sqrt(len(SKETCH) * share * (1 - share)))
+    likely = (F.col("root") != F.col("root_y")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y") - 1e-6) & (differing <= _differing(least))
     same = mixed.select("fp", *x).join(mixed.withColumnsRenamed(y | {"fp": "fp_y"}), (F.col("fp") == F.col("fp_y")) & (F.col("node") < F.col("node_y")) & likely).select("node", "node_y")
-    near = links(spots).join(held.withColumnRenamed("fp", "u"), "u").join(held.withColumnsRenamed(y | {"fp": "v"}), "v").where(likely).select("node", "node_y")
+    near = links(spots, least=least).join(held.withColumnRenamed("fp", "u"), "u").join(held.withColumnsRenamed(y | {"fp": "v"}), "v").where(likely).select("node", "node_y")
     left = same.unionByName(near)
     left = staged(left.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = staged(_verified(docs, left, size, least))
