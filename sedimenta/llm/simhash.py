@@ -39,6 +39,8 @@ HALF = 2
 ROUNDS = 2
 #: Leading bits that deal out the variants, at least, and fingerprints of one leading key, about.
 LEAD, LOAD = 9, 500_000
+#: Links of near copies up to which one task connects them.
+AT_ONCE = 200_000
 #: Variants that a task unfolds at a time.
 UNFOLD = 3_000_000
 
@@ -86,10 +88,10 @@ def leading(n: int) -> int:
     return bits
 
 
-def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int, bits: int, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds: int, bits: int, roots: np.ndarray | None = None, places: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among fps whose variants have the leading bits `lead` above place `low` and up to `left` more flips.
 
-    With `roots`, all links between different ones.
+    With `roots`, all links between different ones, told by the `places` of their fps.
     """
     keep = np.uint64((1 << low) - 1)
     sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
@@ -109,7 +111,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         sizes = np.array([len(_masks(0, step, w)) for w in range(HALF + 1)])[rest]
         for a, b in _runs(sub, sizes):
             if b - a > 1:
-                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds, bits, None if roots is None else roots[row[a:b]])
+                yield from _hang(fps[row[a:b]], rest[a:b], sub[a:b], step, rounds, bits, *((None, None) if roots is None else (roots[row[a:b]], places[row[a:b]])))
         return
     variants, owners = [], []
     for w in range(HALF + 1):
@@ -138,7 +140,7 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         owner[inside] = own[(hit[inside] - a) // k]
     value, fp = v[hit], fps[owner]
     if roots is not None:
-        yield from _crossing(value, fp, roots[owner])
+        yield from _crossing(value, fp, roots[owner], places[owner])
         return
     order = np.lexsort((fp, value))
     value, fp = value[order], fp[order]
@@ -154,10 +156,10 @@ def _hang(fps: np.ndarray, left: np.ndarray, lead: np.ndarray, low: int, rounds:
         yield links[:, 0], links[:, 1]
 
 
-def _crossing(value: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of fps that share a value and aren't of one root (0 is like none), each told under one value only."""
+def _crossing(value: np.ndarray, fp: np.ndarray, root: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of fps that share a value and aren't of one root (0 is like none), the lesser fp's first, each told under one value only."""
     order = np.lexsort((root, value))
-    value, fp, root = value[order], fp[order], root[order]
+    value, fp, root, place = value[order], fp[order], root[order], place[order]
     n = len(value)
     last = np.flatnonzero(np.append(value[1:] != value[:-1], True)) + 1
     stop = last[np.searchsorted(last, np.arange(n), "right")]
@@ -169,7 +171,8 @@ def _crossing(value: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[t
         u, v = np.minimum(a, b), np.maximum(a, b)
         told = _meeting(u, v) == value[at]
         if told.any():
-            yield u[told], v[told]
+            x, y, turned = place[at[told]], place[other[at[told]]], (a > b)[told]
+            yield np.where(turned, y, x), np.where(turned, x, y)
         other[at] += 1
 
 
@@ -228,14 +231,14 @@ def links(distinct: DataFrame, rounds: int = 1, least: float | None = None) -> D
 
     `rounds` times over, if so many ways there are. With a column root in
     `distinct`, all pairs that differ so, once each, but those of one root; 0 is like none.
-    With `least`, and columns n and sketch of those that stand for one text (n is 0
-    for others), pairs go whose sizes or sketches tell them apart at that similarity.
+    With `least`, and columns node, n and sketch, (a, b) between nodes instead, without
+    the pairs whose sizes or sketches tell them apart at that similarity.
     """
     extra = [c for c in distinct.columns if c == "root"]
     if least is not None:
-        words = [f"s{i}" for i in range(len(SKETCH) // 64)]
-        distinct = distinct.select("fp", "root", "n", *[F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).cast("long").alias(w) for i, w in enumerate(words)])
-        extra += ["n", *words]
+        words = [f"s{i}" for i in range((len(SKETCH) + ODD) // 64)]
+        distinct = distinct.select("fp", "root", "n", *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(words)], "node")
+        extra += ["n", *words, "node"]
     bits = leading(distinct.count())
     low = 64 - bits
     heads = sorted({sum(1 << i for i in c) for k in range(HALF + 1) for c in combinations(range(bits), k)})
@@ -248,16 +251,15 @@ def links(distinct: DataFrame, rounds: int = 1, least: float | None = None) -> D
             roots = part.column(2).to_numpy() if extra else None
             left = HALF - np.bitwise_count((fp >> np.uint64(low)) ^ lead).astype(np.int64)
             sizes = np.array([len(_masks(0, low, w)) for w in range(HALF + 1)])[left]
-            order = np.argsort(fp)
             for a, b in _runs(lead, sizes):
                 if b - a > 1:
-                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, bits, None if roots is None else roots[a:b]):
+                    for u, v in _hang(fp[a:b], left[a:b], lead[a:b] << np.uint64(low), low, rounds, bits, *((None, None) if roots is None else (roots[a:b], np.arange(a, b)))):
                         if least is not None:
-                            x, y = (order[np.searchsorted(fp, of, sorter=order)] for of in (u, v))
-                            n = part.column(3).to_numpy()
-                            far = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in (part.column(4 + i).to_numpy().view(np.uint64) for i in range(len(SKETCH) // 64)))
-                            alike = (far <= _differing(least)) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
-                            u, v = (of[alike | (n[x] == 0) | (n[y] == 0)] for of in (u, v))
+                            alike = _alike(part, u, v, least)
+                            nodes = part.column("node").combine_chunks()
+                            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(of[alike])) for of in (u, v)], ["a", "b"])
+                            continue
+                        u, v = (u, v) if roots is None else (fp[u], fp[v])
                         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(u.view(np.int64))], ["u", "v"])
 
         held, size = [], 0
@@ -275,7 +277,21 @@ def links(distinct: DataFrame, rounds: int = 1, least: float | None = None) -> D
         if held:
             yield from solve(held)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    kind = "u long, v long" if least is None else "a {0}, b {0}".format(distinct.schema["node"].dataType.simpleString())
+    return dealt.mapInArrow(run, kind)
+
+
+def _alike(part: pa.Table, u: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows may have similarity `least`: by their sizes, the minima's bits and the odd bits.
+
+    Of sets of n and m shingles that are so alike, at most (n + m) (1 - least) / (1 + least)
+    shingles are in one only, and each of these turns one odd bit.
+    """
+    n = part.column("n").to_numpy()
+    n, m = n[u], n[v]
+    far = [np.bitwise_count(w[u] ^ w[v]).astype(np.int64) for w in (part.column(f"s{i}").to_numpy().view(np.uint64) for i in range((len(SKETCH) + ODD) // 64))]
+    own = len(SKETCH) // 64
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (sum(far[:own]) <= _differing(least)) & (sum(far[own:]) <= (n + m) * (1 - least) / (1 + least) + 1e-6)
 
 
 def groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -298,6 +314,8 @@ SEEDS = (42, 7)
 MINIMA = tuple(xxhash.xxh64_intdigest(f"minimum {i}", 42) | 1 for i in range(8))
 #: A text's sketch has a bit of each of so many minima. Of two texts of similarity s, a share (1 - s) / 2 of the bits differ.
 SKETCH = tuple(xxhash.xxh64_intdigest(f"sketch {i}", 42) | 1 for i in range(256))
+#: Bits behind these that tell of so many hashed places whether an odd number of the text's shingles falls there.
+ODD = 512
 
 
 def _differing(least: float) -> float:
@@ -335,10 +353,11 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     then verified on the whole texts: first enough of them to connect whatever
     collides, then all that weren't tried and lie between different groups, so
     a pair that fails hides none that holds. Of the latter, pairs are left out
-    as they are met whose sizes or sketches tell them apart: a large group of
-    remote copies has many, and none is written. The sketch's bound is four
-    standard deviations from what is due at `least`, so that of pairs just at
-    it one in 30,000 is lost.
+    where they are met, before any join, if sizes or sketches tell them apart:
+    a large group of remote copies has many. The bound of the minima's bits is
+    four standard deviations from what is due at `least`, so that of pairs just
+    at it one in 30,000 is lost; sizes and odd bits lose none. Fingerprints that
+    had no link when all were linked are met by none and left out.
     """
     prints = staged(_near_prints(docs, size))
     nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("marks", "doc_id").alias("marks"), F.min_by("prints", "doc_id").alias("prints"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")).where(F.col("node").isNotNull())
@@ -346,26 +365,19 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     shared = entries.groupBy("i", "mark").agg(F.count("*").alias("holders")).where(F.col("holders") > 1)
     keys = staged(entries.join(shared, ["i", "mark"]).select("node", "n", "sketch", F.explode("prints").alias("print"), "mark").select("node", "n", "sketch", F.col("print").bitwiseXOR(F.col("mark")).alias("fp")))
     heads = staged(keys.groupBy("fp").agg(F.min("node").alias("head")))
-    linked = links(heads.select("fp"), rounds=ROUNDS).distinct()  # a pair meets in several places
+    linked = staged(links(heads.select("fp"), rounds=ROUNDS).distinct())  # a pair meets in several places
     same = keys.join(heads, "fp").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = linked.join(heads.withColumnsRenamed({"fp": "u", "head": "a"}), "u").join(heads.withColumnsRenamed({"fp": "v", "head": "b"}), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     pairs = staged(same.union(near).distinct())
     true = staged(_verified(docs, pairs, size, least))
-    roots = staged(components(true.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    held = staged(keys.join(roots, "node", "left").select("node", "n", "sketch", "fp", F.coalesce("root", "node").alias("root")))
-    spots = staged(held.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("root"), F.when(F.count("*") == 1, F.min("n")).otherwise(0).alias("n"), F.min_by("sketch", "node").alias("sketch")))
-    mixed = held.join(spots.where("root = 0").select("fp"), "fp")
-    x, y = (["node", "n", "sketch", "root"], {c: f"{c}_y" for c in ("node", "n", "sketch", "root")})
-    differing = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(len(SKETCH) // 64)), F.lit(0))
-    # the sizes alone keep texts of less similarity apart; all of this is part of the joins
-    likely = (F.col("root") != F.col("root_y")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y") - 1e-6) & (differing <= _differing(least))
-    same = mixed.select("fp", *x).join(mixed.withColumnsRenamed(y | {"fp": "fp_y"}), (F.col("fp") == F.col("fp_y")) & (F.col("node") < F.col("node_y")) & likely).select("node", "node_y")
-    near = links(spots, least=least).join(held.withColumnRenamed("fp", "u"), "u").join(held.withColumnsRenamed(y | {"fp": "v"}), "v").where(likely).select("node", "node_y")
-    left = same.unionByName(near)
-    left = staged(left.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    roots = staged(components(true.select(F.col("b").alias("u"), F.col("a").alias("v")), at_once=AT_ONCE))
+    met = linked.select(F.col("u").alias("fp")).union(linked.select("v")).union(keys.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")).distinct()
+    held = staged(keys.join(met, "fp", "left_semi").join(roots, "node", "left").select("node", "n", "sketch", "fp", F.xxhash64(F.coalesce("root", "node")).alias("root")))
+    left = links(held, least=least)
+    left = staged(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = staged(_verified(docs, left, size, least))
     if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("b", "a")))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("b", "a")), at_once=AT_ONCE)
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "digest").join(placed, "digest", "left").select("doc_id", "component_id")
 
@@ -391,7 +403,8 @@ def _near_prints(docs: DataFrame, size: int) -> DataFrame:
 
     def sketch(h: np.ndarray) -> list[int]:
         bits = np.concatenate([(drawn[i : i + 32, None] * h[None, :]).min(1) >> np.uint64(20) & np.uint64(1) for i in range(0, len(drawn), 32)])
-        return np.packbits(bits.astype(np.uint8)).view(np.uint64).tolist()
+        odd = np.bincount((h * factors[0] >> np.uint64(65 - ODD.bit_length())).astype(np.int64), minlength=ODD) & 1
+        return np.packbits(np.concatenate([bits, odd]).astype(np.uint8)).view(np.uint64).tolist()
 
     def one(text: str) -> tuple[bytes, list[int], list[int], int, list[int]]:
         words = text.encode("utf-8", "surrogatepass").lower().split()
