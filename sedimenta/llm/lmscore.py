@@ -13,8 +13,11 @@ entries need. All pairs are stored, those seen once too, under 64-bit hashes.
 
 The filter grows with the corpus. The parts for words and kinds are broadcast;
 the pairs' part is broadcast while it fits BLOCK_BYTES. Beyond, it is cut into
-blocks of at most BLOCK_BYTES, texts are read once and their probes dealt to
-the tasks that hold the blocks. The bits are the same, so are the scores.
+blocks of at most BLOCK_BYTES. The distinct pairs of a stretch of texts are then
+dealt to the tasks that hold the blocks, which send back a level for each; what
+else the stretch's scores need waits for them. The bits are the same, so are the
+scores. That takes more room than the texts, so it is done for a share of the
+texts after the other, up to ROUNDS of them, and each leaves only its scores.
 
 Base counts are exact: the HEAD commonest words are looked up in the worker,
 the rest of a text's words are joined to the counts.
@@ -37,10 +40,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import commonest, map_batches, staged, texts
+from .common import commonest, map_batches, removed, staged, texts
 
 HEAD = 262_144
 BLOCK_BYTES = 128 << 20
+#: With several blocks, shares in which texts are scored, at most, and the least bytes of text of a share.
+ROUNDS, ROUND_BYTES = 6, 64 << 20
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
 #: Tokens that a task sums at a time, and about the entries that it gathers of a bucket before it sums them.
@@ -115,7 +120,10 @@ class Filter:
         self.buckets, self.first = buckets, first
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of keys, read back level by level until one is missing; a probe is made only for those that passed the last."""
+        return VALUES[self.level(keys)]
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of keys, read back one by one until one is missing; a probe is made only for those that passed the last."""
         out = np.zeros(len(keys), np.int64)
         bucket = bucket_of(keys, self.buckets) - self.first
         live = np.flatnonzero((bucket >= 0) & (bucket < len(self.size)))
@@ -133,7 +141,7 @@ class Filter:
                 a = (a + b) & LOW
             out[live] = level
             level += 1
-        return VALUES[out]
+        return out
 
 
 def hashed(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +274,17 @@ def merged(sums: DataFrame, buckets: int) -> DataFrame:
     return sums.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, TOLD)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """Like `staged`, and the shuffles that led to it are deleted."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return staged(df)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 class Model:
     """Counts of a training corpus: exact ones of words, and the filters of words, pairs and kinds."""
 
@@ -273,9 +292,9 @@ class Model:
         size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         self.texts = size[0]
         self.buckets = max(BUCKETS, -(-(size[1] or 0) // BUCKET_BYTES))
-        self.told = staged(merged(counts(docs, self.buckets), self.buckets))
+        self.told = lean(merged(counts(docs, self.buckets), self.buckets))
         kinds = self.told.where((F.col("kind") == KINDS) & F.col("bits").isNull()).select("kind", "bucket", "keys", "n", "histories")
-        self.kinds = staged(merged(kinds, self.buckets))
+        self.kinds = lean(merged(kinds, self.buckets))
         held = self.told.where(F.col("kind") == WORD)
         total = held.agg(F.sum("total"), F.sum(F.octet_length("keys") / 8).cast("long")).first()
         self.tokens, self.distinct = total[0] or 0, total[1] or 0
@@ -334,16 +353,15 @@ def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", head: int =
     model = Model(docs.where(trained_on))
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(x) for x in (model.head(head), model.filter(WORD), model.filter(KINDS))]
+    named = docs.select(F.col(key).alias("key"), "text")
+    numbers = {"scale": model.scale, "texts": model.texts, "blocks": np.array(model.blocks), "buckets": model.buckets}
     if len(model.blocks) == 1:
         shared.append(context.broadcast(model.filter(PAIR)))
-    named = docs.select(F.col(key).alias("key"), "text").withColumn("row", F.monotonically_increasing_id())
-    numbers = {"scale": model.scale, "texts": model.texts, "blocks": np.array(model.blocks), "buckets": model.buckets}
-    found = staged(_scored(named, named.schema["key"].dataType.simpleString(), shared, numbers))
+        own = staged(_scored(named.withColumn("row", F.monotonically_increasing_id()), shared, numbers)).drop("chunk", "block", "data")
+    else:
+        own = _in_rounds(model, named, shared, numbers)
     for x in shared:
         x.destroy()
-    own = found.where("row IS NOT NULL").drop("block", "probes")
-    if len(model.blocks) > 1:
-        own = own.drop("score").join(_probed(model, found.where("block IS NOT NULL").select("block", "probes")), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     log = lambda n: F.log10((n + F.lit(0.5)) / F.lit(model.scale))
     rest = (
         own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
@@ -357,13 +375,31 @@ def score(docs: DataFrame, trained_on: Column, key: str = "doc_id", head: int =
     )
 
 
-#: What goes to the task that holds a block: the row, the pair, how often, the rest's mass and the history's count.
-PROBE = np.dtype([("row", "<i8"), ("pair", "<u8"), ("times", "<i8"), ("rest", "<f8"), ("total", "<f8")])
-SCORED = ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times", "block", "probes"]
+def _in_rounds(model: Model, named: DataFrame, shared: list[Broadcast], numbers: dict) -> DataFrame:
+    """What `_scored` tells of each row, with several blocks. Rows are dealt to rounds by their own hash."""
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds = max(1, min(ROUNDS, -(-size // ROUND_BYTES)))
+    done = []
+    for i in range(rounds):
+        some = named.where(F.pmod(F.xxhash64("key", "text"), F.lit(rounds)) == i)
+        found = staged(_scored(some.withColumn("row", F.monotonically_increasing_id() * rounds + i), shared, numbers))
+        scores = lean(_answered(model, found.where("chunk IS NOT NULL").select("chunk", "block", "data")))
+        own = found.where("row IS NOT NULL").drop("score", "chunk", "block", "data")
+        done.append(lean(own.join(scores, "row", "left")))
+        removed(found)
+        removed(scores)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+SCORED = ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times", "chunk", "block", "data"]
 
 
-def _scored(named: DataFrame, kind: str, shared: list[Broadcast], numbers: dict) -> DataFrame:
-    """One row for each text; with several blocks, rows of probes for each block besides."""
+def _scored(named: DataFrame, shared: list[Broadcast], numbers: dict) -> DataFrame:
+    """One row for each text; with several blocks, rows of stretches and of their pairs besides."""
+    kind = named.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, words, kinds, *pairs = (x.value for x in shared)
@@ -389,7 +425,7 @@ def _scored(named: DataFrame, kind: str, shared: list[Broadcast], numbers: dict)
                     sums = np.add.reduceat(_log10(pairs[0].count(once)[which], rest, total), first)
                 else:
                     sums = np.zeros(len(row))
-                    yield from _probes_of(numbers, np.repeat(row, size), keys, rest, total, batch.column("key").type)
+                    yield _asked(numbers, row, size, keys, rest, total, batch.column("key").type)
                 hit, n = hit[back], n[back]
                 base = np.add.reduceat(np.where(hit, np.log10((n + 0.5) / numbers["scale"]), 0.0), first)
                 known = np.add.reduceat(hit.astype(np.int64), first)
@@ -401,34 +437,38 @@ def _scored(named: DataFrame, kind: str, shared: list[Broadcast], numbers: dict)
                 times = np.diff(np.append(starts, len(of)))
                 ends = np.searchsorted(of[starts], np.arange(len(row) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[starts].view(np.int64), times.astype(np.int64))]
-                none = [pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())]
+                none = [pa.nulls(len(row), t) for t in (pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(sums), *lists, *none], SCORED)
 
-    return named.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, block long, probes binary")
+    return named.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, chunk long, block long, data binary")
 
 
-def _probes_of(numbers: dict, row: np.ndarray, keys: np.ndarray, rest: np.ndarray, total: np.ndarray, key_type: pa.DataType, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Rows of probes, those of one row and pair together, at most `most` a row."""
-    block = np.searchsorted(numbers["blocks"], bucket_of(keys, numbers["buckets"]), "right") - 1
-    order = np.lexsort((keys, row, block))
-    block, row, keys, rest, total = (x[order] for x in (block, row, keys, rest, total))
-    start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]))
-    out = np.empty(len(start), PROBE)
-    out["row"], out["pair"], out["times"], out["rest"], out["total"] = row[start], keys[start], np.diff(np.append(start, len(keys))), rest[start], total[start]
-    block = block[start]
+def _asked(numbers: dict, row: np.ndarray, size: np.ndarray, keys: np.ndarray, rest: np.ndarray, total: np.ndarray, key_type: pa.DataType) -> pa.RecordBatch:
+    """The distinct pairs of a stretch of texts, a row for each block; as block -1 what waits for their levels: see `_sum`."""
+    once, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    block = np.searchsorted(numbers["blocks"], bucket_of(once, numbers["buckets"]), "right") - 1
     edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    edges = np.unique(np.concatenate([edges, np.arange(0, len(block), most)]))
-    cut = _arrays(out.view(np.uint8).reshape(len(out), -1).ravel(), np.append(edges, len(out)) * PROBE.itemsize)
-    none = [pa.nulls(len(edges), t) for t in (pa.int64(), key_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(block[edges]), cut], SCORED)
+    waits = b"".join(x.tobytes() for x in (np.array([len(row), len(once)], np.int64), row.astype(np.int64), size.astype(np.int64), rest[at], total[at], which.astype(np.uint32)))
+    data = [waits, *(once[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(once)], strict=True))]
+    none = [pa.nulls(len(data), t) for t in (pa.int64(), key_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(data), row[0])), pa.array(np.append(-1, block[edges])), pa.array(data, pa.binary())], SCORED)
 
 
-def _probed(model: Model, probes: DataFrame) -> DataFrame:
-    """(row, score): the probes answered by the tasks that hold the blocks.
+def _sum(waits: bytes, levels: np.ndarray) -> pa.RecordBatch:
+    """(row, score) of a stretch."""
+    n, pairs = np.frombuffer(waits, np.int64, 2).tolist()
+    row, size = np.frombuffer(waits, np.int64, 2 * n, 16).reshape(2, n)
+    rest, total = np.frombuffer(waits, np.float64, 2 * pairs, 16 + 16 * n).reshape(2, pairs)
+    which = np.frombuffer(waits, np.uint32, -1, 16 + 16 * n + 16 * pairs)
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.add.reduceat(_log10(VALUES[levels], rest, total)[which], np.cumsum(size) - size))], ["row", "score"])
 
-    A block is held by several tasks, so that its probes are no one task's.
+
+def _answered(model: Model, asked: DataFrame) -> DataFrame:
+    """(row, score): the pairs answered by the tasks that hold the blocks, the answers added up by stretch.
+
+    A block is held by several tasks, so that its pairs are no one task's.
     """
-    spark = probes.sparkSession
+    spark = asked.sparkSession
     salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // len(model.blocks)))
     first, buckets = np.array([*model.blocks, model.buckets]), model.buckets
     bits = model.told.where(F.col("kind") == PAIR).select("bucket", "bits")
@@ -437,14 +477,15 @@ def _probed(model: Model, probes: DataFrame) -> DataFrame:
         block = np.searchsorted(first[:-1], batch.column(0).to_numpy(), "right") - 1
         return pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], ["block", "bucket", "data"])
 
-    held = map_batches(bits, deal, "block long, bucket long, data binary", 16).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = probes.select("block", F.lit(-1).cast("long").alias("bucket"), F.col("probes").alias("data"), F.pmod(F.xxhash64("probes"), F.lit(salts)).cast("int").alias("salt"))
-    dealt = held.unionByName(asked).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("bucket") < 0)
+    none = F.lit(None).cast("long")
+    held = map_batches(bits, deal, "block long, bucket long, data binary", 16).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("chunk", none)
+    pairs = asked.where("block >= 0").withColumns({"bucket": F.lit(-1).cast("long"), "salt": F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")})
+    dealt = held.unionByName(pairs).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("bucket") < 0).select("block", "salt", "bucket", "chunk", "data")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, filter = None, {}, None
         for batch in batches:
-            for block, bucket, data, salt in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for block, salt, bucket, chunk, data in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if (block.as_py(), salt.as_py()) != at:
                     at, parts, filter = (block.as_py(), salt.as_py()), {}, None
                 if bucket.as_py() >= 0:
@@ -453,10 +494,23 @@ def _probed(model: Model, probes: DataFrame) -> DataFrame:
                 if filter is None:
                     a, b = int(first[at[0]]), int(first[at[0] + 1])
                     filter, parts = Filter([parts.get(i, b"") for i in range(a, b)], buckets, a), {}
-                x = np.frombuffer(data.as_buffer(), PROBE)
-                which, once = pd.factorize(x["pair"])
-                p = x["times"] * _log10(filter.count(once)[which], x["rest"], x["total"])
-                rows, back = np.unique(x["row"], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(back, p, len(rows)))], ["row", "score"])
+                levels = filter.level(np.frombuffer(data.as_buffer(), np.uint64)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([at[0]], pa.int64()), pa.array([levels.tobytes()], pa.binary())], ["chunk", "block", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waits, levels = None, b"", []
+        for batch in batches:
+            for chunk, block, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if chunk.as_py() != now:
+                    if now is not None:
+                        yield _sum(waits, np.concatenate(levels))
+                    now, levels = chunk.as_py(), []
+                if block.as_py() < 0:
+                    waits = data.as_py()
+                else:
+                    levels.append(np.frombuffer(data.as_py(), np.uint8))
+        if now is not None:
+            yield _sum(waits, np.concatenate(levels))
 
-    return dealt.mapInArrow(run, "row long, score double").groupBy("row").agg(F.sum("score").alias("score"))
+    told = asked.where("block < 0").unionByName(dealt.mapInArrow(answer, "chunk long, block long, data binary"))
+    return told.repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(add, "row long, score double")
