@@ -59,15 +59,23 @@ def dependents(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, root: nodes on a common cycle, those alone left out; root is the least of them.
 
-    Forward-backward colouring. Nodes without an edge in or out are trimmed;
-    each node takes the least node that reaches it as its colour; what reaches
-    back to a colour's own node over nodes of that colour is its component, and
-    goes. The closure is never built: a round holds one row for each node.
+    Walks that can go one way only are followed by doubled steps, so loops and
+    trees of any length are settled in as many rounds as their length has bits.
+    What is left is coloured forward and backward: nodes without an edge in or
+    out are trimmed; each node takes the least node that reaches it as its
+    colour; what reaches back to a colour's own node over nodes of that colour
+    is its component, and goes. The closure is never built: a round holds one
+    row for each node.
     """
     left = _staged(edges.select("src", "dst").where("src <> dst").distinct())
     out = None
     while True:
         left = _staged(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        for a, b in (("src", "dst"), ("dst", "src")):
+            if not left.isEmpty() and (settled := _forced(left.select(F.col(a).alias("src"), F.col(b).alias("dst")))) is not None:
+                loops, nodes = settled
+                out = loops if out is None else out.unionByName(loops)
+                left = _staged(left.join(nodes.withColumnRenamed("node", "src"), "src", "left_anti").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         if left.isEmpty():
             break
         colour = _spread(left, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
@@ -86,6 +94,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out if out is not None else left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
 
+def _forced(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Loops (node, root) of nodes with one way out each, and all nodes (node) whose only walk runs into such a loop or a dead end; None if no node has one way out.
+
+    Nothing outside can be on a loop with these nodes. A round doubles the steps
+    of every walk; walks that come to a fork are dropped.
+    """
+    ways = _staged(edges.groupBy("src").agg(F.count("*").alias("ways"), F.min("dst").alias("far")))
+    only = ways.where("ways = 1").select(F.col("src").alias("node"), "far", F.col("src").alias("least"), F.lit(False).alias("dead"))
+    if not (steps := only.count()):
+        return None
+    ends = edges.select(F.col("dst").alias("src")).distinct().join(ways, "src", "left_anti").select(F.col("src").alias("node"), F.col("src").alias("far"), F.col("src").alias("least"), F.lit(True).alias("dead"))
+    walks = _staged(only.unionByName(ends))
+    for _ in range(steps.bit_length()):
+        on = walks.select(F.col("node").alias("far"), F.col("far").alias("on"), F.col("least").alias("then"), F.col("dead").alias("stops"))
+        new = _staged(walks.join(on, "far").select("node", F.col("on").alias("far"), F.least("least", "then").alias("least"), F.col("stops").alias("dead")))
+        removed(walks)
+        walks = new
+    loops = walks.where("NOT dead").join(walks.select(F.col("far").alias("node")).distinct(), "node", "left_semi")
+    return loops.select("node", F.col("least").alias("root")), walks.select("node")
+
+
 def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
     """node, colour: each node's least colour among its own and those of the nodes that reach it."""
     now = _staged(colours)
@@ -101,12 +130,53 @@ def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
 def shortest_loops(edges: DataFrame) -> DataFrame:
     """node, length: the shortest directed loop through each node that is on one.
 
-    Only edges within strong components are followed, from the nodes of these.
+    Only edges within strong components are followed. A component of as many
+    edges as nodes is one loop, as long as it has nodes; walks are made in the
+    others only.
     """
+    edges = _staged(edges.select("src", "dst").distinct())
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("long").alias("length"))
     strong = _staged(strong_components(edges))
-    within = edges.select("src", "dst").where("src <> dst").join(strong.withColumnsRenamed({"node": "src", "root": "a"}), "src").join(strong.withColumnsRenamed({"node": "dst", "root": "b"}), "dst").where("a = b").select("src", "dst")
-    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("length"))
-    return reachable(within).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length")).unionByName(alone).groupBy("node").agg(F.min("length").alias("length"))
+    ends = strong.withColumnsRenamed({"node": "src", "root": "a"}), strong.withColumnsRenamed({"node": "dst", "root": "b"})
+    within = _staged(edges.where("src <> dst").join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst", F.col("a").alias("root")))
+    sizes = strong.groupBy("root").agg(F.count("*").alias("length")).join(within.groupBy("root").agg(F.count("*").alias("edges")), "root")
+    single = sizes.where("edges = length")
+    told = strong.join(single, "root").select("node", "length").unionByName(alone)
+    others = within.join(single, "root", "left_anti").select("src", "dst")
+    return told.unionByName(_returns(others)).groupBy("node").agg(F.min("length").cast("int").alias("length"))
+
+
+def _returns(edges: DataFrame, most: int = 8) -> DataFrame:
+    """node, length: after how many edges each node is first met again; all edges lie within strong components.
+
+    A node's walks end where it is met. Pairs met before are kept in `most`
+    tables at most, so that plans don't grow with the rounds.
+    """
+    edges = _staged(edges)
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    last, seen, home, length = edges, [edges], [], 1
+    while not last.isEmpty():
+        length += 1
+        reached = _staged(last.join(step, "dst").select("src", F.col("to").alias("dst")).distinct())
+        met = reached.where("src = dst").select("src")
+        home.append(met.select(F.col("src").alias("node"), F.lit(length).cast("long").alias("length")))
+        going = reached.join(met, "src", "left_anti")
+        for x in seen:
+            going = going.join(x, ["src", "dst"], "left_anti")
+        last = _staged(going)
+        seen.append(last)
+        if len(seen) > most:
+            seen = [_staged(_union(seen).join(last.select("src").distinct(), "src", "left_semi"))]
+        if len(home) > most:
+            home = [_staged(_union(home))]
+    return _union(home) if home else edges.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("length"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def truck_factor(authors: DataFrame, orphan_share: float = 0.5) -> DataFrame:

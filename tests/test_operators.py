@@ -144,6 +144,37 @@ def test_strong_components_of_random_graphs(spark):
         assert {r.node: r.root for r in graph.strong_components(edges).collect()} == want
 
 
+def test_long_loops_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], graph._staged
+    monkeypatch.setattr(graph, "_staged", lambda df: rounds.append(1) or write(df))
+    n = 100
+    loop, tail, out = [(i, (i + 1) % n) for i in range(n)], [(-i, -i + 1) for i in range(1, n)], [(5, 500), (500, 501)]
+    edges = spark.createDataFrame(loop + tail, "src int, dst int")
+    assert {r.node: r.root for r in graph.strong_components(edges).collect()} == dict.fromkeys(range(n), 0)
+    assert {r.node: r.length for r in graph.shortest_loops(edges).collect()} == dict.fromkeys(range(n), n)
+    assert len(rounds) < 60
+    # a loop with a way out is no forced walk from its start, but one from its end
+    assert {r.node for r in graph.strong_components(spark.createDataFrame(loop + out, "src int, dst int")).collect()} == set(range(n))
+
+
+def test_shortest_loops_of_random_graphs(spark):
+    import random
+
+    draw = random.Random(9)
+    for n, m in ((25, 45), (12, 30)):
+        pairs = sorted({(draw.randrange(n), draw.randrange(n)) for _ in range(m)} | {(100 + i, 100 + (i + 1) % 12) for i in range(12)} | {(103, 100)})
+        want = {}
+        for start in {a for a, _ in pairs}:
+            near, length, met = {start}, 0, set()
+            while near and start not in met:
+                near = {b for a, b in pairs if a in near} - met
+                met, length = met | near, length + 1
+            if start in met:
+                want[start] = length
+        edges = spark.createDataFrame(pairs, "src int, dst int")
+        assert {r.node: r.length for r in graph.shortest_loops(edges).collect()} == want
+
+
 def test_moved_lines(spark):
     day = lambda n: dt.date(2024, 1, n)
     rows = [("p", "x", "+", day(1), 1), ("p", "x", "+", day(2), 2), ("p", "x", "-", day(5), 3), ("p", "x", "-", day(30), 4), ("p", "y", "+", day(1), 1)]
