@@ -33,10 +33,16 @@ CREDENTIAL_TEMPLATE = r"(^|/)\.env\.(.+\.)?(example|sample|template|dist)$"
 PLACEHOLDER_EMAIL = r"(@example\.(com|org|net)$|^you@|^user@|^root@|@localhost$)"
 
 
+# what a text must hold for the patterns above to match: asked first, as those cost far more
+FIX_PART = r"(?i)fix|bug|regression|crash"
+TEST_PART = r"(?i)t(?:est|b_)|s(?:pec|nap|moke)|fixtures|e2e|\.t\.sol|_tb\."
+REFERENCE_PART = r"(?i)fixe|close|refs|resolve"
+
+
 def is_fix(subject: Column | str) -> Column:
     """A subject typed as a fix, or with a word for one."""
     subject = F.col(subject) if isinstance(subject, str) else subject
-    return subject.rlike(FIX_TYPE) | subject.rlike(FIX_WORD)
+    return subject.rlike(FIX_PART) & (subject.rlike(FIX_TYPE) | subject.rlike(FIX_WORD))
 
 
 def is_revert(subject: Column | str) -> Column:
@@ -46,8 +52,9 @@ def is_revert(subject: Column | str) -> Column:
 def ticket_key(subject: Column | str) -> Column:
     """`#123` of a suffix `(#123)`, else a leading `ABC-12`, else `#12` of a `fixes #12`; null without one."""
     subject = F.col(subject) if isinstance(subject, str) else subject
-    number = lambda pattern: F.regexp_extract(subject, pattern, 1)
-    suffix, leading, reference = number(r"\(#(\d+)\)\s*$"), number(r"^\s*[\[(]?([A-Z][A-Z0-9]+-\d+)\b"), number(r"(?i)\b(?:fixes|fixed|closes|closed|refs|resolves|resolved)\s+#?(\d+)\b")
+    number = lambda pattern, rough: F.when(rough, F.regexp_extract(subject, pattern, 1)).otherwise("")
+    suffix, leading = number(r"\(#(\d+)\)\s*$", F.contains(subject, F.lit("(#"))), number(r"^\s*[\[(]?([A-Z][A-Z0-9]+-\d+)\b", F.contains(subject, F.lit("-")))
+    reference = number(r"(?i)\b(?:fixes|fixed|closes|closed|refs|resolves|resolved)\s+#?(\d+)\b", subject.rlike(REFERENCE_PART))
     return F.when(suffix != "", F.concat(F.lit("#"), suffix)).when(leading != "", leading).when(reference != "", F.concat(F.lit("#"), reference))
 
 
@@ -66,7 +73,7 @@ def clauses(subject: Column | str) -> Column:
 
 def is_test_path(path: Column | str) -> Column:
     path = F.col(path) if isinstance(path, str) else path
-    return path.rlike(TEST_PATH) | path.rlike(TEST_SUFFIX)
+    return path.rlike(TEST_PART) & (path.rlike(TEST_PATH) | path.rlike(TEST_SUFFIX))
 
 
 def is_doc_path(path: Column | str) -> Column:

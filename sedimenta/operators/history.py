@@ -131,8 +131,8 @@ def plumbing(changes: DataFrame, min_revs: int = 20, share: float = 0.8, max_lin
 
 
 def test_cochange(sets: DataFrame) -> DataFrame:
-    """path, sets, with_tests: changesets of a production path, and those that touch a test too."""
-    marked = sets.withColumn("test", X.is_test_path("path"))
+    """path, sets, with_tests: changesets of a production path, and those that touch a test too; `test` says which paths are, if `sets` has it."""
+    marked = sets if "test" in sets.columns else sets.withColumn("test", X.is_test_path("path"))
     tested = marked.groupBy("key").agg(F.bool_or("test").alias("tested"))
     return marked.where(~F.col("test")).join(tested, "key").groupBy("path").agg(F.count("*").alias("sets"), F.count_if("tested").alias("with_tests"))
 

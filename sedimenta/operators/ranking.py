@@ -63,17 +63,21 @@ SIDES = {"function": "struct<function:string,ccn:bigint>", "grown": "bigint", "c
 
 
 def watch_pool(revs: DataFrame, sizes: DataFrame, tree: DataFrame, min_revs: int = 2) -> DataFrame:
-    """Files (path, revs, code, complexity) that the watch list ranks: of a size, in the tree, changed `min_revs` times, neither tests nor documents."""
-    return revs.where(F.col("revs") >= min_revs).join(sizes, "path").join(tree, "path", "left_semi").where(~X.is_test_path("path") & ~X.is_doc_path("path"))
+    """Files (path, revs, code, complexity) that the watch list ranks: of a size, in the tree, changed `min_revs` times, neither tests nor documents.
+
+    Written, so that what joins it doesn't take the patterns over as filters of its own and ask them of every change.
+    """
+    return staged(revs.where(F.col("revs") >= min_revs).join(sizes, "path").join(tree, "path", "left_semi").where(~X.is_test_path("path") & ~X.is_doc_path("path")))
 
 
-def watch_list(revs: DataFrame, sizes: DataFrame, tree: DataFrame, fixes: DataFrame, authors: DataFrame, owners: DataFrame, soc: DataFrame, tests: DataFrame, periods: DataFrame, *sides: DataFrame, min_revs: int = 2, solo_share: float = SOLO) -> DataFrame:
+def watch_list(revs: DataFrame, sizes: DataFrame, tree: DataFrame, fixes: DataFrame, authors: DataFrame, owners: DataFrame, soc: DataFrame, tests: DataFrame, periods: DataFrame, *sides: DataFrame, min_revs: int = 2, solo_share: float = SOLO, pool: DataFrame | None = None) -> DataFrame:
     """Files in use with their share of revisions times code, and the reasons to look at them.
 
     Every side is one row a path, so all joins hash on `path`. `sides` bring any
     of the columns of SIDES; companions that aren't on the list are left out.
+    `pool` is the watch_pool, if held already.
     """
-    pool = watch_pool(revs, sizes, tree, min_revs)
+    pool = watch_pool(revs, sizes, tree, min_revs) if pool is None else pool
     top = owners.groupBy("path").agg(F.max_by("person", F.struct("added", F.col("person"))).alias("owner"), F.max("added").alias("own"), F.sum("added").alias("all"))
     rows = pool.join(fixes.select("path", "fixes", F.col("recent").alias("recent_fixes")), "path", "left").join(authors.select("path", "authors", "minor"), "path", "left").join(top, "path", "left")
     rows = rows.join(soc.select("path", "partners"), "path", "left").join(tests, "path", "left").join(periods.select("path", "periods"), "path", "left").na.fill(0, ["fixes", "recent_fixes", "partners", "minor"])
@@ -90,7 +94,8 @@ def watch_list(revs: DataFrame, sizes: DataFrame, tree: DataFrame, fixes: DataFr
 
 def companion_side(companions: DataFrame, pool: DataFrame) -> DataFrame:
     """path, companions of files of the pool (path), the surest first."""
-    held = companions.join(pool.select(F.col("path").alias("companion")), "companion", "left_semi").where(~X.is_test_path("companion"))
+    files = staged(pool.where(~X.is_test_path("path")).select(F.col("path").alias("companion")))  # asked of the pool, not of every pair
+    held = companions.join(files, "companion", "left_semi")
     order = F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("n"), "companion", F.col("confidence").cast("long").alias("confidence"))))
     return held.groupBy(F.col("entity").alias("path")).agg(F.transform(order, lambda x: F.struct(x["companion"].alias("companion"), x["confidence"].alias("confidence"))).alias("companions"))
 
@@ -161,7 +166,8 @@ def placed(ranked: DataFrame, groups: list[str], *order: Column) -> DataFrame:
 
 def fixed_between(changes: DataFrame, pool: DataFrame, start: str, end: str) -> DataFrame:
     """Paths fixed in [start, end), tests left out."""
-    return pool.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date"))).where(~X.is_test_path("path")).select("path").distinct()
+    paths = staged(pool.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date"))).select("path").distinct())
+    return paths.where(~X.is_test_path("path"))
 
 
 def backtest(ranked: DataFrame, outcome: DataFrame, k: int = 15) -> DataFrame:

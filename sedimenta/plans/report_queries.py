@@ -63,11 +63,25 @@ STRATA = "o AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS i, count(*
 
 def watch(h: History):
     h = h.held()
-    sets = staged(C.changesets(h.changes))
+    sets = staged(C.changesets(h.changes).select("key", "path").withColumn("test", X.is_test_path("path")))
     revs = staged(H.revisions(h.changes))
     found = staged(C.pairs(sets))
-    beside = R.companion_side(C.companions(sets, 5, 2, found=found), R.watch_pool(revs, h.size_files, h.tree))
-    return R.watch_list(revs, h.size_files, h.tree, H.fixes(h.changes, h.now), H.authors(h.changes, h.credits), owned(h), C.sum_of_coupling(sets, 2, found=found), H.test_cochange(sets), H.change_entropy(H.month_periods(h.changes), h.now), beside)
+    pool = R.watch_pool(revs, h.size_files, h.tree)
+    beside = R.companion_side(C.companions(sets, 5, 2, found=found), pool)
+    return R.watch_list(revs, h.size_files, h.tree, H.fixes(h.changes, h.now), H.authors(h.changes, h.credits), owned(h), C.sum_of_coupling(sets, 2, found=found), H.test_cochange(sets), H.change_entropy(H.month_periods(h.changes), h.now), beside, pool=pool)
+
+
+def backtest(h: History):
+    h = h.held()
+    entropy = rounded(H.change_entropy(H.month_periods(h.changes), h.now), "hcm")
+    return R.backtest(R.variants(watch(h), entropy), R.fixed_between(h.changes, H.fix_pool(h.changes), "2001-01-01", "2001-07-01").join(h.tree, "path", "left_semi"))
+
+
+def change(h: History):
+    """The risk of the first commits' files, and the watch list."""
+    h = h.held()
+    rows = staged(watch(h))
+    return R.change_risk(h.changes.where("pos < 20"), rows, H.revisions(h.changes)), rows
 
 
 def owned(h: History):
@@ -158,7 +172,7 @@ QUERIES: dict[str, tuple] = {
         f"WITH {WATCH} SELECT path, round(cume_dist() OVER (ORDER BY revs) * (1 + (rank() OVER (ORDER BY recent_fixes) - 1)*1e0/count(*) OVER ()) * (1 + (rank() OVER (ORDER BY complexity) - 1)*1e0/count(*) OVER ()) * CASE WHEN solo THEN 1.5e0 ELSE 1e0 END, 6) AS product FROM wl",
     ),
     "ranking_backtest": (
-        lambda h: rounded(R.backtest(R.variants(watch(h), rounded(H.change_entropy(H.month_periods(h.changes), h.now), "hcm")), R.fixed_between(h.changes, H.fix_pool(h.changes), "2001-01-01", "2001-07-01").join(h.tree, "path", "left_semi")), "expected"),
+        lambda h: rounded(backtest(h), "expected"),
         entropy_sql(MONTHLY, "SELECT period, month, total, files, files AS size FROM whole", "power(0.5e0, greatest(0, year(now)*12+month(now) - sized.month))", "(n*1e0/sized.total)").replace("SELECT path, count(*) AS periods", ", en AS (SELECT path, count(*) AS periods", 1).rstrip()
         + f"), {WATCH}, "
         + "v AS (SELECT path, revs, unnest([{'variant': 'hotspot', 'key': score}, {'variant': 'churn', 'key': revs*1e0}, {'variant': 'size', 'key': code*1e0}, {'variant': 'recent fixes', 'key': recent_fixes*1e0}, {'variant': 'entropy', 'key': coalesce(hcm, 0e0)}, {'variant': 'smallest first', 'key': -code*1e0}], recursive := true) FROM wl LEFT JOIN en USING (path)), "
@@ -167,11 +181,11 @@ QUERIES: dict[str, tuple] = {
     ),
     "fixed_between": (lambda h: R.fixed_between(h.changes, H.fix_pool(h.changes), "2000-01-01", "2000-07-01"), f"WITH {WIDE} SELECT DISTINCT path FROM pool WHERE date >= DATE '2000-01-01' AND date < DATE '2000-07-01' AND NOT ({TEST})"),
     "change_risk": (
-        lambda h: rounded(R.change_risk(h.changes.where("pos < 20"), watch(h), H.revisions(h.changes)), "score", "owner_share").withColumn("place", F.col("place").cast("long")),
+        lambda h: rounded(change(h)[0], "score", "owner_share").withColumn("place", F.col("place").cast("long")),
         f"WITH {WATCH}, p AS (SELECT *, row_number() OVER (ORDER BY score DESC, revs DESC, path) AS place FROM wl) SELECT t.path, round(coalesce(score, 0e0), 6) AS score, place, coalesce(place <= 15, false) AS watched, coalesce(recent_fixes, 0) AS recent_fixes, coalesce(fixes, 0) AS fixes, owner, round(coalesce(owner_share, 0e0), 6) AS owner_share, coalesce(minor, 0) AS minor, CASE WHEN score IS NULL THEN CASE WHEN r.revs = 1 THEN 'changed once' ELSE 'no revisions on record' END END AS reason FROM (SELECT DISTINCT path FROM changes WHERE pos < 20) t LEFT JOIN p USING (path) LEFT JOIN r ON r.path = t.path",
     ),
     "change_total": (
-        lambda h: (lambda rows: rounded(R.change_total(R.change_risk(h.changes.where("pos < 20"), rows, H.revisions(h.changes)), rows), "total", "max_score"))(staged(watch(h))),
+        lambda h: rounded(R.change_total(*change(h)), "total", "max_score"),
         f"WITH {WATCH}, p AS (SELECT *, row_number() OVER (ORDER BY score DESC, revs DESC, path) AS place FROM wl) SELECT round(sum(score), 6) AS total, count(*) FILTER (place <= 15) AS watched, round((SELECT max(score) FROM wl), 6) AS max_score, (SELECT count(*) FROM wl) AS pool FROM p WHERE path IN (SELECT path FROM changes WHERE pos < 20)",
     ),
     "change_factors": (

@@ -27,11 +27,14 @@ class History:
     """Views of a change history in a folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.is_held = spark, sf_dir, False
 
     def held(self) -> History:
         """The same history with its changes and credits written once, for a query that uses them several times."""
+        if self.is_held:
+            return self
         out = History(self.spark, self.sf_dir)
+        out.is_held = True
         out.changes = staged(self.changes)
         out.credits = staged(out.credits)
         return out
@@ -56,7 +59,8 @@ class History:
     @cached_property
     def changes(self) -> DataFrame:
         """One row for each commit and path, with the commit's header."""
-        lines = self.table("lineitem").join(self.paths.select(F.col("p_partkey").alias("l_partkey"), "path"), "l_partkey").groupBy(F.col("l_orderkey").alias("pos"), "path")
+        # dealt out by commit once, for the groups and the join
+        lines = self.table("lineitem").join(self.paths.select(F.col("p_partkey").alias("l_partkey"), "path"), "l_partkey").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("pos"), "path")
         counted = lines.agg(F.sum("l_quantity").cast("long").alias("added"), F.sum(F.floor(F.col("l_quantity") * F.col("l_discount") * 10)).cast("long").alias("deleted"))
         return counted.join(self.commits, "pos").select("hash", "pos", "date", "author", "subject", "path", "added", "deleted")
 

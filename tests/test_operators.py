@@ -305,3 +305,21 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got == want if make is not incremental.quiet_sessions else got <= want and got
     again = run(incremental.retouched(stream, days=2), "append").groupBy("again").count().collect()
     assert {r.again for r in again} <= {True, False} and sum(r["count"] for r in again) > 0
+
+
+def test_the_pools_patterns_stay_with_the_pool(spark):
+    from sedimenta.plans.report_queries import watch
+    from sedimenta.sources.views import History
+
+    h = History(spark, "/root/testdata/sf0.001").held()
+    assert h.held() is h
+    asked = X.TEST_PATH[:20]
+    assert asked not in watch(h)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_asked_first(spark):
+    paths = ["a/tests/b.py", "TEST_x.py", "a_spec.rb", "x.t.sol", "tb_a.v", "a_tb.sv", "UserSpec.kt", "e2e/a", "smoke/a", "__fixtures__/a", "a.snap", "my-tests/a", "ATests/b"]
+    df = spark.createDataFrame([(p, True) for p in paths] + [("src/a.py", False), ("contest.py", False), (None, None)], "path string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", X.is_test_path("path").alias("got")).collect())
+    said = [("Fix: a", True), ("a CRASH", True), ("bugs", True), ("prefixed", False), (None, None)]
+    assert all(r.got == r.want for r in spark.createDataFrame(said, "subject string, want boolean").select("want", X.is_fix("subject").alias("got")).collect())
