@@ -208,33 +208,63 @@ def running(rows: DataFrame, key: list[str], order: str, **sums: str) -> DataFra
     return out.select(*rows.columns, *[(F.col(f"__{n}") + F.col(f"_{n}")).alias(n) for n in sums])
 
 
-def change_factors(changes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+#: Changes of a path from which its history is cut into parts, so that no task holds all of it.
+HEAVY = 1 << 20
+
+
+def _before(changes: DataFrame, heavy: int) -> DataFrame:
+    """changes with ndev, nuc, last: people, changes and the last date of a path before each of its changes."""
+    hashed = changes.withColumn("_h", F.xxhash64("path"))
+    long = staged(hashed.groupBy("_h").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("_h", F.lit(True).alias("_long")))
+    key = ["path"]
+    if not long.isEmpty():
+        key = ["path", "_part"]
+        part = F.when(F.col("_long"), F.shiftright(F.col("pos").cast("long"), 20)).otherwise(F.lit(-1).cast("long"))
+        hashed = hashed.join(F.broadcast(long), "_h", "left").withColumn("_part", part)  # at most a row for `heavy` changes
+        own = hashed.where("_long")
+        since = staged(own.groupBy("path", "author").agg(F.min("_part").alias("_since")))
+        sums = own.groupBy("path", "_part").agg(F.count("*").alias("n"), F.max("date").alias("d")).join(since.groupBy("path", F.col("_since").alias("_part")).agg(F.count("*").alias("k")), ["path", "_part"], "left")
+        earlier = W.partitionBy("path").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        carried = sums.select("path", "_part", F.sum("k").over(earlier).alias("_k"), F.sum("n").over(earlier).alias("_n"), F.max("d").over(earlier).alias("_d"))
+        hashed = hashed.join(F.broadcast(since), ["path", "author"], "left").join(F.broadcast(carried), ["path", "_part"], "left")
+    else:
+        hashed = hashed.withColumns({"_since": F.lit(None).cast("long"), "_part": F.lit(-1).cast("long"), "_k": F.lit(None).cast("long"), "_n": F.lit(None).cast("long"), "_d": F.lit(None).cast("date")})
+    new = (F.row_number().over(W.partitionBy(*key, "author").orderBy("pos")) == 1) & ~F.coalesce(F.col("_part") > F.col("_since"), F.lit(False))
+    upto = W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = hashed.repartition(*key).withColumn("_new", new.cast("long"))
+    return out.select(*changes.columns, (zero(F.sum("_new").over(upto)) + zero(F.col("_k"))).alias("ndev"), (F.count(F.lit(1)).over(upto) + zero(F.col("_n"))).alias("nuc"), F.greatest(F.max("date").over(upto), "_d").alias("last"))
+
+
+def change_factors(changes: DataFrame, sizes: DataFrame | None = None, heavy: int = HEAVY) -> DataFrame:
     """A commit's size, spread and history: hash, nf, nd, ns, la, ld, lt, fix, entropy, ndev, nuc, age, exp, sexp.
 
     lt is the lines its files have in `sizes`, ndev the most people who had
     touched one of them, nuc their changes before, age how many were changed in
     the month before, exp and sexp the author's commits before and their changes
-    in these subsystems.
+    in these subsystems. Changes travel twice: by path, for what came before,
+    and by ranges of commits, for all that is counted in a commit.
     """
-    changes = staged(changes.withColumn("subsystem", X.area("path", 1)))
-    firsts = changes.groupBy("path", "author").agg(F.min("pos").alias("pos")).withColumn("first", F.lit(1))
-    before = running(changes.join(firsts, ["path", "author", "pos"], "left").na.fill(0, ["first"]).withColumn("one", F.lit(1)), ["path"], "pos", ndev="first", nuc="one")
-    before = before.withColumn("last", F.max("date").over(W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
+    changes = staged(changes.select("hash", "pos", "date", "author", X.is_fix("subject").alias("fix"), "path", "added", "deleted"))
+    before = _before(changes, heavy)
+    before = before.join(sizes.select("path", "code"), "path", "left") if sizes is not None else before.withColumn("code", F.lit(0))
     lines = F.col("added") + F.col("deleted")
-    if sizes is not None:
-        before = before.join(sizes.select("path", "code"), "path", "left")
-    whole = changes.groupBy("hash").agg(F.sum(lines).alias("lines"))
-    shares = before.join(whole, "hash").withColumn("share", X.ratio(lines, F.col("lines")))
-    per = shares.groupBy("hash", "pos", "author", "subject").agg(
-        F.count("*").alias("nf"), F.countDistinct(X.folder("path")).alias("nd"), F.countDistinct("subsystem").alias("ns"), F.sum("added").alias("la"), F.sum("deleted").alias("ld"),
-        (F.sum(F.coalesce("code", F.lit(0))) if sizes is not None else F.lit(0)).cast("long").alias("lt"),
-        F.sum(X.shannon(F.coalesce("share", F.lit(0.0)))).alias("bits"), F.max("ndev").alias("ndev"), F.sum("nuc").alias("nuc"),
-        F.count_if(F.col("last") > F.add_months("date", -1)).alias("age"),
-    )
-    told = running(per.withColumn("one", F.lit(1)), ["author"], "pos", exp="one")
-    touched = changes.groupBy("hash", "pos", "author", "subsystem").agg(F.count("*").alias("n"))
-    sexp = running(touched, ["author", "subsystem"], "pos", before="n").groupBy("hash").agg(F.sum("before").alias("sexp"))
-    return told.join(sexp, "hash").select("hash", "nf", "nd", "ns", "la", "ld", "lt", X.is_fix("subject").alias("fix"), F.when(F.col("nf") > 1, F.col("bits") / F.log2("nf")).otherwise(0.0).alias("entropy"), "ndev", "nuc", "age", "exp", "sexp")
+    dealt = before.select(
+        F.shiftright(F.col("pos").cast("long"), 14).alias("_range"), "hash", "pos", "author", "fix", X.area("path", 1).alias("subsystem"), X.folder("path").alias("folder"), "added", "deleted",
+        F.coalesce("code", F.lit(0)).alias("code"), "ndev", "nuc", F.coalesce(F.col("last") > F.add_months("date", -1), F.lit(False)).cast("long").alias("young"),
+    ).repartition("_range")
+    shared = dealt.withColumn("bits", X.shannon(F.coalesce(X.ratio(lines, F.sum(lines).over(W.partitionBy("_range", "hash"))), F.lit(0.0))))
+    commit = ["hash", "pos", "author", "fix"]
+    added = {"la": "added", "ld": "deleted", "lt": "code", "bits": "bits", "nuc": "nuc", "age": "young"}
+    folders = shared.groupBy("_range", *commit, "subsystem", "folder").agg(F.count("*").alias("nf"), F.max("ndev").alias("ndev"), *[F.sum(c).alias(n) for n, c in added.items()])
+    sums = [F.sum("nf").alias("nf"), F.max("ndev").alias("ndev"), *[F.sum(n).alias(n) for n in added]]
+    touched = staged(folders.groupBy("_range", *commit, "subsystem").agg(F.count("*").alias("nd"), *sums).drop("_range"))
+    told = touched.groupBy("hash").agg(F.first("fix").alias("fix"), F.sum("nd").alias("nd"), F.count("*").alias("ns"), *sums)
+    # commits before count as one more subsystem, so that both run in one pass
+    work = touched.select("hash", "pos", "author", "subsystem", F.lit(False).alias("whole"), F.col("nf").alias("n"))
+    work = work.unionByName(touched.select("hash", "pos", "author").distinct().select("*", F.lit("").alias("subsystem"), F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n")))
+    past = running(work, ["author", "whole", "subsystem"], "pos", before="n").groupBy("hash").agg(F.sum(F.when(F.col("whole"), F.col("before"))).alias("exp"), F.sum(F.when(~F.col("whole"), F.col("before"))).alias("sexp"))
+    return told.join(past, "hash").select("hash", "nf", "nd", "ns", "la", "ld", F.col("lt").cast("long").alias("lt"), "fix", F.when(F.col("nf") > 1, F.col("bits") / F.log2("nf")).otherwise(0.0).alias("entropy"), "ndev", "nuc", "age", "exp", "sexp")
 
 
 def amalgamations(functions: DataFrame, min_shared: int = 20, min_sources: int = 2, min_share: float = 0.9) -> DataFrame:

@@ -323,3 +323,17 @@ def test_parts_asked_first(spark):
     assert all(r.got == r.want for r in df.select("want", X.is_test_path("path").alias("got")).collect())
     said = [("Fix: a", True), ("a CRASH", True), ("bugs", True), ("prefixed", False), (None, None)]
     assert all(r.got == r.want for r in spark.createDataFrame(said, "subject string, want boolean").select("want", X.is_fix("subject").alias("got")).collect())
+
+
+def test_change_factors_of_a_path_cut_in_parts(spark):
+    step = 1 << 19  # two changes a part of a long path
+    rows = [(f"c{i}", i * step, dt.date(2024, 1, 1) + dt.timedelta(days=i), "abc"[i % 3 if i > 3 else 0], "fix: x" if i % 2 else "add", path, i, 1) for i in range(8) for path in ("a/long.py", f"b/{i % 2}.py")]
+    changes = spark.createDataFrame(rows, "hash string, pos long, date date, author string, subject string, path string, added long, deleted long")
+    plain, cut = (sorted(ranking.change_factors(changes, heavy=n).collect()) for n in (100, 5))
+    past, want = [], []
+    for i in range(8):
+        mine = [r for r in rows if r[0] == f"c{i}"]
+        before = [[r for r in past if r[5] == m[5]] for m in mine]
+        want.append((f"c{i}", max(len({r[3] for r in p}) for p in before), sum(map(len, before)), len({r[0] for r in past if r[3] == mine[0][3]})))
+        past += mine
+    assert plain == cut and [(r.hash, r.ndev, r.nuc, r.exp) for r in plain] == want
